@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import near_dedup, sharding, substring
+from canopy.llm import near_dedup, quality_rules, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,18 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base limits and robust outliers by language and source, over all documents."""
+    return quality_rules.document_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that a repeated 50-word window covers."""
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_forest, op4_byte_shards, op8_difference_cover)}
+    return {f.__name__: f for f in (op2_minhash_forest, op4_byte_shards, op7_robust_outliers, op8_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
