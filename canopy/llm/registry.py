@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import near_dedup, quality_rules, sharding, substring
+from canopy.llm import near_dedup, ngram_lm, quality_rules, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learnt from four fifths of them."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 contiguous shards of nearly equal bytes."""
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
@@ -34,7 +39,7 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_forest, op4_byte_shards, op7_robust_outliers, op8_difference_cover)}
+    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op7_robust_outliers, op8_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
