@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import near_dedup, ngram_lm, quality_rules, sharding, substring
+from canopy.llm import near_dedup, ngram_lm, packing, quality_rules, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens by the dot-product heuristic."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base limits and robust outliers by language and source, over all documents."""
     return quality_rules.document_verdicts(_table(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op7_robust_outliers, op8_difference_cover)}
+    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
