@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import near_dedup, ngram_lm, packing, quality_rules, sharding, substring
+from canopy.llm import near_dedup, ngram_lm, packing, quality_rules, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,13 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed patterns, and what a conditional random field adds."""
+    return secrets.scan(_table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover)}
+    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
