@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import near_dedup, ngram_lm, packing, quality_rules, secrets, sharding, substring
+from canopy.llm import hnsw, near_dedup, ngram_lm, packing, quality_rules, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of every row whose id is divisible by 50, against all rows."""
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on sets of 2-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -49,7 +54,7 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
