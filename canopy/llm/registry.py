@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import hnsw, near_dedup, ngram_lm, packing, quality_rules, secrets, sharding, substring
+from canopy.llm import hnsw, near_dedup, ngram_lm, packing, pieces, quality_rules, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded merge-dropout segmentations of all documents and whether they decode to the text."""
+    return pieces.round_trips(_table(spark, sf_dir, "documents"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base limits and robust outliers by language and source, over all documents."""
     return quality_rules.document_verdicts(_table(spark, sf_dir, "documents"))
@@ -54,7 +59,7 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op6_merge_dropout, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
