@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import hnsw, near_dedup, ngram_lm, packing, pieces, quality_rules, secrets, sharding, substring
+from canopy.llm import hnsw, near_dedup, ngram_lm, packing, pairwise_quality, pieces, quality_rules, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,20 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from preference pairs outside the held-out third."""
+    documents = _table(spark, sf_dir, "documents")
+    model = pairwise_quality.train_on(documents, _table(spark, sf_dir, "labels"), ~pairwise_quality.held_out())
+    return pairwise_quality.score(documents, model)
+
+
 def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: fixed patterns, and what a conditional random field adds."""
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op6_merge_dropout, op7_robust_outliers, op8_difference_cover, op10_crf_secrets)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op6_merge_dropout, op7_robust_outliers, op8_difference_cover, op9_pairwise_ranking, op10_crf_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
