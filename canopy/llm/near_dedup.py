@@ -11,7 +11,7 @@ agree much deeper stand next to each other, so the depth adapts to the region.
 together with one row each.  A pair of similarity 0.8 meets in some order with probability 1-(1-0.8^4)^16 = 0.9998.
 
 *Confirmation.*  Candidates whose signatures agree too seldom (four standard deviations below the threshold) go; the rest
-are confirmed on the full sets.  Texts of concerned documents move compressed, once for each confirmed edge.  Edges that
+are confirmed on the full sets.  Texts of concerned documents move compressed, about once for each edge that is tried.  Edges that
 can't change the components are left out: first one edge of each document, then one of each pair of components, then
 every candidate that still crosses components.
 
@@ -30,7 +30,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from canopy.llm.components import connected_components
 from canopy.llm.words import Rolling, WordMemo, batches_of, hashed, mixed, slices, utf8
@@ -271,8 +270,10 @@ def _texts_of(documents: DataFrame, ids: DataFrame, n: int, filter_bytes: int) -
 def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges ``(a, b)``, b the parent, that hold on the full sets.  A parent's text goes to each ``_BRANCH`` children."""
     spark = edges.sparkSession
-    place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    edges = stage_table(edges.select("a", "b").withColumn("branch", (place / _BRANCH).cast("int")))
+    edges = stage_table(edges.select("a", "b"))
+    many = edges.groupBy("b").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > _BRANCH)
+    branch = F.when(F.col("children").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("children") / _BRANCH))).cast("int")
+    edges = stage_table(edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch"))
     parents = edges.select("b", "branch").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "branch", F.lit(None).cast("long").alias("a"), "data")
     children = edges.join(texts.withColumnRenamed("id", "a"), "a").select("b", "branch", "a", "data")
 
@@ -324,11 +325,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     )
 
     edges = stage_table(_agreeing(_candidates(reps), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")))
-    links = spark.createDataFrame([], "a long, b long")
+    components = spark.createDataFrame([], "id long, component long")
     n_edges = edges.count()
     if n_edges:
-        ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-        held = _texts_of(texts, ends, ends.count(), filter_bytes)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        held = _texts_of(texts, ends, 2 * n_edges, filter_bytes)
         likely = F.col("agree") >= int(MINIMA * (0.5 + percent / 200))
         # Every document asks the partner of least hash among its likely ones, else the one that agrees most: in a dense
         # region all ask the same few.
@@ -337,18 +338,22 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
         asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")))
         links = _confirmed(asked, held, words, percent)
         tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        components = stage_table(connected_components(links))
         for last in (False, True):
-            crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), stage_table(connected_components(links)))
+            crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), components)
             if not last:
-                pair = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")]
-                crossing = crossing.groupBy(*pair).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+                crossing = crossing.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
             crossing = stage_table(crossing.select("a", "b"))
             if crossing.isEmpty():
                 break
-            links = stage_table(links.unionByName(_confirmed(crossing, held, words, percent)))
+            more = _confirmed(crossing, held, words, percent)
             tried = tried.unionByName(crossing)
-
-    components = stage_table(connected_components(links))
+            if not more.isEmpty():
+                # New links join whole components: unite those, then rename.
+                between = _crossing(more, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+                renamed = stage_table(connected_components(between))
+                old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+                components = stage_table(old.unionByName(renamed))
     shared = stage_table(classes.where("size > 1").select("d0", "d1", "rep"))
     named = signed.select("doc_id", "n_shingles", "d0", "d1").join(shared, ["d0", "d1"], "left")
     # A text without shingles shares the digest of the empty set with others, but no class.
