@@ -1 +1 @@
-"""Part of the canopy engine."""
+"""Operators on graphs: ingest, hierarchy, aggregation, ordering, reachability, detail, search, views."""

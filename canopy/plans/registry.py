@@ -23,8 +23,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return {name: query for name, (query, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"canopy.plans.{name}")
+
+
+MODULES = ("queries_graph",)
