@@ -213,10 +213,10 @@ def drill_down(spark, sf_dir):
     return named(agg.drill_down(g, names.handle_of("EUROPE"), names.handle_of("ASIA")), g.nodes, node="id").select("node", "weight")
 
 
-@register("accumulated_outgoing", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight FROM e WHERE c_nation = 'FRANCE'")
+@register("accumulated_outgoing", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight FROM e WHERE c_nation = 'NATION_3'")
 def accumulated_outgoing(spark, sf_dir):
     g = td.trade_graph(spark, sf_dir)
-    return named(agg.accumulated(g, names.handle_of("pkg:EUROPE:FRANCE")).select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")
+    return named(agg.accumulated(g, names.handle_of("pkg:EUROPE:NATION_3")).select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")
 
 
 @register("region_density", f"{with_(TRADE)} SELECT round(count(*) / 20.0, 2) AS density FROM (SELECT DISTINCT c_region, s_region FROM e WHERE c_region <> s_region)")
