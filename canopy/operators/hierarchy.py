@@ -63,12 +63,20 @@ class DependencyGraph:
 
     def fork(self, tree: DataFrame | None = None, nodes: DataFrame | None = None, max_depth: int | None = None) -> DependencyGraph:
         """The same edges under another tree (and other nodes)."""
-        return replace(self, tree=self.tree if tree is None else tree, nodes=self.nodes if nodes is None else nodes, max_depth=max_depth if max_depth is not None else self.max_depth, extensions=dict(self.extensions), _cache={})
+        extensions = {k: v for k, v in self.extensions.items() if k != "paths"}
+        return replace(self, tree=self.tree if tree is None else tree, nodes=self.nodes if nodes is None else nodes, max_depth=max_depth if max_depth is not None else self.max_depth, extensions=extensions, _cache={})
 
     def staged(self) -> DependencyGraph:
         """The graph with nodes, tree, edges and closure written once: one generation."""
+        from canopy.operators import ingest
+
+        edges = stage_table(self.edges)
+        if (paths := self.extensions.get("paths")) is not None:
+            # Nodes with their paths are computed once; tree and closure are projections of what was written.
+            paths = stage_table(paths)
+            return replace(self, nodes=paths.drop("path"), tree=ingest.tree_of(paths), edges=edges, references=None, extensions={**self.extensions, "paths": paths}, _cache={"closure": stage_table(ingest.closure_of(paths))})
         closure = stage_table(self.closure())
-        return replace(self, nodes=stage_table(self.nodes), tree=stage_table(self.tree), edges=stage_table(self.edges), references=None, extensions=dict(self.extensions), _cache={"closure": closure})
+        return replace(self, nodes=stage_table(self.nodes), tree=stage_table(self.tree), edges=edges, references=None, extensions=dict(self.extensions), _cache={"closure": closure})
 
     def moved(self, node_ids: Sequence[int], to: int) -> DependencyGraph:
         """Nodes under another parent; refused if the parent lies inside one of them."""

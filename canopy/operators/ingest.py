@@ -156,4 +156,4 @@ def build_graph(types: DataFrame, dependencies: DataFrame, members: DataFrame |
     owners = known.select("artifact", F.col("fqn").alias("from_type")).distinct()
     rows = reference_edges(resolved.join(owners, ["artifact", "from_type"], "left_semi"))
     rows = rows.select(names.node_handle(F.col("from_key")).alias("from_id"), names.node_handle(F.col("to_key")).alias("to_id"), "kind", "type_level", "n")
-    return DependencyGraph(nodes.drop("path"), tree_of(nodes), type_dependencies(rows), rows, _cache={"closure": closure_of(nodes)})
+    return DependencyGraph(nodes.drop("path"), tree_of(nodes), type_dependencies(rows), rows, extensions={"paths": nodes}, _cache={"closure": closure_of(nodes)})

@@ -40,4 +40,4 @@ def load() -> None:
         import_module(f"canopy.plans.{name}")
 
 
-MODULES = ("queries_graph", "queries_reach")
+MODULES = ("queries_graph", "queries_reach", "queries_more")

@@ -114,4 +114,4 @@ def _sequence_graph(spark: SparkSession, sf_dir: str, thin: bool, acyclic: bool)
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(module, kind, ts, event_id)`` from the events."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("module"), F.col("event_type").alias("kind"), "ts", "event_id", "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("module"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
