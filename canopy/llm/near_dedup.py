@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.components import connected_components
-from canopy.llm.words import Rolling, WordMemo, batches_of, hashed, mixed, slices, utf8
+from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
 from canopy.plans.materialize import parallelism, stage_table
 
 MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
@@ -316,6 +316,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     being lower-cased in A-Z.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage_table(texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
     usable = signed.where("doc_id is not null and n_shingles > 0")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import slices
+from canopy.llm.words import bounded_batches, slices
 from canopy.plans.materialize import parallelism, stage_table
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
@@ -90,6 +90,7 @@ class _Memo(dict):
 def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabulary: str | None = None) -> DataFrame:
     """Pieces of whole texts: ``doc_id, start, length, ids_crc32, doc_tokens`` and a ``uid`` for each."""
     where = vocabulary or default_vocabulary()
+    bounded_batches(documents.sparkSession)
     names = ["doc_id", "uid", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

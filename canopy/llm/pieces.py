@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import mixed, slices
+from canopy.llm.words import bounded_batches, mixed, slices
 
 DROPOUT, SEED, VARIANTS = 0.1, 1729, 4
 _MARK = "▁"
@@ -188,6 +188,7 @@ class _Memo(dict):
 
 
 def _prepared(documents: DataFrame) -> DataFrame:
+    bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 

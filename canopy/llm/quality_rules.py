@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import Rolling, WordMemo, hashed, mixed, slices, utf8
+from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
 from canopy.plans.materialize import stage_table
 
 #: What counts as a symbol, the least words, the largest percentage of repeated words.
@@ -80,6 +80,7 @@ def _counts(texts: list[bytes], memo: WordMemo, rolling: Rolling) -> list[np.nda
 def text_counts(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The columns ``keep`` and ``COUNTS`` for each row of ``documents``, over whole texts."""
     names = list(dict.fromkeys(keep))
+    bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, rolling = WordMemo(), Rolling()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import slices, utf8
+from canopy.llm.words import bounded_batches, slices, utf8
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -414,6 +414,7 @@ def scan(documents: DataFrame, field: SecretField | None = None, keep: Sequence[
     """For each row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``, ``redacted`` (null unless ``with_text``) and
     the columns ``keep``."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(field or train_on(documents))
     kept = documents.select(*keep).schema
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import Rolling, WordMemo, batches_of, hashed, route_keys, slices, utf8
+from canopy.llm.words import Rolling, WordMemo, batches_of, bounded_batches, hashed, route_keys, slices, utf8
 from canopy.plans.materialize import parallelism, stage_table
 
 #: Difference covers, each with its period; every difference modulo the period occurs.
@@ -368,6 +368,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, keep: Sequence[str] =
     if window < min(COVERS) + 1:
         raise ValueError(f"window must be at least {min(COVERS) + 1}")
     spark = documents.sparkSession
+    bounded_batches(spark)
     parts = parallelism(spark)
     keys = route_keys(parts)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 4 << 20
-_MEMO_ENTRIES = 1 << 18
+_MEMO_ENTRIES = 1 << 17
 #: An odd multiplier, so that it has an inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -30,6 +30,15 @@ class WordMemo(dict):
         return value
 
 
+#: Bytes of an Arrow batch that a worker gets at once, whatever the session's default.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark) -> None:
+    """Let Python workers get texts in batches of a few megabytes: long texts then don't swell a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column; null texts are empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
