@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
     Vertices that are smallest in their component don't appear; self loops, repeated and reversed edges and nulls are
     ignored; no edges give no rows.
     """
-    current = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
     state = _state(current)
     if state[0] <= one_task:
         return current.coalesce(1).mapInArrow(_unite, "id long, component long")

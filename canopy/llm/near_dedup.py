@@ -270,10 +270,10 @@ def _texts_of(documents: DataFrame, ids: DataFrame, n: int, filter_bytes: int) -
 def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges ``(a, b)``, b the parent, that hold on the full sets.  A parent's text goes to each ``_BRANCH`` children."""
     spark = edges.sparkSession
-    edges = stage_table(edges.select("a", "b"))
+    edges = stage_table(edges.select("a", "b"), narrow=True)
     many = edges.groupBy("b").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > _BRANCH)
     branch = F.when(F.col("children").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("children") / _BRANCH))).cast("int")
-    edges = stage_table(edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch"))
+    edges = stage_table(edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch"), narrow=True)
     parents = edges.select("b", "branch").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "branch", F.lit(None).cast("long").alias("a"), "data")
     children = edges.join(texts.withColumnRenamed("id", "a"), "a").select("b", "branch", "a", "data")
 
@@ -320,12 +320,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage_table(texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), narrow=True)
     reps = stage_table(
         usable.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"])
     )
 
-    edges = stage_table(_agreeing(_candidates(reps), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    edges = stage_table(_agreeing(_candidates(reps), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
     components = spark.createDataFrame([], "id long, component long")
     n_edges = edges.count()
     if n_edges:
@@ -336,7 +336,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
         # region all ask the same few.
         directed = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
         ask = F.when(likely, F.struct(F.lit(0).alias("x"), F.xxhash64("b").alias("y"), F.col("b"))).otherwise(F.struct((F.lit(1) + MINIMA - F.col("agree")).alias("x"), F.xxhash64("b").alias("y"), F.col("b")))
-        asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")))
+        asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")), narrow=True)
         links = _confirmed(asked, held, words, percent)
         tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         components = stage_table(connected_components(links))
@@ -344,7 +344,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
             crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), components)
             if not last:
                 crossing = crossing.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-            crossing = stage_table(crossing.select("a", "b"))
+            crossing = stage_table(crossing.select("a", "b"), narrow=True)
             if crossing.isEmpty():
                 break
             more = _confirmed(crossing, held, words, percent)
@@ -355,7 +355,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
                 renamed = stage_table(connected_components(between))
                 old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
                 components = stage_table(old.unionByName(renamed))
-    shared = stage_table(classes.where("size > 1").select("d0", "d1", "rep"))
+    shared = stage_table(classes.where("size > 1").select("d0", "d1", "rep"), narrow=True)
     named = signed.select("doc_id", "n_shingles", "d0", "d1").join(shared, ["d0", "d1"], "left")
     # A text without shingles shares the digest of the empty set with others, but no class.
     named = named.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))

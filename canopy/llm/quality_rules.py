@@ -163,7 +163,7 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Centre and precision for each value of ``grp`` from the columns ``STATS`` of all rows."""
     medians = rows.groupBy("grp").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)], F.count(F.lit(1)).alias("n"))
-    medians = stage_table(medians)
+    medians = stage_table(medians, narrow=True)
     away = rows.join(medians, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, s in enumerate(STATS)])
     start = medians.join(away, "grp")
     diagonal = [(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in _CROSS]
@@ -171,9 +171,9 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     for step in range(steps + 1):
         near = rows.join(fit, "grp").withColumn("d2", _distance())
         if step < steps:
-            limit = stage_table(near.groupBy("grp").agg(F.percentile_approx("d2", 0.75, 1000).alias("limit")))
+            limit = stage_table(near.groupBy("grp").agg(F.percentile_approx("d2", 0.75, 1000).alias("limit")), narrow=True)
             # The nearest three quarters of normal rows spread less than all: 1.4 makes up for that in six dimensions.
-            fit = stage_table(_moments(near.join(limit, "grp").where("d2 <= limit"), 1.4))
+            fit = stage_table(_moments(near.join(limit, "grp").where("d2 <= limit"), 1.4), narrow=True)
         else:
             fit = stage_table(_moments(near.where(F.col("d2") <= 14.45), 1.05))  # the 0.975 quantile of chi-square with 6 degrees
     return fit
@@ -192,15 +192,15 @@ def judge(documents: DataFrame, keep: Sequence[str] = (), cutoff: float = CUTOFF
 
     passing = counted.where("NOT base_failed")
     levels = passing.select(F.explode(F.array("own", "wide", F.lit("all"))).alias("grp"), *STATS)
-    fit = stage_table(mcd_estimates(levels))
+    fit = stage_table(mcd_estimates(levels), narrow=True)
     sizes = levels.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    usable = stage_table(fit.join(sizes, "grp").where((F.col("size") >= min_rows) | (F.col("grp") == "all")).select("grp", "centre", "precision"))
+    usable = stage_table(fit.join(sizes, "grp").where((F.col("size") >= min_rows) | (F.col("grp") == "all")).select("grp", "centre", "precision"), narrow=True)
     # Which estimate a group uses is settled on the table of groups, so documents meet one estimate each.
-    groups = stage_table(passing.select("own", "wide").distinct())
+    groups = stage_table(passing.select("own", "wide").distinct(), narrow=True)
     pick = groups
     for name, level in (("f0", F.col("own")), ("f1", F.col("wide")), ("f2", F.lit("all"))):
         pick = pick.withColumn("grp", level).join(usable.select("grp", F.struct("centre", "precision").alias(name)), "grp", "left").drop("grp")
-    pick = stage_table(pick.select("own", F.coalesce("f0", "f1", "f2").alias("fit")).select("own", "fit.centre", "fit.precision"))
+    pick = stage_table(pick.select("own", F.coalesce("f0", "f1", "f2").alias("fit")).select("own", "fit.centre", "fit.precision"), narrow=True)
     judged = counted.join(pick, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
         *[F.col(f"__k_{c}").alias(c) for c in names], *[F.col(c) for c in COUNTS if c not in names], "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept")
