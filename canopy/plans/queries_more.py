@@ -99,7 +99,7 @@ def group_view(spark, sf_dir):
 
 
 @register("move_effect", f"""{with_(TRADE)}, a AS (SELECT c_region AS x, s_region AS y, sum(weight) AS w FROM e WHERE c_region <> s_region GROUP BY 1, 2), n AS (SELECT CASE WHEN c_nation = 'NATION_3' THEN 'NEW' ELSE c_region END AS x, CASE WHEN s_nation = 'NATION_3' THEN 'NEW' ELSE s_region END AS y, weight FROM e),
- b AS (SELECT x, y, sum(weight) AS w FROM n WHERE x <> y GROUP BY 1, 2) SELECT coalesce(a.x, b.x) AS from_module, coalesce(a.y, b.y) AS to_module, CAST(a.w AS BIGINT) AS before, CAST(b.w AS BIGINT) AS after, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.x = b.x AND a.y = b.y WHERE a.w IS DISTINCT FROM b.w""")
+ b AS (SELECT x, y, sum(weight) AS w FROM n WHERE x <> y GROUP BY 1, 2) SELECT coalesce(a.x, b.x) AS from_module, coalesce(a.y, b.y) AS to_module, CAST(coalesce(a.w, 0) AS BIGINT) AS before, CAST(coalesce(b.w, 0) AS BIGINT) AS after, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.x = b.x AND a.y = b.y WHERE a.w IS DISTINCT FROM b.w""")
 def move_effect(spark, sf_dir):
     """How module dependencies change if one nation becomes a module of its own."""
     g = td.trade_graph(spark, sf_dir)
@@ -108,7 +108,7 @@ def move_effect(spark, sf_dir):
     names = g.nodes.select("id", "qualified_name").join(types, F.col("qualified_name") == F.col("fqn")).select("id", "artifact", "fqn")
     side = lambda s: names.select(F.col("id").alias(f"{s}_id"), F.col("artifact").alias(f"{s}_artifact"), F.col("fqn").alias(f"{s}_fqn"))
     weights = g.edges.join(side("from"), "from_id").join(side("to"), "to_id").select("from_artifact", "from_fqn", "to_artifact", "to_fqn", "weight")
-    return views.restructuring_effect(weights, place).changes.select("from_module", "to_module", "before", "after", "change")
+    return views.restructuring_effect(weights, place).changes.na.fill(0, ["before", "after"]).select("from_module", "to_module", "before", "after", "change")
 
 
 _SESSIONS = """WITH o AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

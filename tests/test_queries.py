@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +12,7 @@ from canopy.plans import registry
 
 def _rows(frame):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, float):
             return round(x, 6)
