@@ -84,7 +84,7 @@ def check_format(path: str) -> None:
                 raise QueryError("STALE_SNAPSHOT", f"{folder} has tables of an old format", "write the snapshot again")
             if name.endswith(".parquet"):
                 meta = pq.read_metadata(os.path.join(folder, name)).metadata or {}
-                found = int(meta.get(FORMAT_KEY.encode(), b"0"))
+                found = next((int(v) for k, v in meta.items() if k.endswith(FORMAT_KEY.encode())), 0)
                 if found != FORMAT_VERSION:
                     code = "NEWER_SNAPSHOT" if found > FORMAT_VERSION else "STALE_SNAPSHOT"
                     raise QueryError(code, f"{name} has format {found}, not {FORMAT_VERSION}", "write the snapshot again")
