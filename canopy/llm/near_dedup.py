@@ -8,7 +8,12 @@ on one representative of each class, so thousands of exact copies cost one row.
 prefix: where signatures are sparse, four equal leading minima end the search; where they are dense, only neighbours that
 agree much deeper stand next to each other, so the depth adapts to the region.  A row becomes a candidate with its
 ``NEIGHBOURS`` predecessors and with the first row of its region (equal first four minima): the latter ties dense regions
-together with one row each.  A pair of similarity 0.8 meets in some order with probability 1-(1-0.8^4)^16 = 0.9998.
+together with one row each.  A pair of similarity 0.8 shares a region in some order with probability 1-(1-0.8^4)^16 = 0.9998.
+
+*All pairs of regions.*  Where a region has more rows than neighbours and these are still in different components, all its
+pairs across components are candidates: directly up to ``DIRECT`` rows; above, by a prefix-filter join on the full sets of
+the rows concerned, rarest shingles first, whose long lists are dealt out in pairs of blocks.  Shingle frequencies of a
+bounded sample only choose the order of the filter, so they don't bear on what is found.
 
 *Confirmation.*  Candidates whose signatures agree too seldom (four standard deviations below the threshold) go; the rest
 are confirmed on the full sets.  Texts of concerned documents move compressed, about once for each edge that is tried.  Edges that
@@ -38,6 +43,10 @@ from canopy.plans.materialize import parallelism, stage_table
 MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
 #: Most bytes of the filter of document ids that is sent to all tasks.
 FILTER_BYTES = 32 << 20
+#: Rows up to which all pairs of a region are listed; documents whose shingles are counted for the order of the prefix filter.
+DIRECT, _COUNTED = 128, 20_000
+#: Most rows of a shingle's list in one block.
+_BLOCK = 1024
 #: Children whose texts meet one parent's in one group.
 _BRANCH = 128
 _SEED = 20240229
@@ -309,6 +318,105 @@ def _crossing(edges: DataFrame, components: DataFrame) -> DataFrame:
     return named.where("ca <> cb")
 
 
+def _regions(reps: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(region, id, component)`` of all orders, and ``(region, size)`` where components differ and pairs were left out."""
+    twice = F.concat("sig", "sig")
+    named = reps.join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"), twice.alias("twice"))
+    region = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("twice", 1 + 2 * PREFIX * t, 2 * PREFIX)) for t in range(ORDERS)])).alias("region")
+    rows = named.select(region, "id", "component")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows, stage_table(sizes.where(f"size > {NEIGHBOURS + 1} AND low <> high").select("region", "size"), narrow=True)
+
+
+def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
+    """How often shingles occur in about ``_COUNTED`` of ``n`` texts, by the low 20 bits of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, open_ = Shingles(words), zstandard.ZstdDecompressor()
+        counts = np.zeros(1 << 20, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                np.add.at(counts, (shingles.sets([open_.decompress(data)])[0] & np.uint64((1 << 20) - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.uint32).tobytes()], pa.binary())], names=["counts"])
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // _COUNTED))) == 0).select("data").coalesce(4)
+    total = np.zeros(1 << 20, np.uint32)
+    for row in some.mapInArrow(run, "counts binary").collect():  # four rows of 4 MB
+        total += np.frombuffer(row["counts"], np.uint32)
+    return total
+
+
+def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``dense(id, component)`` across components that share a shingle of their prefixes.
+
+    In whatever order shingles are taken, sets of n shingles that reach the similarity share one of the first
+    n - ceil(n * percent / 100) + 1.
+    """
+    own = texts.join(dense, "id").select("id", "component", "data")
+    sent = dense.sparkSession.sparkContext.broadcast(_shingle_counts(own, n, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, open_ = Shingles(words), zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            heads, sizes = [], []
+            for data in batch.column(2).to_pylist():
+                x = shingles.sets([open_.decompress(data)])[0]
+                by = np.lexsort((x, sent.value[(x & np.uint64((1 << 20) - 1)).astype(np.int64)]))
+                heads.append(x[by[: len(x) + (-len(x) * percent) // 100 + 1]])
+                sizes.append(len(x))
+            lengths = [len(h) for h in heads]
+            if sum(lengths):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(np.asarray(c, np.int64), lengths)) for c in (ids, components, sizes))], names=["shingle", "id", "component", "n"]
+                )
+
+    postings = stage_table(own.mapInArrow(run, "shingle long, id long, component long, n long"))
+    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    rows = stage_table(postings.join(lists.select("shingle", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n")]
+    left = rows.select("shingle", F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), *named("a"))
+    right = rows.select("shingle", F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), *named("b"))
+    near = left.join(right, ["shingle", "x", "y"]).where(F.expr(f"component_a <> component_b AND (x < y OR id_a < id_b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame, words: int, percent: int, filter_bytes: int) -> DataFrame | None:
+    """Every pair across components whose rows share a region that the neighbours don't cover; None if there is none."""
+    rows, mixed = _regions(reps, components)
+    if mixed.isEmpty():
+        return None
+    rows = stage_table(rows.join(mixed, "region"))
+    few = rows.where(F.col("size") <= DIRECT)
+    left, right = (few.select("region", F.col("id").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b"))
+    pairs = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b").distinct()
+    dense = stage_table(rows.where(F.col("size") > DIRECT).select("id", "component").distinct(), narrow=True)
+    if n := dense.count():
+        pairs = pairs.unionByName(_prefix_pairs(dense, _texts_of(documents, dense.select("id"), n, filter_bytes), n, words, percent)).distinct()
+    return pairs
+
+
+def _united(edges: DataFrame, tried: DataFrame, components: DataFrame, held: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components after all of ``edges(a, b, agree)`` that cross them were confirmed or refused, and the edges tried."""
+    for last in (False, True):
+        crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), components)
+        if not last:
+            crossing = crossing.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+        crossing = stage_table(crossing.select("a", "b"), narrow=True)
+        if crossing.isEmpty():
+            break
+        more = _confirmed(crossing, held, words, percent)
+        tried = tried.unionByName(crossing)
+        if not more.isEmpty():
+            # New links join whole components: unite those, then rename.
+            between = _crossing(more, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            renamed = stage_table(connected_components(between))
+            old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+            components = stage_table(old.unionByName(renamed))
+    return components, tried
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` for each row of ``documents``.
 
@@ -340,21 +448,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
         links = _confirmed(asked, held, words, percent)
         tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         components = stage_table(connected_components(links))
-        for last in (False, True):
-            crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), components)
-            if not last:
-                crossing = crossing.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-            crossing = stage_table(crossing.select("a", "b"), narrow=True)
-            if crossing.isEmpty():
-                break
-            more = _confirmed(crossing, held, words, percent)
-            tried = tried.unionByName(crossing)
-            if not more.isEmpty():
-                # New links join whole components: unite those, then rename.
-                between = _crossing(more, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-                renamed = stage_table(connected_components(between))
-                old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-                components = stage_table(old.unionByName(renamed))
+        components, tried = _united(edges, tried, components, held, words, percent)
+        pairs = _region_pairs(reps, texts, components, words, percent, filter_bytes)
+        if pairs is not None:
+            edges = stage_table(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
+            if n_edges := edges.count():
+                held = _texts_of(texts, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n_edges, filter_bytes)
+                components, _ = _united(edges, tried, components, held, words, percent)
     shared = stage_table(classes.where("size > 1").select("d0", "d1", "rep"), narrow=True)
     named = signed.select("doc_id", "n_shingles", "d0", "d1").join(shared, ["d0", "d1"], "left")
     # A text without shingles shares the digest of the empty set with others, but no class.

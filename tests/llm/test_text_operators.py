@@ -90,6 +90,45 @@ def test_near_duplicates(docs, none, n):
     assert near_dedup.near_duplicates(none, n).count() == 0
 
 
+@pytest.mark.parametrize("direct", [128, 10**6])
+def test_near_duplicates_in_a_dense_family(spark, monkeypatch, direct):
+    """Distinct texts that share most shingles, a pair mostly just under the threshold: the few links above it are found."""
+    monkeypatch.setattr(near_dedup, "DIRECT", direct, raising=False)
+    monkeypatch.setattr(near_dedup, "_BLOCK", 64, raising=False)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+
+    def changed(text, k, tag):
+        out = list(text)
+        for p in rng.sample([i for i in range(300) if out[i] == base[i]], k):
+            out[p] = f"{tag}x{p}"
+        return out
+
+    for i in range(300):
+        texts.append(changed(base, 11, f"t{i}"))
+    for i in range(40):  # shares three or four of the changes of another
+        own = list(texts[i])
+        for p in rng.sample([q for q in range(300) if own[q] != base[q]], 11 - rng.choice([3, 4])):
+            own[p] = base[p]
+        texts.append(changed(own, 11 - sum(x != y for x, y in zip(own, base)), f"u{i}"))
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 2]) for i in range(299)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sum(find(i) != i for i in range(len(texts))) >= 35
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame, 2).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(rows, 2).collect()), key=str)
