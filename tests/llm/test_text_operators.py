@@ -175,6 +175,17 @@ def test_language_model(docs, none):
     assert ngram_lm.score_documents(none).count() == 0
 
 
+def test_language_model_drops_nothing_from_a_large_filter(docs, monkeypatch):
+    want = {r["doc_id"]: r for r in ngram_lm.score_documents(docs).collect()}
+    monkeypatch.setattr(ngram_lm, "_CHUNK", 5000, raising=False)
+    got = ngram_lm.score_documents(docs, filter_bytes=1024).collect()
+    assert len(got) == len(want)
+    for r in got:
+        other = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(other["score"], rel=1e-12)
+        assert (r["n_known"], r["base_score"]) == (other["n_known"], pytest.approx(other["base_score"], rel=1e-12))
+
+
 def test_quantised_counts_never_fall_short():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     count = np.arange(1, 2000)
