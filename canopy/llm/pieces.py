@@ -1,10 +1,11 @@
 """SentencePiece segmentations of merge type with seeded merge-dropout, and their lossless decoding.
 
 Merges are taken from an agenda, best score first and leftmost among equals, as the library does for this type of model.
-With dropout each candidate that comes off the agenda is skipped if a keyed hash says so.  The key is the seed, the chunk
-(a run of spaces with the word after it), the step of its agenda and one of ``VARIANTS`` numbers that a keyed hash of
-document id and chunk number picks.  So a text always has the same segmentation under the same seed, equal words in it
-differ, and a worker can keep the result of each (chunk, variant) it met lately.
+With dropout each candidate that comes off the agenda is skipped if a keyed hash says so.  The key is the seed, the document
+id, the number of the chunk (a run of spaces with the word after it) in its text and the step of its agenda: hashes give
+the gaps between skipped steps, which are as those of a draw at each step.  So a text always has the same segmentation
+under the same seed, and each occurrence of a word has draws of its own.  A result depends on the chunk and the steps
+skipped alone; a worker keeps those it met lately, with the number of steps taken.
 
 No piece of the model goes from a word into the space after it (checked on loading), so chunks are independent.  Ids
 follow the library; without dropout they are equal to its own, but for a text that holds the model's space mark U+2581
@@ -17,8 +18,10 @@ table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from canopy.llm.words import bounded_batches, mixed, slices
 
-DROPOUT, SEED, VARIANTS = 0.1, 1729, 4
+DROPOUT, SEED = 0.1, 1729
 _MARK = "▁"
 _MEMO_ENTRIES = 1 << 17
+#: Gaps between skipped steps that are looked up at once.
+_GAPS = 4096
 #: Symbols up to which an agenda is scanned rather than kept as a heap.
 _SHORT = 48
 _NONE = float("inf")
@@ -70,14 +75,21 @@ class PieceCodec:
         if any(_MARK in p.lstrip(_MARK) for p in self._id):
             raise ValueError("the model has pieces that go on after a word; chunks would not be independent")
         self.dropout, self.seed = dropout, seed
-        self._memos = [_Memo(self, v) for v in range(VARIANTS if dropout else 1)]
-
-    def segment(self, chunk: str, variant: int) -> list[int]:
+        # Gap g: the first value of 64 bits that skips no earlier than after g taken steps, for g = 1, 2 and so on.
+        ends = np.arange(1, min(_GAPS, math.ceil(-45 / math.log1p(-dropout)) if 0 < dropout < 1 else 1) + 1)
+        self._gaps = np.array([min(int(-math.expm1(g * math.log1p(-dropout)) * 2.0**64) if dropout < 1 else 1 << 64, (1 << 64) - 1) for g in ends.tolist()], np.uint64)
+        self._ends = self._gaps.tolist()
+        self._plain_memo, self._memo = _Memo(), _Memo()
+
+    def _next(self, at: int, key: int) -> tuple[int, int]:
+        """The next skipped step from step ``at`` on, and the key of the one after it."""
+        while (gap := bisect_right(self._ends, key)) == len(self._ends):  # none among so many steps: go on behind them
+            at, key = at + gap, _turned(key)
+        return at + gap, _turned(key)
+
+    def segment(self, chunk: str, skips: _Skips) -> list[int]:
         """Ids of a chunk that is written with the space mark."""
-        return self._segment_short(chunk, variant) if len(chunk) <= _SHORT else self._segment_long(chunk, variant)
-
-    def _key(self, chunk: str, variant: int) -> tuple[int, int]:
-        return (xxhash.xxh3_64_intdigest(chunk.encode(), self.seed * 31 + variant) if self.dropout else 0), int(self.dropout * (1 << 32))
+        return self._segment_short(chunk, skips) if len(chunk) <= _SHORT else self._segment_long(chunk, skips)
 
     def _ids(self, symbols: list[str]) -> list[int]:
         out = []
@@ -86,28 +98,29 @@ class PieceCodec:
             out += [i] if i is not None else [self._bytes_id[b] for b in s.encode()]
         return out
 
-    def _segment_short(self, chunk: str, variant: int) -> list[int]:
+    def _segment_short(self, chunk: str, skips: _Skips) -> list[int]:
         """The agenda as a list by place: its least entry is found by a scan."""
         rank = self._rank.get
         symbols = list(chunk)
         agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
-        key, limit = self._key(chunk, variant)
+        step, skip = skips.step, skips.skip
         while agenda and (best := min(agenda)) != _NONE:
             at = agenda.index(best)
-            if limit:
-                key = (key * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-                if key >> 32 < limit:
-                    agenda[at] = _NONE
-                    continue
+            step += 1
+            if step > skip:
+                skip = skips.following()
+                agenda[at] = _NONE
+                continue
             symbols[at] += symbols[at + 1]
             del symbols[at + 1], agenda[at]
             if at < len(agenda):
                 agenda[at] = rank(symbols[at] + symbols[at + 1], _NONE)
             if at:
                 agenda[at - 1] = rank(symbols[at - 1] + symbols[at], _NONE)
+        skips.step = step
         return self._ids(symbols)
 
-    def _segment_long(self, chunk: str, variant: int) -> list[int]:
+    def _segment_long(self, chunk: str, skips: _Skips) -> list[int]:
         """The agenda as a heap; skips fall on the same steps as in the short form."""
         symbols = list(chunk)
         n = len(symbols)
@@ -122,15 +135,15 @@ class PieceCodec:
 
         for i in range(n - 1):
             propose(i, i + 1)
-        key, limit = self._key(chunk, variant)
+        step, skip = skips.step, skips.skip
         while agenda:
             _, left, right, total, joined = heapq.heappop(agenda)
             if not size[left] or not size[right] or size[left] + size[right] != total or after[left] != right:
                 continue
-            if limit:
-                key = (key * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-                if key >> 32 < limit:
-                    continue
+            step += 1
+            if step > skip:
+                skip = skips.following()
+                continue
             symbols[left], size[left], size[right] = joined, total, 0
             after[left] = after[right]
             if after[right] >= 0:
@@ -138,17 +151,37 @@ class PieceCodec:
                 propose(left, after[right])
             if before[left] >= 0:
                 propose(before[left], left)
+        skips.step = step
         return self._ids([s for s, k in zip(symbols, size, strict=True) if k])
 
-    def _chunk_bytes(self, chunk: str, variant: int) -> bytes:
+    def _chunk_bytes(self, chunk: str, skips: _Skips) -> bytes:
         if _MARK in chunk:
             # The mark itself is written in bytes; what stands around it is segmented by itself.
             ids: list[int] = []
             for i, part in enumerate(chunk.split(_MARK)):
                 ids += [self._bytes_id[b] for b in _MARK.encode()] if i else []
-                ids += self.segment(part.replace(" ", _MARK), variant) if part else []
+                ids += self.segment(part.replace(" ", _MARK), skips) if part else []
             return np.array(ids, np.uint32).tobytes()
-        return np.array(self.segment(chunk.replace(" ", _MARK), variant), np.uint32).tobytes()
+        return np.array(self.segment(chunk.replace(" ", _MARK), skips), np.uint32).tobytes()
+
+    def _segmented(self, chunk: str, skip: float, key: int) -> bytes:
+        """Bytes of a chunk whose first skipped step is ``skip``, the gaps behind it being drawn from ``key``."""
+        found, first, start = self._plain_memo.known(chunk), skip, key
+        used: tuple = ()
+        while found is not None:
+            if skip >= found[0]:
+                return found[1]
+            used += (skip,)
+            found = self._memo.known((chunk, used))
+            skip, key = self._next(skip + 1, key)
+        skips = _Skips(self, first, start)
+        value = self._chunk_bytes(chunk, skips)
+        if len(chunk) <= 64:
+            if skips.used:
+                self._memo.keep((chunk, tuple(skips.used)), (skips.step, value))
+            else:
+                self._plain_memo.keep(chunk, (skips.step, value))
+        return value
 
     def encode(self, text: str, doc_key: int = 0) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
@@ -156,35 +189,57 @@ class PieceCodec:
             return b""
         spaced = " " + text
         parts = _CHUNK.findall(spaced) if "  " in spaced or text[-1] == " " else [" " + x for x in text.split(" ")]
+        get, none = self._plain_memo.get, (-1, b"")
         if not self.dropout:
-            return b"".join(map(self._memos[0].__getitem__, parts))
-        pick = (mixed(np.arange(len(parts), dtype=np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(doc_key.to_bytes(16, "little", signed=True), self.seed))) % np.uint64(VARIANTS)).tolist()
-        memos = self._memos
-        return b"".join([memos[v][x] for v, x in zip(pick, parts, strict=True)])
+            return b"".join([e[1] if (e := get(x, none))[0] >= 0 else self._segmented(x, _NONE, 0) for x in parts])
+        keys = mixed(np.arange(len(parts), dtype=np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(doc_key.to_bytes(16, "little", signed=True), self.seed)))
+        gaps = np.searchsorted(self._gaps, keys, side="right")
+        rare = len(self._ends)
+        return b"".join([e[1] if skip < rare and skip >= (e := get(x, none))[0] >= 0 else self._segmented(x, *self._next(0, key)) for x, skip, key in zip(parts, gaps.tolist(), keys.tolist(), strict=True)])
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that was encoded."""
         return b"".join(map(self._plain.__getitem__, np.frombuffer(ids, np.uint32).tolist()))[1:]
 
 
+class _Skips:
+    """The steps that one occurrence of a chunk skips, and how many steps it has taken."""
+
+    def __init__(self, codec: PieceCodec, skip: float, key: int) -> None:
+        self._codec, self.skip, self._key = codec, skip, key
+        self.step, self.used = 0, []
+
+    def following(self) -> int:
+        self.used.append(self.skip)
+        self.skip, self._key = self._codec._next(self.skip + 1, self._key)
+        return self.skip
+
+
+def _turned(key: int) -> int:
+    """The key of the next gap: a linear step, then a finaliser."""
+    x = (key * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 33)
+
+
 class _Memo(dict):
-    """Two generations of results for one variant; long chunks aren't kept."""
+    """Two generations of results: steps taken and bytes."""
 
-    def __init__(self, codec: PieceCodec, variant: int) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self._codec, self._variant, self._old = codec, variant, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self._old.get(chunk)
-        if value is None:
-            value = self._codec._chunk_bytes(chunk, self._variant)
-            if len(chunk) > 64:
-                return value
+        self._old: dict = {}
+
+    def known(self, name):
+        value = self.get(name)
+        if value is None and (value := self._old.get(name)) is not None:
+            self.keep(name, value)
+        return value
+
+    def keep(self, name, value: tuple[int, bytes]) -> None:
         if len(self) >= _MEMO_ENTRIES:
             self._old = dict(self)
             self.clear()
-        self[chunk] = value
-        return value
+        self[name] = value
 
 
 def _prepared(documents: DataFrame) -> DataFrame:

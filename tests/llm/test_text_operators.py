@@ -272,6 +272,25 @@ def test_pieces(docs, none):
     assert pieces.round_trips(none).count() == 0
 
 
+def test_each_occurrence_has_merges_dropped_by_itself():
+    codec, fresh = (pieces.PieceCodec(pieces.default_model()) for _ in range(2))
+    plain = pieces.PieceCodec(pieces.default_model(), 0.0)
+    n = 20_000
+    one = plain.encode("information")
+    found = Counter()
+    for key in range(n):
+        found[codec.encode("information", key)] += 1
+    assert len(found) > 8 and all(codec.decode(x) == b"information" for x in found)
+    # Whether a result was kept makes no difference; the dropout-free one is as likely as no skip in all its steps.
+    assert all(fresh.encode("information", k) == codec.encode("information", k) for k in range(n - 1, n - 500, -1))
+    skips = pieces._Skips(plain, float("inf"), 0)
+    plain._chunk_bytes(" information", skips)
+    undropped = sum(codec._next(0, int(k))[0] >= skips.step for k in pieces.mixed(np.arange(n, dtype=np.uint64)))
+    assert undropped / n == pytest.approx(0.9**skips.step, abs=0.015) and found[one] >= 0.9 * undropped
+    long = " ".join(["information"] * 3000)
+    assert len(codec.encode(long, 5)) > len(plain.encode(long))
+
+
 def test_quality_counts(docs, none):
     rows = {r["doc_id"]: r for r in quality_rules.document_verdicts(docs).collect()}
     for i, t in TEXTS.items():
