@@ -63,7 +63,7 @@ def dependency_paths(spark, sf_dir):
     """Best paths of any length between two brands, with names."""
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir)
+    g = td.sequence_graph(spark, sf_dir, thin=False)
     rows = reach.dependency_paths(g, handle_of("Brand#1"), handle_of("Brand#2"), 5)
     steps = rows.select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("p"), "length", "weight", F.posexplode("path").alias("at", "id"))
     return steps.join(g.nodes.select("id", "qualified_name"), "id").groupBy("p", "length", "weight").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "qualified_name"))), lambda x: x["qualified_name"]), " > ").alias("path")).select("path", "length", "weight")
@@ -71,8 +71,8 @@ def dependency_paths(spark, sf_dir):
 
 @register("strong_components", None)
 def strong_components(spark, sf_dir):
-    """Sizes of the cycles of the thinned sequence graph."""
-    g = td.sequence_graph(spark, sf_dir)
+    """Sizes of the cycles of the sequence graph."""
+    g = td.sequence_graph(spark, sf_dir, thin=False)
     return ordering.strong_components(g.edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -117,8 +117,53 @@ def mutual_dependencies(spark, sf_dir):
 
 @register("brand_levels", None)
 def brand_levels(spark, sf_dir):
-    """Levels of brands in the acyclic sequence graph."""
-    g = td.sequence_graph(spark, sf_dir, acyclic=True)
+    """Levels of brands in the sequence graph."""
+    g = td.sequence_graph(spark, sf_dir, thin=False)
     ids = _ids(g, MODULE)
     found = ordering.levels(ordering.matrix_of(g, ids))
     return named(spark.createDataFrame(list(zip(ids, found, strict=True)), "id long, level int"), g.nodes, node="id").select("node", "level")
+
+
+# The queries above that have SQL keep to a part of the lines, as their SQL does; these take all lines and any length.
+
+
+@register("whole_affected_by")
+def whole_affected_by(spark, sf_dir):
+    """Everything that depends on a brand's parts in the whole sequence graph, with its distance."""
+    from canopy.functions.names import handle_of
+
+    g = td.sequence_graph(spark, sf_dir, thin=False)
+    return named(reach.affected(g, handle_of("Brand#1")).select("id", "distance"), g.nodes, node="id").select("node", "distance")
+
+
+@register("whole_depends_on_by_distance")
+def whole_depends_on_by_distance(spark, sf_dir):
+    from canopy.functions.names import handle_of
+
+    g = td.sequence_graph(spark, sf_dir, thin=False)
+    return reach.distances(reach.affected(g, handle_of("Brand#1"), incoming=False))
+
+
+@register("whole_source_counts")
+def whole_source_counts(spark, sf_dir):
+    """How many of a brand's parts reach each dependent in the whole sequence graph."""
+    from canopy.functions.names import handle_of
+
+    g = td.sequence_graph(spark, sf_dir, thin=False)
+    found = reach.source_counts(g, g.scope_types([handle_of("Brand#1")]).select("id"))
+    return named(found, g.nodes, node="id").select("node", "sources")
+
+
+@register("whole_best_paths")
+def whole_best_paths(spark, sf_dir):
+    """The best paths of any length from one brand to another in the whole sequence graph, by length and weight."""
+    from canopy.functions.names import handle_of
+
+    g = td.sequence_graph(spark, sf_dir, thin=False)
+    return reach.dependency_paths(g, handle_of("Brand#1"), handle_of("Brand#2"), 20).groupBy("length", "weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("whole_sequence_edges", f"{with_(sequence(thin=False))} SELECT a AS from_type, b AS to_type, CAST(weight AS INTEGER) AS weight FROM g")
+def whole_sequence_edges(spark, sf_dir):
+    g = td.sequence_graph(spark, sf_dir, thin=False)
+    return named(g.edges.select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")
