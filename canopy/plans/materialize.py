@@ -1,18 +1,23 @@
 """Cutting lineage through tables in the folder all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only when that setting is absent (tests, local
-runs) a temporary folder is made and set as the session's checkpoint folder.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only when that setting is absent from a local
+session (tests, local runs) a temporary folder is made and set as the session's checkpoint folder; a session on a cluster
+must name a folder.
 """
 
 from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STAGED: list[tuple[SparkSession, str]] = []
+#: Path of each staged table, with its session and the thread that staged it.
+_STAGED: dict[str, tuple[SparkSession, int]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="canopy-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -35,19 +42,49 @@ def stage_table(df: DataFrame, narrow: bool = False) -> DataFrame:
     that they don't become many tiny files.
 
     The result does not depend on any executor's local disk, so it survives lost executors, and its lineage is one scan.
-    Staged tables are removed by :func:`release_staged`, at the latest when the driver's Python exits.
+    Staged tables are removed by :func:`scratch` or :func:`release`, at the latest when the driver's Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/canopy-{uuid.uuid4().hex}"
     (df.coalesce(max(1, parallelism(spark) // 8)) if narrow else df).write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED[path] = (spark, threading.get_ident())
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_staged_path"] = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged in the block by this thread are deleted at its end, except those given to the function it yields.
+
+    What leaves the block must read none of the others.
+    """
+    before, kept = set(_STAGED), set()
+
+    def keep(staged: DataFrame) -> DataFrame:
+        kept.add(staged.__dict__["_staged_path"])
+        return staged
+
+    try:
+        yield keep
+    finally:
+        mine = threading.get_ident()
+        _delete([p for p, (_, thread) in _STAGED.items() if thread == mine and p not in before and p not in kept])
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete tables that :func:`stage_table` returned and that nothing reads any more."""
+    _delete([p for p in (x.__dict__.get("_staged_path") for x in staged) if p in _STAGED])
 
 
 def release_staged() -> None:
     """Delete every table staged so far."""
-    while _STAGED:
-        spark, path = _STAGED.pop()
+    _delete(list(_STAGED))
+
+
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        spark, _ = _STAGED.pop(path)
         try:
             sc = spark.sparkContext
             hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
