@@ -7,18 +7,19 @@ what is left of the sequence, each dimension weighted by its mean demand; when n
 Examples are dealt by hash into bins' worlds of about ``WORLD`` examples, each packed by itself: a world is bounded, its
 last sequence is the only one that is short for want of examples, and no key can gather in one task.
 
-Texts longer than a sequence are cut into whole sequences and a rest.  Token ids are those of the ``tokenizers`` file;
-the engine here is its equal from the same vocabulary, called once for each distinct word seen lately: a space between
-two other characters always starts a new pre-token, so texts can be encoded between such spaces independently.
+Texts longer than a sequence are cut into whole sequences and a rest.  Conversations are one example each; one over a
+limit is cut into its turns, and these at the limit.  Token ids are those of the ``tokenizers`` file; the engine here is
+its equal from the same vocabulary, called once for each distinct word seen lately: a space between two other characters
+always starts a new pre-token, so texts can be encoded between such spaces independently.
 
 Defined results: a null text is empty (its only id is the end); a null id passes through; rows that repeat an id are
-packed one by one; an empty table gives an empty result; an example over a limit by itself is an error, as it fits
-nowhere.
+packed one by one; an empty table gives an empty result; an example over a limit by itself fits nowhere and is set aside:
+its sequence and offset are null; columns of examples whose names begin with ``__`` are reserved, others pass through.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -44,18 +45,34 @@ _RUN_OF_SPACE = re.compile(r"\s\s")
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable bytes stand for themselves, the rest follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts, as the ``tokenizers`` library gives them, as little-endian unsigned 32-bit bytes.
+
+    A text that holds an added token of the vocabulary (``<|endoftext|>``) goes to the library itself.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
         import tiktoken
-
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
+        from tokenizers import Tokenizer
+
+        with open(vocabulary, encoding="utf-8") as lines:
+            parts = json.load(lines)
+        self._library = Tokenizer.from_file(vocabulary)
+        added = {x["content"]: x["id"] for x in parts["added_tokens"]}
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in parts["model"]["vocab"].items() if token not in added}
         self._encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._after_space, self._at_start = _Memo(self._bytes, " "), _Memo(self._bytes, "")
 
@@ -63,6 +80,8 @@ class Encoder:
         return np.array(self._encode(text), np.uint32).tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self._added and self._added.search(text):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         parts = _PLAIN_SPACE.split(text) if _RUN_OF_SPACE.search(text) else text.split(" ")
         return self._at_start[parts[0]] + b"".join(map(self._after_space.__getitem__, parts[1:]))
 
@@ -116,17 +135,16 @@ def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabular
 
 
 def pack_world(demands: np.ndarray, limits: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and first token of each example of a world; ``demands`` has a row for each example."""
+    """Sequence number (-1: over a limit by itself) and first token of each example of a world, one row of ``demands`` each."""
     d = demands / np.asarray(limits, float)
-    if (d > 1).any():
-        raise ValueError("an example exceeds a limit by itself")
     n = len(d)
+    fitting = (d <= 1).all(axis=1)
     bin_of, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    full = np.flatnonzero(demands[:, 0] == limits[0])
+    full = np.flatnonzero(fitting & (demands[:, 0] == limits[0]))
     bin_of[full] = np.arange(len(full))
     bins = len(full)
-    weighted = d * d.mean(axis=0)
-    left = np.flatnonzero(bin_of < 0)
+    weighted = d * d[fitting].mean(axis=0) if fitting.any() else d
+    left = np.flatnonzero(fitting & (bin_of < 0))
     # Larger examples first, so that equal dot products go to the larger, then to the earlier.
     left = left[np.argsort(-demands[left, 0], kind="stable")]
     exact = demands[left]
@@ -171,7 +189,8 @@ def pack(examples: DataFrame, limits: Sequence[int] = LIMITS, world: int = WORLD
         table = table.sort_by("uid")
         demands = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("tokens", "segments", "loss_tokens")], axis=1)
         bins, offset = pack_world(demands, limits)
-        out = table.select(plain.names).append_column("sequence_id", pa.array((number << 24) + bins)).append_column("offset", pa.array(offset))
+        aside = bins < 0
+        out = table.select(plain.names).append_column("sequence_id", pa.array((number << 24) + bins, mask=aside)).append_column("offset", pa.array(offset, mask=aside))
         yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +223,33 @@ def pack_documents(documents: DataFrame, limits: Sequence[int] = LIMITS, vocabul
     return pack(stage_table(demands), limits).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def conversation_examples(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One example for each conversation: its turns' tokens with an end after each; only the assistant's bear loss."""
+def conversation_examples(conversations: DataFrame, limits: Sequence[int] = LIMITS, vocabulary: str | None = None) -> DataFrame:
+    """Examples from ``conversations(conv_id, turn, role, text)``: ``conv_id, turn, start, uid`` and their demands.
+
+    A turn has its tokens and an end; only the assistant's bear loss.  A conversation within the limits is one example
+    (``turn`` and ``start`` null); of a longer one, and where the id is null, each turn is an example, cut at the limit
+    on tokens and that on loss.
+    """
     where = vocabulary or default_vocabulary()
+    spark = conversations.sparkSession
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(where)
         for batch in batches:
-            n = [len(encoder.ids(x or "")) // 4 + 1 for x in batch.column(1).to_pylist()]
-            loss = [k if role == "assistant" else 0 for k, role in zip(n, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "tokens", "loss_tokens"])
-
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "text", "role").mapInArrow(run, "conv_id long, tokens long, loss_tokens long")
-    whole = turns.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
-    return whole.select("conv_id", F.coalesce("conv_id", F.lit(-1)).alias("uid"), "tokens", F.lit(1).cast("long").alias("segments"), "loss_tokens")
+            n = [len(encoder.ids(x or "")) // 4 + 1 for x in batch.column(2).to_pylist()]
+            loss = [k if role == "assistant" else 0 for k, role in zip(n, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "turn", "tokens", "loss_tokens"])
+
+    source = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", "role")
+    turns = stage_table(source.mapInArrow(run, "conv_id long, turn long, tokens long, loss_tokens long"))
+    totals = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+    fits = (F.col("tokens") <= limits[0]) & (F.col("loss_tokens") <= limits[2])
+    totals = stage_table(totals)
+    one = F.lit(1).cast("long").alias("segments")
+    whole = totals.where(fits).select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("long").alias("start"), F.xxhash64("conv_id").alias("uid"), "tokens", one, "loss_tokens")
+    most = F.when(F.col("loss_tokens") > 0, F.lit(min(limits[0], limits[2]))).otherwise(F.lit(limits[0]))
+    cut = turns.join(totals.where(fits).select("conv_id"), "conv_id", "left_anti").withColumn("most", most.cast("long")).withColumn("start", F.explode(F.expr("sequence(0L, tokens - 1, most)")))
+    length = F.least(F.col("most"), F.col("tokens") - F.col("start"))
+    pieces = cut.select("conv_id", "turn", "start", F.xxhash64("conv_id", "turn", "start", "tokens").alias("uid"), length.alias("tokens"), one, F.when(F.col("loss_tokens") > 0, length).otherwise(0).cast("long").alias("loss_tokens"))
+    return whole.unionByName(pieces)

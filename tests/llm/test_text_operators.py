@@ -11,6 +11,7 @@ import pytest
 
 from canopy.llm import components, hnsw, near_dedup, ngram_lm, packing, pairwise_quality, pieces, quality_rules, secrets, sharding, substring
 from canopy.llm.words import _spark_hash, route_keys
+from canopy.plans.materialize import stage_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -248,8 +249,44 @@ def test_pack_world_respects_all_limits():
     for b in np.unique(bins):
         own = d[bins == b]
         assert (own.sum(axis=0) <= (200, 4, 90)).all()
-    with pytest.raises(ValueError):
-        packing.pack_world(np.array([[300, 1, 0]]), (200, 4, 90))
+    assert packing.pack_world(np.array([[300, 1, 0], [200, 1, 0], [10, 1, 91], [5, 1, 5]]), (200, 4, 90))[0].tolist() == [-1, 0, -1, 1]
+
+
+def test_added_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    rng = random.Random(3)
+    bits = ["<|endoftext|>", "<|endoftext", " ", "  ", "\n", "a", "it's", "é漢", "\x1c", "\u00a0", "12", "<|", "|>", "\t"]
+    for text in ["a <|endoftext|> b", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(400))]:
+        assert np.frombuffer(encoder.ids(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_conversations_are_packed_under_all_limits(spark, sf_dir):
+    limits = (400, 5, 150)
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = [(None, 1, "user", "hello there"), (None, 1, "user", "hello there"), (10**9, 0, "assistant", "word " * 900), (10**9, 1, None, None)]
+    table = table.unionByName(spark.createDataFrame(more, table.schema))
+    examples = packing.conversation_examples(table, limits)
+    rows = packing.pack(stage_table(examples), limits).collect()
+    encoder = packing.Encoder(packing.default_vocabulary())
+    want = Counter()
+    for r in table.collect():
+        n = len(encoder.ids(r["text"] or "")) // 4 + 1
+        want.update({"tokens": n, "loss": n if r["role"] == "assistant" else 0})
+    assert (sum(r["tokens"] for r in rows), sum(r["loss_tokens"] for r in rows)) == (want["tokens"], want["loss"])
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert None not in sequences
+    for own in sequences.values():
+        assert all(sum(r[c] for r in own) <= most for c, most in zip(("tokens", "segments", "loss_tokens"), limits))
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["tokens"]
+    # All three limits are met by some sequence, and the loss limit binds.
+    assert max(sum(r["loss_tokens"] for r in own) for own in sequences.values()) == 150
 
 
 def test_pieces(docs, none):
