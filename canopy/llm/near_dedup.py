@@ -11,9 +11,11 @@ agree much deeper stand next to each other, so the depth adapts to the region.
 together with one row each.  A pair of similarity 0.8 shares a region in some order with probability 1-(1-0.8^4)^16 = 0.9998.
 
 *All pairs of regions.*  Where a region has more rows than neighbours and these are still in different components, all its
-pairs across components are candidates: directly up to ``DIRECT`` rows; above, by a prefix-filter join on the full sets of
-the rows concerned, rarest shingles first, whose long lists are dealt out in pairs of blocks.  Shingle frequencies of a
-bounded sample only choose the order of the filter, so they don't bear on what is found.
+pairs across components are tried: directly up to ``DIRECT`` rows; above, by a prefix-filter join on the full sets of the
+rows concerned, rarest shingles first.  Short lists of that join give candidates.  Rows that meet in long lists form dense
+families, whose blocks meet two by two: a task compares all rows of two blocks and sends out a spanning forest of the links
+it finds, so no pair is listed.  Shingle frequencies of a bounded sample only choose the order of the filter, so they don't
+bear on what is found.
 
 *Confirmation.*  Candidates whose signatures agree too seldom (four standard deviations below the threshold) go; the rest
 are confirmed on the full sets.  Texts of concerned documents move compressed, about once for each edge that is tried.  Edges that
@@ -38,15 +40,15 @@ from pyspark.sql import functions as F
 
 from canopy.llm.components import connected_components
 from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
-from canopy.plans.materialize import parallelism, stage_table
+from canopy.plans.materialize import parallelism, release, scratch, stage_table
 
 MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
 #: Most bytes of the filter of document ids that is sent to all tasks.
 FILTER_BYTES = 32 << 20
 #: Rows up to which all pairs of a region are listed; documents whose shingles are counted for the order of the prefix filter.
 DIRECT, _COUNTED = 128, 20_000
-#: Most rows of a shingle's list in one block.
-_BLOCK = 1024
+#: Rows up to which all pairs of a shingle's list are listed; rows and shingles of a block of a family.
+_SHORT, _BLOCK_ROWS, _BLOCK_SHINGLES = 16, 1024, 1_000_000
 #: Children whose texts meet one parent's in one group.
 _BRANCH = 128
 _SEED = 20240229
@@ -346,8 +348,9 @@ def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
     return total
 
 
-def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ``dense(id, component)`` across components that share a shingle of their prefixes.
+def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of ``dense(id, component)`` across components that share a shingle of their prefixes: those of
+    short lists to be confirmed, and confirmed links for long lists.
 
     In whatever order shingles are taken, sets of n shingles that reach the similarity share one of the first
     n - ceil(n * percent / 100) + 1.
@@ -372,29 +375,167 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percen
                 )
 
     postings = stage_table(own.mapInArrow(run, "shingle long, id long, component long, n long"))
-    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    rows = stage_table(postings.join(lists.select("shingle", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n")]
-    left = rows.select("shingle", F.col("block").alias("x"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"), *named("a"))
-    right = rows.select("shingle", F.explode(F.expr("sequence(0, block)")).alias("x"), F.col("block").alias("y"), *named("b"))
-    near = left.join(right, ["shingle", "x", "y"]).where(F.expr(f"component_a <> component_b AND (x < y OR id_a < id_b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    return near.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-
-
-def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame, words: int, percent: int, filter_bytes: int) -> DataFrame | None:
-    """Every pair across components whose rows share a region that the neighbours don't cover; None if there is none."""
+    lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).where("low <> high")
+    lists = stage_table(lists.select("shingle", "size", "first"))
+    few = stage_table(postings.join(lists.where(F.col("size") <= _SHORT).select("shingle"), "shingle"))
+    left, right = (few.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n")]) for side in ("a", "b"))
+    near = left.join(right, "shingle").where(F.expr(f"component_a <> component_b AND id_a < id_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    pairs = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    long = postings.join(lists.where(F.col("size") > _SHORT).select("shingle", "first"), "shingle").select("id", "component", "n", "first")
+    return pairs, _family_links(stage_table(long.distinct()), own, words, percent)
+
+
+def _family_links(long: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` inside families, enough to unite what its pairs unite; ``long(id, component, n, first)`` ties rows.
+
+    A family is dealt into blocks, large components into blocks of their own; every two blocks that hold different
+    components meet in a task, which compares all their rows and sends out a spanning forest of the links it finds.
+    """
+    spark = long.sparkSession
+    families = stage_table(connected_components(long.select(F.col("id").alias("a"), F.col("first").alias("b"))), narrow=True)
+    rows = long.select("id", "component", "n").distinct().join(families.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    rows = stage_table(rows)
+    most = lambda n, total: F.greatest(F.ceil(F.col(n) / _BLOCK_ROWS), F.ceil(F.col(total) / _BLOCK_SHINGLES))
+    owned = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).withColumn("parts", most("k", "total"))
+    pool = owned.where("parts = 1").groupBy("family").agg(F.sum("k").alias("k"), F.sum("total").alias("total")).select("family", most("k", "total").alias("pool"))
+    placed = rows.join(owned.select("family", "component", "parts"), ["family", "component"]).join(pool, "family", "left")
+    large = F.col("parts") > 1
+    placed = placed.select(
+        "family",
+        F.when(large, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.xxhash64(F.lit("pool"), "family", F.pmod(F.xxhash64("component"), F.col("pool")))).alias("block"),
+        F.when(large, F.col("component")).alias("tag"),
+        "id",
+        "component",
+    )
+    placed = stage_table(placed)
+    blocks = stage_table(placed.select("family", "block", "tag").distinct(), narrow=True)
+    x, y = blocks.select("family", F.col("block").alias("x"), F.col("tag").alias("tx")), blocks.select("family", F.col("block").alias("y"), F.col("tag").alias("ty"))
+    meetings = x.join(y, "family").where("x <= y AND NOT coalesce(tx = ty, false)").select("x", "y")
+    texts = own.select("id", "data")
+    packed = placed.select("block", "id", "component").join(texts, "id").select("block", "id", "component", "data").repartition(parallelism(spark), "block").sortWithinPartitions("block")
+    packed = stage_table(packed.mapInArrow(_pack_blocks, "block long, rows binary"))
+    met = meetings.join(packed.withColumnRenamed("block", "x").withColumnRenamed("rows", "left"), "x").join(packed.withColumnRenamed("block", "y").withColumnRenamed("rows", "right"), "y")
+    return stage_table(met.select("x", "y", "left", "right").mapInArrow(_compare_blocks(words, percent), "a long, b long").distinct(), narrow=True)
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block: ids, components and texts, compressed together as they are much alike."""
+    squeeze, open_ = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+    at, held = None, []
+
+    def packed() -> pa.RecordBatch:
+        ids, components, texts = zip(*held, strict=True)
+        body = np.array([len(held)], np.int64).tobytes() + np.array([ids, components, [len(t) for t in texts]], np.int64).tobytes() + b"".join(texts)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([squeeze.compress(body)], pa.binary())], names=["block", "rows"])
+
+    for batch in batches:
+        for block, i, component, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if held and block != at:
+                yield packed()
+                held.clear()
+            at = block
+            held.append((i, component, open_.decompress(data)))
+    if held:
+        yield packed()
+
+
+def _compare_blocks(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, open_ = Shingles(words), zstandard.ZstdDecompressor()
+
+        def read(data: bytes):
+            body = open_.decompress(data)
+            n = int(np.frombuffer(body, np.int64, 1)[0])
+            ids, components, lengths = np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n)
+            ends = 8 + 24 * n + np.cumsum(lengths)
+            x, cuts = shingles.sets([body[e - k : e] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)])
+            return ids, components, x, np.diff(cuts)
+
+        last, kept = None, None
+        for batch in batches:
+            for x, y, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if x != last:
+                    last, kept = x, read(left)
+                a = kept
+                b = a if x == y else read(right)
+                both = common_counts(a[2], a[3], b[2], b[3])
+                linked = 100 * both >= percent * (a[3][:, None] + b[3][None, :] - both)
+                linked &= a[1][:, None] != b[1][None, :]
+                found = _forest(a, b, *np.nonzero(np.triu(linked, 1) if x == y else linked))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def common_counts(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``; sets of sizes ``nx``, ``ny`` follow one another."""
+    values, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    ax, ay = at[: len(x)], at[len(x) :]
+    rx, ry = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    cx, cy = np.bincount(ax, minlength=len(values)), np.bincount(ay, minlength=len(values))
+    often = (cx * 16 > len(nx)) & (cy * 16 > len(ny))
+    columns = np.cumsum(often) - 1
+    left, right = np.zeros((len(nx), int(often.sum())), np.float32), np.zeros((len(ny), int(often.sum())), np.float32)
+    left[rx[often[ax]], columns[ax[often[ax]]]] = 1
+    right[ry[often[ay]], columns[ay[often[ay]]]] = 1
+    out = np.rint(left @ right.T).astype(np.int32)
+    # The other shingles: rows of x meet the list of rows of y.
+    by = np.argsort(ay, kind="stable")
+    lists, start = ry[by], np.searchsorted(ay[by], np.arange(len(values) + 1))
+    rest = np.flatnonzero(~often[ax] & (cy[ax] > 0))
+    flat = out.reshape(-1)
+    for low in range(0, len(rest), 50_000):
+        some = rest[low : low + 50_000]
+        count = cy[ax[some]]
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[ax[some]], count)
+        cells, add = np.unique(np.repeat(rx[some], count) * len(ny) + lists[place], return_counts=True)
+        flat[cells] += add.astype(np.int32)
+    return out
+
+
+def _forest(a, b, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between rows ``i`` of ``a`` and ``j`` of ``b``, those that join components not joined before."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    out = []
+    for ida, idb, ca, cb in zip(a[0][i].tolist(), b[0][j].tolist(), a[1][i].tolist(), b[1][j].tolist(), strict=True):
+        ca, cb = root(ca), root(cb)
+        if ca != cb:
+            above[max(ca, cb)] = min(ca, cb)
+            out.append((ida, idb))
+    return out
+
+
+def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame, words: int, percent: int, filter_bytes: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """For every pair across components whose rows share a region that the neighbours don't cover: a candidate, or links
+    that unite what it would; None where there is none."""
     rows, mixed = _regions(reps, components)
     if mixed.isEmpty():
-        return None
+        return None, None
     rows = stage_table(rows.join(mixed, "region"))
     few = rows.where(F.col("size") <= DIRECT)
     left, right = (few.select("region", F.col("id").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b"))
-    pairs = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b").distinct()
+    pairs, links = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b").distinct(), None
     dense = stage_table(rows.where(F.col("size") > DIRECT).select("id", "component").distinct(), narrow=True)
     if n := dense.count():
-        pairs = pairs.unionByName(_prefix_pairs(dense, _texts_of(documents, dense.select("id"), n, filter_bytes), n, words, percent)).distinct()
-    return pairs
+        more, links = _prefix_pairs(dense, _texts_of(documents, dense.select("id"), n, filter_bytes), n, words, percent)
+        pairs = pairs.unionByName(more).distinct()
+    return pairs, links
+
+
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after new links, which join whole components: those are united, then renamed."""
+    between = _crossing(links, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    renamed = stage_table(connected_components(between))
+    old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    return stage_table(old.unionByName(renamed))
 
 
 def _united(edges: DataFrame, tried: DataFrame, components: DataFrame, held: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -409,11 +550,7 @@ def _united(edges: DataFrame, tried: DataFrame, components: DataFrame, held: Dat
         more = _confirmed(crossing, held, words, percent)
         tried = tried.unionByName(crossing)
         if not more.isEmpty():
-            # New links join whole components: unite those, then rename.
-            between = _crossing(more, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            renamed = stage_table(connected_components(between))
-            old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-            components = stage_table(old.unionByName(renamed))
+            components = _joined(components, more)
     return components, tried
 
 
@@ -427,38 +564,49 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage_table(texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
-    usable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), narrow=True)
-    reps = stage_table(
-        usable.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"])
-    )
-
-    edges = stage_table(_agreeing(_candidates(reps), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
-    components = spark.createDataFrame([], "id long, component long")
-    n_edges = edges.count()
-    if n_edges:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        held = _texts_of(texts, ends, 2 * n_edges, filter_bytes)
-        likely = F.col("agree") >= int(MINIMA * (0.5 + percent / 200))
-        # Every document asks the partner of least hash among its likely ones, else the one that agrees most: in a dense
-        # region all ask the same few.
-        directed = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
-        ask = F.when(likely, F.struct(F.lit(0).alias("x"), F.xxhash64("b").alias("y"), F.col("b"))).otherwise(F.struct((F.lit(1) + MINIMA - F.col("agree")).alias("x"), F.xxhash64("b").alias("y"), F.col("b")))
-        asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")), narrow=True)
-        links = _confirmed(asked, held, words, percent)
-        tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        components = stage_table(connected_components(links))
-        components, tried = _united(edges, tried, components, held, words, percent)
-        pairs = _region_pairs(reps, texts, components, words, percent, filter_bytes)
-        if pairs is not None:
-            edges = stage_table(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
-            if n_edges := edges.count():
-                held = _texts_of(texts, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n_edges, filter_bytes)
-                components, _ = _united(edges, tried, components, held, words, percent)
-    shared = stage_table(classes.where("size > 1").select("d0", "d1", "rep"), narrow=True)
+    with scratch() as keep:
+        usable = signed.where("doc_id is not null and n_shingles > 0")
+        classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), narrow=True)
+        reps = stage_table(
+            usable.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"])
+        )
+        shared = keep(stage_table(classes.where("size > 1").select("d0", "d1", "rep"), narrow=True))
+        components = keep(stage_table(_components_of(reps, texts, words, percent, filter_bytes), narrow=True))
     named = signed.select("doc_id", "n_shingles", "d0", "d1").join(shared, ["d0", "d1"], "left")
     # A text without shingles shares the digest of the empty set with others, but no class.
     named = named.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = named.join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components_of(reps: DataFrame, texts: DataFrame, words: int, percent: int, filter_bytes: int) -> DataFrame:
+    """``(id, component)`` of the representatives ``reps(id, n_shingles, sig)`` that are not smallest in their component."""
+    spark = reps.sparkSession
+    edges = stage_table(_agreeing(_candidates(reps), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
+    n_edges = edges.count()
+    if not n_edges:
+        return spark.createDataFrame([], "id long, component long")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = _texts_of(texts, ends, 2 * n_edges, filter_bytes)
+    likely = F.col("agree") >= int(MINIMA * (0.5 + percent / 200))
+    # Every document asks the partner of least hash among its likely ones, else the one that agrees most: in a dense
+    # region all ask the same few.
+    directed = edges.select("a", "b", "agree").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    ask = F.when(likely, F.struct(F.lit(0).alias("x"), F.xxhash64("b").alias("y"), F.col("b"))).otherwise(F.struct((F.lit(1) + MINIMA - F.col("agree")).alias("x"), F.xxhash64("b").alias("y"), F.col("b")))
+    asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")), narrow=True)
+    links = _confirmed(asked, held, words, percent)
+    tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    components = stage_table(connected_components(links))
+    components, tried = _united(edges, tried, components, held, words, percent)
+    release(held)
+    pairs, links = _region_pairs(reps, texts, components, words, percent, filter_bytes)
+    if pairs is None:
+        return components
+    if links is not None and not links.isEmpty():
+        components = _joined(components, links)
+    edges = stage_table(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
+    if n_edges := edges.count():
+        held = _texts_of(texts, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n_edges, filter_bytes)
+        components, _ = _united(edges, tried, components, held, words, percent)
+    return components

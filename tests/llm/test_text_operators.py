@@ -95,7 +95,7 @@ def test_near_duplicates(docs, none, n):
 def test_near_duplicates_in_a_dense_family(spark, monkeypatch, direct):
     """Distinct texts that share most shingles, a pair mostly just under the threshold: the few links above it are found."""
     monkeypatch.setattr(near_dedup, "DIRECT", direct, raising=False)
-    monkeypatch.setattr(near_dedup, "_BLOCK", 64, raising=False)
+    monkeypatch.setattr(near_dedup, "_BLOCK_ROWS", 64)
     rng = random.Random(12)
     base = [f"b{i}" for i in range(300)]
     texts = []
