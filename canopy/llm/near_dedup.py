@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -278,6 +279,18 @@ def _texts_of(documents: DataFrame, ids: DataFrame, n: int, filter_bytes: int) -
     return stage_table(documents.select("doc_id", "text").mapInArrow(run, "id long, data binary"))
 
 
+def split_by_id(rows: DataFrame, key: str, ids: DataFrame, n: int, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` (a long) is surely not among the ``n`` distinct ids of the one-column table ``ids``, and the rest."""
+    has = _id_filter(rows.sparkSession, ids, max(n, 1), filter_bytes)
+
+    @F.pandas_udf("boolean")
+    def found(x: pd.Series) -> pd.Series:
+        return pd.Series(has(x.to_numpy(np.int64)))
+
+    hit = F.col(key).isNotNull() & found(F.coalesce(F.col(key), F.lit(0)).cast("long"))
+    return rows.where(~hit), rows.where(hit)
+
+
 def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges ``(a, b)``, b the parent, that hold on the full sets.  A parent's text goes to each ``_BRANCH`` children."""
     spark = edges.sparkSession

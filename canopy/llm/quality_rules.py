@@ -2,22 +2,26 @@
 
 Each text gives counts (see :func:`text_counts`) and, from those, a vector of transformed statistics.  For every language
 and source a minimum-covariance-determinant estimate of centre and spread is fitted on all its documents that pass the
-base limits: starting from medians and median deviations, concentration steps keep the three quarters of the rows with
-the least Mahalanobis distance and estimate again; a last reweighted step uses every row that the estimate doesn't call
-an outlier.  A document is rejected when its squared distance exceeds ``cutoff``.
-
-Every step is a pair of aggregations by group with map-side combination (a mergeable quantile sketch, then moments), so a
-source with a third of all rows is no more work for one task than any other.  Estimates travel as a table, one row for
-each group; a spread has a floor in each direction (``FLOORS``), since most clean texts have no symbols at all.  Groups
-of fewer than ``min_rows`` rows borrow the estimate of their language, and if that is as small, that of all documents.
+base limits.  Three starts compete: the medians with median deviations, with the covariance of spatial signs, and with the
+floors alone.  From each, concentration steps keep the ``SHARE`` of the rows with the least Mahalanobis distance and
+estimate again; the start whose covariance ends with the least determinant wins, and a reweighted step uses every row
+within its 0.975 quantile.  A document is rejected when its squared distance exceeds the quantile of chi-square that a
+share ``TAIL`` of normal documents would pass.
+
+Every step is a pair of aggregations by group and start with map-side combination (a mergeable quantile sketch, then
+moments), so a source with a third of all rows is no more work for one task than any other.  Estimates travel as a table,
+one row for each group; a spread has a floor in each direction (``FLOORS``), since most clean texts have no symbols at
+all.  Small groups lean on wider ones: the estimate of n rows has weight n / (n + ``PRIOR``) against that of its language,
+and this one likewise against that of all documents; the wider ones are merged from the moments of the groups.
 
 Defined results: a null text is empty and fails the base limits; null languages and sources are groups of their own; rows
 that repeat an id are judged one by one; an empty table gives an empty result; columns of ``documents`` other than the
-text, id, language and source pass through if named in ``keep``.
+text, id, language and source pass through if named in ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
-from canopy.plans.materialize import stage_table
+from canopy.plans.materialize import release, scratch, stage_table
 
 #: What counts as a symbol, the least words, the largest percentage of repeated words.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 20, 30
@@ -39,9 +43,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 STATS = ("mean_length", "symbols", "dup_lines", "repeats", "upper", "stutter")
 #: Least standard deviation of each statistic.
 FLOORS = (0.25, 0.06, 0.12, 0.10, 0.05, 0.08)
-CUTOFF = 45.0
-MIN_ROWS = 100
-STEPS = 3
+#: Share of normal documents beyond the cutoff: quantile 45 of chi-square with six degrees.
+TAIL = 4.7e-8
+#: Share of the rows that concentration keeps; quantile of the reweighted step; concentration steps; weight of a wider estimate in rows.
+SHARE, WITHIN, STEPS, PRIOR = 0.75, 0.975, 3, 50
 _SLICE = 1 << 20
 
 
@@ -133,75 +138,176 @@ def _distance() -> Column:
     return out
 
 
-_FIT = "grp string, n long, centre array<double>, precision array<double>"
+def chi_square(x: float, degrees: int) -> float:
+    """Share of a chi-square variable with an even number of degrees of freedom that is at most ``x``."""
+    term, total = 1.0, 1.0
+    for k in range(1, degrees // 2):
+        term *= x / 2 / k
+        total += term
+    return 1.0 - math.exp(-x / 2) * total
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return high
+
+
+def consistency(share: float, degrees: int = _P) -> float:
+    """What the covariance of the nearest ``share`` of normal rows is to be multiplied by."""
+    return share / chi_square(chi_square_quantile(share, degrees), degrees + 2)
+
+
+_FIT = "grp string, start int, n long, centre array<double>, cov array<double>, precision array<double>, logdet double"
+_FIT_SCHEMA = pa.schema([("grp", pa.string()), ("start", pa.int32()), ("n", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("centre", "cov", "precision")), ("logdet", pa.float64())])
+
+
+def _square(upper: Sequence[float]) -> np.ndarray:
+    out = np.zeros((_P, _P))
+    for value, (i, j) in zip(upper, _CROSS, strict=True):
+        out[i, j] = out[j, i] = value
+    return out
+
+
+def _upper(square: np.ndarray) -> list[float]:
+    return [float(square[i, j]) for i, j in _CROSS]
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Centres and precisions from sums and products, with the floors added to the variances."""
+    """Centres, covariances and precisions from sums and products, with the floors added to the variances."""
     floor = np.diag(np.square(FLOORS))
     for batch in batches:
-        rows = {"grp": [], "n": [], "centre": [], "precision": []}
-        for group, n, sums, products, scale in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        rows = []
+        for group, start, n, sums, products, scale in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
             centre = np.array(sums) / n
-            cov = np.zeros((_P, _P))
-            for k, (i, j) in enumerate(_CROSS):
-                cov[i, j] = cov[j, i] = products[k] / n - centre[i] * centre[j]
-            inverse = np.linalg.inv(cov * scale + floor)
-            rows["grp"].append(group)
-            rows["n"].append(n)
-            rows["centre"].append(centre.tolist())
-            rows["precision"].append([float(inverse[i, j]) for i, j in _CROSS])
-        yield pa.RecordBatch.from_arrays([pa.array(rows["grp"]), pa.array(rows["n"], pa.int64()), pa.array(rows["centre"], pa.list_(pa.float64())), pa.array(rows["precision"], pa.list_(pa.float64()))], names=list(rows))
+            cov = (_square(products) / n - np.outer(centre, centre)) * scale
+            inverse = np.linalg.inv(cov + floor)
+            rows.append((group, start, n, centre.tolist(), _upper(cov), _upper(inverse), float(np.linalg.slogdet(cov + floor)[1])))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FIT_SCHEMA, strict=True)], schema=_FIT_SCHEMA)
 
 
 def _moments(rows: DataFrame, scale: float) -> DataFrame:
     sums = F.array(*[F.sum(s) for s in STATS])
     products = F.array(*[F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in _CROSS])
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), products.alias("products")).withColumn("scale", F.lit(scale)).mapInArrow(_estimates, _FIT)
+    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), products.alias("products")).withColumn("scale", F.lit(scale)).mapInArrow(_estimates, _FIT)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three centres and precisions for each value of ``grp``; only their shapes count, as steps rank the rows."""
+    medians = stage_table(rows.groupBy("grp").agg(*[F.percentile_approx(s, 0.5, 1000).cast("double").alias(f"m{i}") for i, s in enumerate(STATS)]), narrow=True)
+    away = rows.join(medians, "grp").select("grp", *[(F.col(s) - F.col(f"m{i}")).alias(f"a{i}") for i, s in enumerate(STATS)])
+    spread = [F.sqrt(F.pow(1.4826 * F.percentile_approx(F.abs(f"a{i}"), 0.5, 1000), 2) + FLOORS[i] ** 2).alias(f"d{i}") for i in range(_P)]
+    scales = stage_table(medians.join(away.groupBy("grp").agg(*spread), "grp"), narrow=True)
+    signs = away.join(scales.select("grp", *[f"d{i}" for i in range(_P)]), "grp").select("grp", *[(F.col(f"a{i}") / F.col(f"d{i}")).alias(f"u{i}") for i in range(_P)])
+    length = sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(_P)), F.lit(0.0))
+    signs = signs.withColumn("length", length).where("length > 0")
+    signs = signs.groupBy("grp").agg(F.array(*[F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("length")) for i, j in _CROSS]).alias("signs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = np.array(FLOORS)
+        for batch in batches:
+            rows = []
+            for group, centre, scale, sign in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                spread = np.array(scale)
+                signed = np.eye(_P) / _P if sign is None else _square(sign)
+                shapes = (np.diag(spread**2), np.outer(spread, spread) * (signed + np.eye(_P) / (20 * _P)), np.diag(floors**2))
+                rows += [(group, k, 0, centre, _upper(shape), _upper(np.linalg.inv(shape)), 0.0) for k, shape in enumerate(shapes)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FIT_SCHEMA, strict=True)], schema=_FIT_SCHEMA)
+
+    every = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(_P)])
+    return scales.join(signs, "grp", "left").select("grp", every("m"), every("d"), "signs").mapInArrow(run, _FIT)
 
 
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre and precision for each value of ``grp`` from the columns ``STATS`` of all rows."""
-    medians = rows.groupBy("grp").agg(*[F.percentile_approx(s, 0.5, 1000).alias(f"m{i}") for i, s in enumerate(STATS)], F.count(F.lit(1)).alias("n"))
-    medians = stage_table(medians, narrow=True)
-    away = rows.join(medians, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(s) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, s in enumerate(STATS)])
-    start = medians.join(away, "grp")
-    diagonal = [(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in _CROSS]
-    fit = stage_table(start.select("grp", "n", F.array(*[F.col(f"m{i}").cast("double") for i in range(_P)]).alias("centre"), F.array(*diagonal).alias("precision")))
-    for step in range(steps + 1):
+    """``grp, n, centre, cov`` for each value of ``grp`` from the columns ``STATS`` of all rows."""
+    fit = stage_table(_starts(rows).select("grp", "start", "centre", "precision"), narrow=True)
+    for step in range(steps):
         near = rows.join(fit, "grp").withColumn("d2", _distance())
-        if step < steps:
-            limit = stage_table(near.groupBy("grp").agg(F.percentile_approx("d2", 0.75, 1000).alias("limit")), narrow=True)
-            # The nearest three quarters of normal rows spread less than all: 1.4 makes up for that in six dimensions.
-            fit = stage_table(_moments(near.join(limit, "grp").where("d2 <= limit"), 1.4), narrow=True)
-        else:
-            fit = stage_table(_moments(near.where(F.col("d2") <= 14.45), 1.05))  # the 0.975 quantile of chi-square with 6 degrees
-    return fit
+        limit = stage_table(near.groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("limit")), narrow=True)
+        fit = _moments(near.join(limit, ["grp", "start"]).where("d2 <= limit"), consistency(SHARE))
+        if step == steps - 1:
+            best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start", "centre", "precision")).alias("best"))
+            fit = best.select("grp", "best.start", "best.centre", "best.precision")
+        fit = stage_table(fit.select("grp", "start", "centre", "precision"), narrow=True)
+    near = rows.join(fit, "grp").withColumn("d2", _distance())
+    return stage_table(_moments(near.where(F.col("d2") <= chi_square_quantile(WITHIN, _P)), consistency(WITHIN)).select("grp", "n", "centre", "cov"), narrow=True)
+
+
+def _merged(fits: DataFrame, by: list[str]) -> DataFrame:
+    """``n, centre, cov`` of the union of groups, from their moments."""
+    n = F.col("n")
+    sums = F.array(*[F.sum(n * F.col("centre")[i]) for i in range(_P)])
+    products = F.array(*[F.sum(n * (F.col("cov")[k] + F.col("centre")[i] * F.col("centre")[j])) for k, (i, j) in enumerate(_CROSS)])
+    total = fits.groupBy(*by).agg(F.sum("n").alias("n"), sums.alias("sums"), products.alias("products"))
+    centre = F.transform("sums", lambda x: x / n)
+    cov = F.array(*[F.col("products")[k] / n - F.col("sums")[i] / n * F.col("sums")[j] / n for k, (i, j) in enumerate(_CROSS)])
+    return total.select(*by, "n", centre.alias("centre"), cov.alias("cov"))
+
+
+def _leaning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's estimate drawn towards that of its language, and this one towards that of all."""
+    floor = np.diag(np.square(FLOORS))
+
+    def drawn(n, own, wider):
+        weight = n / (n + PRIOR)
+        return tuple(weight * x + (1 - weight) * y for x, y in zip(own, wider, strict=True))
+
+    for batch in batches:
+        rows: dict[str, list] = {"own": [], "centre": [], "precision": []}
+        for x in batch.to_pylist():
+            whole, wide, own = ((np.array(x[f"centre{k}"]), _square(x[f"cov{k}"])) if x[f"n{k}"] else None for k in ("_all", "_wide", "_own"))
+            wide = drawn(x["n_wide"], wide, whole) if wide else whole
+            centre, cov = drawn(x["n_own"], own, wide) if own else wide
+            rows["own"].append(x["own"])
+            rows["centre"].append(centre.tolist())
+            rows["precision"].append(_upper(np.linalg.inv(cov + floor)))
+        kinds = (pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def fits_by_group(passing: DataFrame) -> DataFrame:
+    """``own, centre, precision`` for each group of ``passing(own, wide, STATS)``."""
+    with scratch() as keep:
+        groups = stage_table(passing.select("own", "wide").distinct(), narrow=True)
+        fits = groups.join(mcd_estimates(passing.select(F.col("own").alias("grp"), *STATS)).withColumnRenamed("grp", "own"), "own")
+        fits = stage_table(fits, narrow=True)
+        named = lambda frame, k: frame.select(*[c for c in ("own", "wide") if c in frame.columns], *[F.col(c).alias(f"{c}{k}") for c in ("n", "centre", "cov")])
+        wide, whole = stage_table(_merged(fits, ["wide"]), narrow=True), stage_table(_merged(fits, []).where("n > 0"), narrow=True)
+        every = groups.join(named(fits.drop("wide"), "_own"), "own", "left").join(named(wide, "_wide"), "wide", "left").join(F.broadcast(named(whole, "_all")), F.lit(True))
+        return keep(stage_table(every.mapInArrow(_leaning, "own string, centre array<double>, precision array<double>"), narrow=True))
+
+
+def _described(counted: DataFrame) -> DataFrame:
+    """Counts with the base verdict, the statistics and the groups."""
+    wide = F.concat(F.lit("lang "), F.coalesce(F.concat(F.lit(":"), F.col("__lang").cast("string")), F.lit("-")))
+    return counted.withColumns({"base_failed": base_failed(), "own": _group("__lang", "__source"), "wide": wide} | dict(zip(STATS, _statistics(), strict=True)))
+
 
+def judge(documents: DataFrame, keep: Sequence[str] = (), tail: float = TAIL, stage_rows: bool = True) -> DataFrame:
+    """``keep``, ``COUNTS``, ``base_failed``, ``distance`` (null where the base limits fail) and ``kept``.
 
-def judge(documents: DataFrame, keep: Sequence[str] = (), cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``keep``, ``COUNTS``, ``base_failed``, ``distance`` (null where the base limits fail) and ``kept``."""
+    Rows are staged with what is to be kept of them; without ``stage_rows`` only their statistics are, and they are read and
+    counted once more for the verdict, which is for wide columns such as the text itself.
+    """
     names = list(dict.fromkeys([*keep]))
     own = ["lang AS __lang", "source AS __source"]
     counted = text_counts(documents.selectExpr("text AS text", *own, *[f"`{c}` AS `__k_{c}`" for c in names]), ["__lang", "__source", *[f"__k_{c}" for c in names]])
-    counted = counted.withColumn("base_failed", base_failed())
-    for s, expression in zip(STATS, _statistics(), strict=True):
-        counted = counted.withColumn(s, expression)
-    counted = counted.withColumn("own", _group("__lang", "__source")).withColumn("wide", F.concat(F.lit("lang "), F.coalesce(F.concat(F.lit(":"), F.col("__lang").cast("string")), F.lit("-"))))
-    counted = stage_table(counted)
-
-    passing = counted.where("NOT base_failed")
-    levels = passing.select(F.explode(F.array("own", "wide", F.lit("all"))).alias("grp"), *STATS)
-    fit = stage_table(mcd_estimates(levels), narrow=True)
-    sizes = levels.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    usable = stage_table(fit.join(sizes, "grp").where((F.col("size") >= min_rows) | (F.col("grp") == "all")).select("grp", "centre", "precision"), narrow=True)
-    # Which estimate a group uses is settled on the table of groups, so documents meet one estimate each.
-    groups = stage_table(passing.select("own", "wide").distinct(), narrow=True)
-    pick = groups
-    for name, level in (("f0", F.col("own")), ("f1", F.col("wide")), ("f2", F.lit("all"))):
-        pick = pick.withColumn("grp", level).join(usable.select("grp", F.struct("centre", "precision").alias(name)), "grp", "left").drop("grp")
-    pick = stage_table(pick.select("own", F.coalesce("f0", "f1", "f2").alias("fit")).select("own", "fit.centre", "fit.precision"), narrow=True)
-    judged = counted.join(pick, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    counted = _described(counted)
+    if stage_rows:
+        counted = stage_table(counted)
+        fits = fits_by_group(counted.where("NOT base_failed").select("own", "wide", *STATS))
+    else:
+        # Only what the statistics need goes through the counting of this first reading.
+        light = _described(text_counts(documents.selectExpr("text AS text", *own), ["__lang", "__source"]))
+        light = stage_table(light.where("NOT base_failed").select("own", "wide", *STATS))
+        fits = fits_by_group(light)
+        release(light)
+    judged = counted.join(fits, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    cutoff = chi_square_quantile(1 - tail, _P)
     return judged.select(
         *[F.col(f"__k_{c}").alias(c) for c in names], *[F.col(c) for c in COUNTS if c not in names], "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept")
     )

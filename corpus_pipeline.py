@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm import near_dedup, packing, quality_rules, secrets, substring
-from canopy.plans.materialize import stage_table
+from canopy.plans.materialize import release, scratch, stage_table
 
 ORACLE_SQL = None
 
@@ -34,20 +34,41 @@ def _restored(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits and the robust outlier test keep."""
     rows = docs.select("text", "lang", "source", *[F.col(f"`{c}`").alias(_OWN + c) for c in docs.columns])
-    judged = quality_rules.judge(rows, [_OWN + c for c in docs.columns])
+    judged = quality_rules.judge(rows, [_OWN + c for c in docs.columns], stage_rows=False)
     return judged.where("kept").select(*[F.col(f"`{_OWN}{c}`").alias(c) for c in docs.columns])
 
 
+_KEY = "__key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key: the id; but of rows that repeat an id with other texts, all but one text have a key of their own,
+    above 2**62.  Of rows that repeat both id and text one stays.  Null ids stay as they are."""
+    plain = docs.withColumn(_KEY, F.col("doc_id").cast("long"))
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    repeated = stage_table(ids, narrow=True)
+    if not (n := repeated.count()):
+        return plain
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    sure, maybe = near_dedup.split_by_id(plain, _KEY, repeated, n)
+    least = stage_table(maybe.select(_KEY, digest.alias("__digest")).join(repeated.withColumnRenamed("doc_id", _KEY), _KEY).groupBy(_KEY).agg(F.min("__digest").alias("__least")), narrow=True)
+    other = F.xxhash64(F.col(_KEY), digest).bitwiseAND((1 << 62) - 1) + (1 << 62)
+    named = maybe.join(least, _KEY, "left").withColumn("__new", F.when(F.col("__least").isNull() | (digest == F.col("__least")), F.col(_KEY)).otherwise(other))
+    once = named.where("__least IS NOT NULL").dropDuplicates(["__new"]).unionByName(named.where("__least IS NULL"))
+    return sure.unionByName(once.select(*docs.columns, F.col("__new").alias(_KEY)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates on 5-word shingles: that of the smallest id."""
-    verdicts = stage_table(near_dedup.near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"))
-    dropped = verdicts.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = stage_table(verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    """One document of each group of near-duplicates on 5-word shingles: that of the smallest id.
+
+    Rows that repeat an id with different texts are judged each by its own text.  Texts of what stays aren't shuffled.
+    """
+    keyed = _keyed(docs)
+    with scratch() as keep:
+        verdicts = near_dedup.near_duplicates(keyed.select(F.col(_KEY).alias("doc_id"), "text"), words=5, percent=80)
+        dropped = keep(stage_table(verdicts.where("NOT kept").select(F.col("doc_id").alias(_KEY)).distinct(), narrow=True))
+    sure, maybe = near_dedup.split_by_id(keyed, _KEY, dropped, dropped.count())
+    return sure.unionByName(maybe.join(dropped, _KEY, "left_anti").select(sure.columns)).select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            following = keep(stage_table(stage(spark, docs, sf_dir)))
+        release(docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)

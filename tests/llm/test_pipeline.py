@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, with columns whose names clash with the operators' own."""
 
+import random
+
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
@@ -25,3 +27,17 @@ def test_empty(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         docs = stage_table(stage(spark, docs, sf_dir))
     assert docs.count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    near = c.replace(c.split()[-1], "other")
+    rows = [(1, a), (1, b), (2, c), (3, near), (3, "x " + b[:40]), (4, b), (4, b), (5, text()), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    # Of the two rows 1 both stay; 3 keeps the text that is no copy; of 1 (b) and 4 (b, b) one stays.
+    kept_b = [i for i, t in got if t == b]
+    assert len(kept_b) == 1 and kept_b[0] in (1, 4)
+    assert [x for x in got if x[1] != b] == sorted([(1, a), (2, c), (3, "x " + b[:40]), (5, rows[7][1]), (None, a), (None, None)], key=str)

@@ -347,6 +347,50 @@ def test_quality_counts(docs, none):
     assert quality_rules.document_verdicts(none).count() == 0
 
 
+def test_minimum_covariance_determinant_against_numpy(spark):
+    """A quarter of one group is far off: the estimate is that of the rest, and no subset of the same share is tighter."""
+    rng = np.random.default_rng(4)
+    p = len(quality_rules.STATS)
+    mix = rng.normal(size=(p, p)) * 0.3
+    good = rng.normal(size=(900, p)) @ mix + 1
+    bad = rng.normal(size=(200, p)) * 0.2 + 6
+    rows = [("a", *x) for x in np.r_[good, bad].tolist()] + [("b", *x) for x in (rng.normal(size=(300, p))).tolist()] + [("c", *[0.5] * p)]
+    frame = stage_table(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in quality_rules.STATS)))
+    fits = {r["grp"]: r for r in quality_rules.mcd_estimates(frame).collect()}
+    assert set(fits) == {"a", "b", "c"}
+    centre, cov = np.array(fits["a"]["centre"]), quality_rules._square(fits["a"]["cov"])
+    assert np.abs(centre - good.mean(axis=0)).max() < 0.15 and np.abs(cov - np.cov(good.T)).max() < 0.25 * np.abs(np.cov(good.T)).max()
+    floor = np.diag(np.square(quality_rules.FLOORS))
+    x = np.r_[good, bad]
+
+    def settled(centre, inverse):
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+            own = x[d <= np.quantile(d, quality_rules.SHARE, method="inverted_cdf")]
+            centre, spread = own.mean(axis=0), np.cov(own.T, bias=True) * quality_rules.consistency(quality_rules.SHARE)
+            inverse = np.linalg.inv(spread + floor)
+        return np.linalg.slogdet(spread + floor)[1], centre, inverse
+
+    median = np.median(x, axis=0)
+    starts = [settled(median, np.linalg.inv(np.diag((1.4826 * np.median(np.abs(x - median), axis=0)) ** 2) + floor))]
+    starts += [settled(x[rng.choice(len(x), 40)].mean(axis=0), np.eye(p)) for _ in range(10)]
+    _, centre_np, inverse = min(starts, key=lambda s: s[0])
+    d = np.einsum("ij,jk,ik->i", x - centre_np, inverse, x - centre_np)
+    own = x[d <= quality_rules.chi_square_quantile(quality_rules.WITHIN, p)]
+    assert np.abs(centre - own.mean(axis=0)).max() < 0.05
+    assert np.abs(cov - np.cov(own.T, bias=True) * quality_rules.consistency(quality_rules.WITHIN)).max() < 0.1
+    assert quality_rules.chi_square_quantile(0.975, 6) == pytest.approx(14.449, abs=1e-3) and quality_rules.chi_square_quantile(1 - quality_rules.TAIL, 6) == pytest.approx(45, abs=0.1)
+
+
+def test_quality_rejects_outliers_of_large_and_small_groups(spark):
+    rng = random.Random(2)
+    clean = lambda: " ".join(rng.choice(WORDS) + rng.choice(["", "", "er", "ing"]) for _ in range(rng.randint(60, 200)))
+    rows = [(i, clean(), "en", "big") for i in range(300)] + [(1000 + i, clean(), None, "small") for i in range(3)] + [(2000, " ".join(["###|||$$$"] * 3 + [clean()] + [f"{i}#%&*" for i in range(90)]), "en", "big"), (2001, " ".join(f"{i}$$|<>&" for i in range(80)), None, "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'x' AS kept", "1 AS n_words", "2 AS grp")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.document_verdicts(docs).collect()}
+    assert all(got[i] for i in got if i < 2000) and not got[2000] and not got[2001]
+
+
 def test_secrets(docs, none):
     field = secrets.train(secrets.training_sequences([t for t in TEXTS.values() if t and len(t) < 5000]))
     rows = {r["doc_id"]: r for r in secrets.scan(docs, field, with_text=True).collect()}
