@@ -6,9 +6,9 @@ tag sequence of the whole text.  The field is trained here by maximum likelihood
 at most ``TRAIN_DOCS`` documents whose words under the fixed patterns are labelled, half of them with invented secrets of
 many forms written in.  That sample is the only bounded thing; every text is scanned whole.
 
-Scanning costs little where nothing is near a secret: shapes are kept for each distinct word seen lately, and a text in
-which no token can gain by leaving *outside*, whatever its neighbours' tags, is outside throughout, which is exactly what
-Viterbi would say.
+Scanning costs little where nothing is near a secret: shapes are kept for each distinct word seen lately, and Viterbi
+decodes only stretches of tokens that can gain by leaving *outside*, whatever their neighbours' tags (:meth:`SecretField.tags`);
+the tags are those of the whole text.
 
 Spans found by the field lose quotes and punctuation at their ends, have the kind ``crf`` and give way to base spans that
 they overlap.
@@ -41,6 +41,8 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 TRAIN_DOCS, TRAIN_WORDS = 400, 100
+#: Characters of a word that training looks at.
+_LONGEST = 512
 REDACTED = "[SECRET]"
 #: Words near which secrets stand.
 KEY_WORDS = frozenset(b"password passwd pwd pass passphrase secret secrets token tokens apikey api_key key keys auth authorization bearer credential credentials access_key secret_key private_key client_secret".split())
@@ -115,13 +117,13 @@ class SecretField:
         out[:-1] += table[index[1:], 3]
         return out
 
-    def viterbi(self, emissions: np.ndarray) -> np.ndarray:
-        """Best tags of one text."""
+    def viterbi(self, emissions: np.ndarray, from_out: bool = False, to_out: bool = False) -> np.ndarray:
+        """Best tags of one text, or of a part that follows (``from_out``) or precedes (``to_out``) a word outside."""
         n = len(emissions)
         back = np.zeros((n, 3), np.int8)
         turn = self.turn.tolist()
         rows = emissions.tolist()
-        o, b, i = rows[0][0], rows[0][1], _NEVER
+        o, b, i = (x + y for x, y in zip(rows[0], turn[OUT] if from_out else (0.0, 0.0, _NEVER), strict=True))
         for t in range(1, n):
             e = rows[t]
             nxt = []
@@ -137,11 +139,37 @@ class SecretField:
                     back[t, to] = 2
             o, b, i = nxt
         tags = np.zeros(n, np.int8)
-        tags[-1] = int(np.argmax([o, b, i]))
+        tags[-1] = int(np.argmax([x + (turn[k][OUT] if to_out else 0.0) for k, x in enumerate((o, b, i))]))
         for t in range(n - 1, 0, -1):
             tags[t - 1] = back[t, tags[t]]
         return tags
 
+    def slack(self) -> float:
+        """Most that a word of a secret gains on average from transitions, as against all words outside.
+
+        A secret of n words has n - 1 transitions inside and at most one into it and one out of it, each in place of one
+        between words outside; so its gain is at most ``ends + (n - 1) * inner``, which is n times the larger or less.
+        """
+        turn = self.turn - self.turn[OUT, OUT]
+        into, out = turn[OUT, BEGIN], max(turn[BEGIN, OUT], turn[INSIDE, OUT])
+        ends = max(0.0, into, out, into + out)
+        return float(max(ends, turn[1:, 1:].max()))
+
+    def tags(self, emissions: np.ndarray, slack: float) -> np.ndarray:
+        """The tags that :meth:`viterbi` gives the whole text, by decoding only words that a secret may hold.
+
+        A secret gains at most the sum of its words' own gains and the slack of each.  So a word that is in no stretch of
+        words with a positive sum is outside.
+        """
+        gain = emissions[:, 1:].max(axis=1) - emissions[:, 0] + slack
+        total = np.r_[0.0, np.cumsum(gain)]
+        before, after = np.minimum.accumulate(total[:-1]), np.maximum.accumulate(total[:0:-1])[::-1]
+        maybe = np.r_[False, after - before > -1e-9, False]
+        out = np.zeros(len(emissions), np.int8)
+        for low, high in np.flatnonzero(maybe[1:] != maybe[:-1]).reshape(-1, 2).tolist():
+            out[low:high] = self.viterbi(emissions[low:high], low > 0, high < len(emissions))
+        return out
+
 
 # --- training ---------------------------------------------------------------------------------------------------------
 
@@ -199,19 +227,24 @@ def _labelled(text: str) -> list[tuple[str, int]]:
     return out
 
 
-def training_sequences(texts: Sequence[str], seed: int = 7) -> list[list[tuple[str, int]]]:
-    """Windows of at most ``TRAIN_WORDS`` labelled words, with invented secrets and decoys written into most of them."""
+def _window(words: list[tuple[str, int]], rng: np.random.Generator) -> list[tuple[str, int]]:
+    """At most ``TRAIN_WORDS`` of the words, often such that the first marked one is among them."""
+    if len(words) <= TRAIN_WORDS:
+        return words
+    marked = [i for i, (_, tag) in enumerate(words) if tag]
+    low = int(rng.integers(len(words) - TRAIN_WORDS + 1))
+    if marked and rng.random() < 0.7:
+        low = min(max(0, marked[0] - int(rng.integers(TRAIN_WORDS))), len(words) - TRAIN_WORDS)
+    return words[low : low + TRAIN_WORDS]
+
+
+def training_sequences(texts: Sequence[str | list[tuple[str, int]]], seed: int = 7) -> list[list[tuple[str, int]]]:
+    """Windows of labelled words (of texts, or as given), with invented secrets and decoys written into most of them."""
     rng = np.random.default_rng(seed)
     out = []
     plain = ["the", "of", "and", "in", "value", "then", "line.", "with", "word,", "A", "for"]
     for text in [*texts, *([None] * 60)]:
-        words = [(str(rng.choice(plain)), OUT) for _ in range(40)] if text is None else _labelled(text)
-        if len(words) > TRAIN_WORDS:
-            marked = [i for i, (_, tag) in enumerate(words) if tag]
-            low = int(rng.integers(len(words) - TRAIN_WORDS + 1))
-            if marked and rng.random() < 0.7:
-                low = min(max(0, marked[0] - int(rng.integers(TRAIN_WORDS))), len(words) - TRAIN_WORDS)
-            words = words[low : low + TRAIN_WORDS]
+        words = [(str(rng.choice(plain)), OUT) for _ in range(40)] if text is None else _window(_labelled(text), rng) if isinstance(text, str) else text
         if not words:
             continue
         for make, chance in ((_invented, 0.5), (_decoy, 0.6), (_decoy, 0.3)):
@@ -283,9 +316,28 @@ def train(sequences: list[list[tuple[str, int]]], rounds: int = 100, rate: float
 
 
 def train_on(documents: DataFrame, docs: int = TRAIN_DOCS) -> SecretField:
-    """A field trained on at most ``docs`` documents, those of least hash of their id."""
-    sample = documents.select("text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("doc_id").cast("string").alias("id")).orderBy("h", "id").limit(docs)
-    return train(training_sequences([r["text"] or "" for r in sample.select("text").collect()]))
+    """A field trained on windows of at most ``docs`` documents, those of least hash of their id.
+
+    Hashes alone are sorted; the windows are cut where the texts are, so at most ``docs * TRAIN_WORDS`` words come here.
+    """
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = documents.select(F.xxhash64(identity).alias("h"), identity.alias("id"), "text")
+    chosen = rows.select("h").distinct().orderBy("h").limit(docs).agg(F.max("h").alias("last")).first()["last"]
+    if chosen is None:
+        return train(training_sequences([]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                window = _window(_labelled(text or ""), np.random.default_rng(h & 0xFFFFFFFF))
+                found.append((h, [w[:_LONGEST] for w, _ in window], [tag for _, tag in window]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=["h", "words", "tags"])
+
+    windows = rows.where(F.col("h") <= chosen).select("h", "text").mapInArrow(run, "h long, words array<string>, tags array<int>")
+    one = windows.groupBy("h").agg(F.min(F.struct("words", "tags")).alias("w")).orderBy("h")  # one window of rows that repeat an id
+    return train(training_sequences([list(zip(r["w"]["words"], r["w"]["tags"], strict=True)) for r in one.collect()]))
 
 
 # --- scanning ---------------------------------------------------------------------------------------------------------
@@ -332,10 +384,7 @@ class Scanner:
 
     def __init__(self, field: SecretField) -> None:
         self.field, self.shapes = field, _Shapes(field)
-        # What a token outside can gain at most from the transitions of another tag sequence around it.
-        turn = field.turn
-        best = max(turn[a, b] + turn[b, c] for a in range(3) for b in (BEGIN, INSIDE) for c in range(3) if not (a == OUT and b == INSIDE))
-        self.slack = float(best - 2 * turn[OUT, OUT])
+        self.slack = field.slack()
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
         """For each text all its spans, base and added, by start and then kind."""
@@ -359,7 +408,7 @@ class Scanner:
             score[by:][same] += gain[index[:-by][same], role]
         same = own[1:] == own[:-1]
         score[:-1][same] += gain[index[1:][same], 3]
-        likely = np.bincount(own[score.max(axis=1) + self.slack > 0], minlength=len(texts)) > 0
+        likely = np.bincount(own[score.max(axis=1) + self.slack > -1e-9], minlength=len(texts)) > 0
         for k, text in enumerate(texts):
             lowered = text.lower() if not suspect[k] else b""
             if not (suspect[k] or likely[k] or any(x in lowered for x in _ASSIGN_WORDS)):
@@ -369,7 +418,7 @@ class Scanner:
             if likely[k]:
                 low, high = starts[k], starts[k + 1]
                 emissions = self.field.emissions(table, index[low:high], _file_features(bool(keyword[k]), int(sizes[k])))
-                tags = self.field.viterbi(emissions)
+                tags = self.field.tags(emissions, self.slack)
                 spans += self._added(decoded, tags, spans)
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
             out[k] = spans

@@ -420,6 +420,27 @@ def test_viterbi_is_the_best_of_all_tag_sequences():
         assert value(field.viterbi(e).tolist()) == pytest.approx(max(value(t) for t in product(range(3), repeat=6)))
 
 
+def test_decoding_by_stretches_equals_decoding_whole_texts():
+    rng = np.random.default_rng(21)
+    for k in range(400):
+        turn = rng.normal(size=(3, 3)) * rng.choice([0.3, 1.5, 4]) + rng.choice([-2, 0, 2], size=(3, 3))
+        turn[secrets.OUT, secrets.INSIDE] = -1e4
+        field = secrets.SecretField(np.zeros((4, 1, 3)), np.zeros((2, 3)), turn)
+        e = rng.normal(size=(int(rng.integers(1, 40)), 3)) * 2 - np.array([0, 1, 1]) * rng.choice([0, 1, 3, 6])
+        want = field.viterbi(e)
+        assert field.tags(e, field.slack()).tolist() == want.tolist()
+        gain = e[:, 1:].max(axis=1) - e[:, 0]
+        assert (gain + field.slack() > 0).any() or not want.any()
+
+
+def test_secret_training_sends_windows_of_few_documents(spark):
+    rows = [(i, f"text {i} " + "word " * 500) for i in range(50)] + [(7, "hot " * 300)] * 40 + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", secrets.F.lit("mine")).withColumn("h", secrets.F.lit(1))
+    assert secrets.train_on(docs, 10).turn.shape == (3, 3) and secrets.train_on(docs.where("false")).turn.shape == (3, 3)
+    got = secrets.scan(docs, keep=["h"]).collect()
+    assert len(got) == len(rows) and all(r["spans"] == "" and r["h"] == 1 for r in got)
+
+
 def test_pairwise_ranking(spark, none):
     rng = random.Random(9)
     good = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(60)]
