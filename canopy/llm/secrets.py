@@ -352,6 +352,7 @@ class _Shapes(dict):
         super().__init__()
         self._field = field
         self._kinds: dict[bytes, int] = {}
+        self._plain: dict[tuple[int, bool, bool], int] = {}
         self._rows: list[np.ndarray] = []
         self.suspect: list[bool] = []
         self.keyword: list[bool] = []
@@ -361,6 +362,19 @@ class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
+        core = word.rstrip(b",.;!?")
+        if core.isalpha() and (core.islower() or core.istitle()) and core.lower() not in KEY_WORDS:
+            # Plain words differ in length and first letter alone.
+            kind = (len(core), core[0] < 97, len(word) >= 20)
+            row = self._plain.get(kind)
+            if row is None:
+                row = self._plain[kind] = self._row(word)
+        else:
+            row = self._row(word)
+        self[word] = row
+        return row
+
+    def _row(self, word: bytes) -> int:
         features = word_features(word)
         key = features.tobytes() + bytes([len(word) >= 20])
         row = self._kinds.get(key)
@@ -369,7 +383,6 @@ class _Shapes(dict):
             self._rows.append(np.einsum("f,rfc->rc", features.astype(float), self._field.own))
             self.suspect.append(len(word) >= 20)
             self.keyword.append(bool(features[_INDEX["keyword"]]))
-        self[word] = row
         return row
 
     def refresh(self) -> None:

@@ -433,6 +433,18 @@ def test_decoding_by_stretches_equals_decoding_whole_texts():
         assert (gain + field.slack() > 0).any() or not want.any()
 
 
+def test_plain_words_have_the_scores_of_their_features():
+    rng = random.Random(5)
+    field = secrets.SecretField(np.random.default_rng(1).normal(size=(4, len(secrets.FEATURES), 3)), np.zeros((2, 3)), np.zeros((3, 3)))
+    shapes = secrets._Shapes(field)
+    bits = ["a", "Word", "token", "Secret", "x" * 19, "Y" + "y" * 18, "é", "7", ".", ",", "!", "(", "'", ":", "AKIA", "Z", "-"]
+    for _ in range(3000):
+        word = "".join(rng.choice(bits) for _ in range(rng.randint(1, 3))).encode()
+        row = shapes[word]
+        shapes.refresh()
+        assert np.allclose(shapes.table[row], np.einsum("f,rfc->rc", secrets.word_features(word).astype(float), field.own)) and shapes.keyword[row] == bool(secrets.word_features(word)[secrets._INDEX["keyword"]])
+
+
 def test_secret_training_sends_windows_of_few_documents(spark):
     rows = [(i, f"text {i} " + "word " * 500) for i in range(50)] + [(7, "hot " * 300)] * 40 + [(None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", secrets.F.lit("mine")).withColumn("h", secrets.F.lit(1))
