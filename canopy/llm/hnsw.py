@@ -2,9 +2,11 @@
 
 Vectors are dealt by hash of their id into shards of about ``SHARD_ROWS`` rows, so a shard is bounded whatever the data.
 A shard's graph is built in one task and stored as one row of flat arrays (ids, vectors, neighbour lists of all levels).
-Searching reads that table once for each block of queries: a block, bounded in bytes, is sent to all tasks, each walks
-its shards' graphs and keeps the nearest of all of them, and what the tasks found is merged by query.  No row of the
-index is shuffled.
+Searching reads that table once for each block of queries, one block after another: a block, bounded in bytes, is sent to
+all tasks, each walks its shards' graphs and keeps the nearest of all of them; what the tasks found is written before the
+next block is sent, and all of it is merged by query.  No row of the index is shuffled.  A query walks every shard, since
+neighbours of vectors without clusters lie in all of them (on such data routing by centroids needs half the shards for a
+recall of 0.9); a walk grows with the logarithm of a shard, so shards are as large as a task can build.
 
 Nearness is the cosine.  The walk uses single precision on scaled vectors; the nearest it meets are scored again in
 double precision on the original ones.  Equal vectors are one node of a graph, with all their ids.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from canopy.llm.words import mixed
 from canopy.plans.materialize import parallelism, stage_table
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 LINKS, BREADTH_BUILD, BREADTH_SEARCH = 16, 80, 160
 #: Most bytes of queries that are sent to the tasks at once.
 BLOCK_BYTES = 32 << 20
@@ -274,7 +276,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, breadth: int = BREADTH_
             ids, vectors = by_dim.setdefault(len(q), ([], []))
             ids.append(query)
             vectors.append(q.values.to_numpy())
-        part = index.repartition(parallelism(spark)).mapInArrow(_search_shards(spark.sparkContext.broadcast(by_dim), k, breadth), "query_id long, vec_id long, score double")
+        sent = spark.sparkContext.broadcast(by_dim)
+        part = stage_table(index.repartition(parallelism(spark)).mapInArrow(_search_shards(sent, k, breadth), "query_id long, vec_id long, score double"))
+        sent.destroy()
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
