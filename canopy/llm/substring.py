@@ -15,7 +15,8 @@ smaller id.  Comparing every window with every other would move one row for each
 3. *Resolution.*  Windows meet by hash; all but those of the smallest document are removed.  Removed positions return
    to their documents.
 
-Everything that moves is packed: a row is what one task sends to another.  Sequences are compared by 64-bit hashes.
+Everything that moves is packed: a row is what one task sends to another.  Windows are compared by 96 bits of two
+independent rolling hashes, so among 1e13 windows a false match is not to be expected.
 
 Defined results: a null text has no words; a null id counts as larger than every id; rows that repeat an id are judged
 one by one and don't remove each other; an empty table gives an empty result; columns to keep are named by the caller,
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import Rolling, WordMemo, batches_of, bounded_batches, hashed, route_keys, slices, utf8
+from canopy.llm.words import OTHER_BASE, Rolling, WordMemo, batches_of, bounded_batches, hashed, mixed, route_keys, slices, utf8
 from canopy.plans.materialize import parallelism, stage_table
 
 #: Difference covers, each with its period; every difference modulo the period occurs.
@@ -59,14 +60,19 @@ class _Reader:
         self.period = period_for(window)
         self.length = window - self.period + 1
         self.cover = np.isin(np.arange(self.period), COVERS[self.period])
-        self.memo, self.rolling = WordMemo(), Rolling()
+        self.memo, self.rolling, self.other = WordMemo(), Rolling(), Rolling(OTHER_BASE)
+
+    def windows(self, h, prefix, begin):
+        """Hashes of whole windows, and 32 bits of a second hash."""
+        second = self.other.windows(self.other.prefix(mixed(h)), begin, self.window)
+        return self.rolling.windows(prefix, begin, self.window), (second >> np.uint64(32)).astype(np.uint32)
 
     def read(self, words: list[list[bytes]]):
         h, starts = hashed(words, self.memo)
         sizes = np.diff(starts)
         place = np.arange(len(h)) - np.repeat(starts[:-1], sizes)
         left = np.repeat(sizes, sizes) - place
-        return self.rolling.prefix(h), starts, sizes, place, left
+        return h, self.rolling.prefix(h), starts, sizes, place, left
 
     def anchors(self, prefix, sizes, place, left):
         at = np.flatnonzero(self.cover[place % self.period] & (left >= self.length) & (np.repeat(sizes, sizes) >= self.window))
@@ -106,7 +112,7 @@ def _send_anchors(window: int, keys: list[int]):
         for batch in batches:
             texts = utf8(batch.column(0))
             for low, high in slices(texts):
-                prefix, _, sizes, place, left = reader.read([x.split() for x in texts[low:high]])
+                _, prefix, _, sizes, place, left = reader.read([x.split() for x in texts[low:high]])
                 _, h = reader.anchors(prefix, sizes, place, left)
                 buffer.append(h)
                 held += len(h)
@@ -169,20 +175,30 @@ class _Filter:
         return out
 
 
-def _pack_windows(h, doc, uid, place) -> bytes:
+def _pack_windows(h, check, doc, uid, place) -> bytes:
     """Hashes, places and runs of (id, row) in reading order; runs are short to store."""
     new = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]])
     head = np.array([len(h), len(new)], np.int64)
-    return b"".join(x.tobytes() for x in (head, h, doc[new], uid[new], np.diff(np.r_[new, len(h)]), place.astype(np.int32)))
+    return b"".join(x.tobytes() for x in (head, h, doc[new], uid[new], np.diff(np.r_[new, len(h)]), place.astype(np.int32), check))
 
 
 def _unpack_windows(data: bytes):
     n, m = np.frombuffer(data, np.int64, 2)
     at, out = 16, []
-    for kind, k in ((np.uint64, n), (np.int64, m), (np.int64, m), (np.int64, m), (np.int32, n)):
+    for kind, k in ((np.uint64, n), (np.int64, m), (np.int64, m), (np.int64, m), (np.int32, n), (np.uint32, n)):
         out.append(np.frombuffer(data, kind, k, at))
         at += out[-1].nbytes
-    return out[0], np.repeat(out[1], out[3]), np.repeat(out[2], out[3]), out[4]
+    return out[0], out[5], np.repeat(out[1], out[3]), np.repeat(out[2], out[3]), out[4]
+
+
+def _later(h, check, doc) -> np.ndarray:
+    """Which windows have an equal one in a document of a smaller id."""
+    order = np.lexsort((doc, check, h))
+    h, check, own = h[order], check[order], doc[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
+    out = np.empty(len(h), bool)
+    out[order] = own > own[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    return out
 
 
 def _pack_places(uid, place) -> bytes:
@@ -226,21 +242,17 @@ def _read_windows(window: int, keys: list[int], found, extra: pa.Schema, with_te
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        h, doc, uid, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((doc, h))
-        first = np.r_[True, h[order][1:] != h[order][:-1]]
-        least = np.empty(len(h), np.int64)
-        least[order] = doc[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-        gone = doc > least
+        h, check, doc, uid, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        gone = _later(h, check, doc)
         rows = empty()
         for route, data in _places_by_row(uid[gone], place[gone], keys):
             parcel(rows, _PLACES, route, data)
-        h, doc, uid, place = (x[~gone] for x in (h, doc, uid, place))
+        h, check, doc, uid, place = (x[~gone] for x in (h, check, doc, uid, place))
         order, cuts = _dealt(h, parts)
         for k in range(parts):
             own = order[cuts[k] : cuts[k + 1]]
             if len(own):
-                parcel(rows, _TO_RESOLVE, keys[k], _pack_windows(h[own], doc[own], uid[own], place[own]))
+                parcel(rows, _TO_RESOLVE, keys[k], _pack_windows(h[own], check[own], doc[own], uid[own], place[own]))
         yield from batches_of(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +265,7 @@ def _read_windows(window: int, keys: list[int], found, extra: pa.Schema, with_te
             ids = batch.column("doc_id").to_pylist()
             for low, high in slices(texts):
                 words = [x.split() for x in texts[low:high]]
-                prefix, starts, sizes, place, left = reader.read(words)
+                own_words, prefix, starts, sizes, place, left = reader.read(words)
                 at, h = reader.anchors(prefix, sizes, place, left)
                 at = at[flt.has(h)]
                 n = len(place)
@@ -266,7 +278,7 @@ def _read_windows(window: int, keys: list[int], found, extra: pa.Schema, with_te
                 flagged[of] = True
                 numbers = np.array([_LAST_ID if x is None else x for x in ids[low:high]], np.int64)
                 if len(begin):
-                    held.append((reader.rolling.windows(prefix, begin, window), numbers[of], uid + of, place[begin].astype(np.int32)))
+                    held.append((*reader.windows(own_words, prefix, begin), numbers[of], uid + of, place[begin].astype(np.int32)))
                     n_held += len(begin)
                 rows = empty()
                 for i, own in enumerate(words):
@@ -299,12 +311,9 @@ def _resolve(keys: list[int]):
         got = [_unpack_windows(x) for batch in batches for x in batch.column(0).to_pylist()]
         if not got:
             return
-        h, doc, uid, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        h, check, doc, uid, place = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        first = np.r_[True, h[1:] != h[:-1]]
-        order = order[doc > doc[np.flatnonzero(first)[np.cumsum(first) - 1]]]
+        order = np.flatnonzero(_later(h, check, doc))
         rows = {"_sd_kind": [], "_sd_route": [], "_sd_data": []}
         for route, data in _places_by_row(uid[order], place[order], keys):
             rows["_sd_kind"].append(_PLACES)
@@ -361,7 +370,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, keep: Sequence[str] =
 
     ``kept_text`` is null unless ``with_text``; it is the text itself where nothing goes, else the kept words joined by
     one space.  Two readings of the texts; between them moves 8 bytes for each distinct anchor of a task, after them
-    about 13 bytes for each window of a repeated region and the compressed texts of the documents concerned.
+    about 17 bytes for each window of a repeated region and the compressed texts of the documents concerned.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -15,9 +15,8 @@ import xxhash
 
 SLICE_BYTES = 4 << 20
 _MEMO_ENTRIES = 1 << 17
-#: An odd multiplier, so that it has an inverse modulo 2**64.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Odd multipliers, so that they have inverses modulo 2**64.
+_BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordMemo(dict):
@@ -76,13 +75,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hash of any run of consecutive words in constant time, from prefix sums modulo 2**64."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: np.uint64 = _BASE) -> None:
+        self._base, self._inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
         self._up = self._down = np.ones(0, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self._up) < n:
             m = max(n, 2 * len(self._up))
-            for name, by in (("_up", _BASE), ("_down", _INVERSE)):
+            for name, by in (("_up", self._base), ("_down", self._inverse)):
                 x = np.full(m, by, np.uint64)
                 x[:1] = 1
                 setattr(self, name, np.cumprod(x, dtype=np.uint64))
