@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -283,9 +282,9 @@ def split_by_id(rows: DataFrame, key: str, ids: DataFrame, n: int, filter_bytes:
     """Rows whose ``key`` (a long) is surely not among the ``n`` distinct ids of the one-column table ``ids``, and the rest."""
     has = _id_filter(rows.sparkSession, ids, max(n, 1), filter_bytes)
 
-    @F.pandas_udf("boolean")
-    def found(x: pd.Series) -> pd.Series:
-        return pd.Series(has(x.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def found(x: pa.Array) -> pa.Array:
+        return pa.array(has(x.to_numpy(zero_copy_only=False)))
 
     hit = F.col(key).isNotNull() & found(F.coalesce(F.col(key), F.lit(0)).cast("long"))
     return rows.where(~hit), rows.where(hit)

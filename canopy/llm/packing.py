@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from canopy.plans.materialize import parallelism, stage_table
 LIMITS = (1024, 64, 1024)
 WORLD = 4096
 END_ID = 0
-_MEMO_ENTRIES = 1 << 17
+_MEMO_ENTRIES = 1 << 16
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RUN_OF_SPACE = re.compile(r"\s\s")
 
@@ -64,28 +65,42 @@ class Encoder:
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(vocabulary, encoding="utf-8") as lines:
             parts = json.load(lines)
-        self._library = Tokenizer.from_file(vocabulary)
+        self._vocabulary, self._library = vocabulary, None
         added = {x["content"]: x["id"] for x in parts["added_tokens"]}
         self._added = re.compile("|".join(map(re.escape, added))) if added else None
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in parts["model"]["vocab"].items() if token not in added}
+        del parts
         self._encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._after_space, self._at_start = _Memo(self._bytes, " "), _Memo(self._bytes, "")
 
+    def _whole(self, text: str) -> bytes:
+        """Ids by the library, which is loaded when it is first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._vocabulary)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
     def _bytes(self, text: str) -> bytes:
         return np.array(self._encode(text), np.uint32).tobytes()
 
     def ids(self, text: str) -> bytes:
         if self._added and self._added.search(text):
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+            return self._whole(text)
         parts = _PLAIN_SPACE.split(text) if _RUN_OF_SPACE.search(text) else text.split(" ")
         return self._at_start[parts[0]] + b"".join(map(self._after_space.__getitem__, parts[1:]))
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of this process, which its tasks share one after another."""
+    return Encoder(vocabulary)
+
+
 class _Memo(dict):
     """Two generations of at most ``_MEMO_ENTRIES`` results; long chunks aren't kept."""
 
@@ -113,7 +128,7 @@ def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabular
     names = ["doc_id", "uid", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(where)
+        engine = encoder(where)
         end = np.array([END_ID], np.uint32).tobytes()
         task = TaskContext.get()
         uid = (task.partitionId() if task else 0) << 40
@@ -123,7 +138,7 @@ def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabular
             for low, high in slices(texts):
                 rows: list[tuple] = []
                 for doc_id, text in zip(ids[low:high], texts[low:high], strict=True):
-                    data = encoder.ids(text) + end
+                    data = engine.ids(text) + end
                     n = len(data) // 4
                     for start in range(0, n, max_tokens):
                         piece = data[4 * start : 4 * (start + max_tokens)]
@@ -235,9 +250,9 @@ def conversation_examples(conversations: DataFrame, limits: Sequence[int] = LIMI
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(where)
+        engine = encoder(where)
         for batch in batches:
-            n = [len(encoder.ids(x or "")) // 4 + 1 for x in batch.column(2).to_pylist()]
+            n = [len(engine.ids(x or "")) // 4 + 1 for x in batch.column(2).to_pylist()]
             loss = [k if role == "assistant" else 0 for k, role in zip(n, batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "turn", "tokens", "loss_tokens"])
 

@@ -42,7 +42,8 @@ from canopy.plans.materialize import parallelism, stage_table
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 #: Most bytes of the filter that is sent to all tasks.
 FILTER_BYTES = 64 << 20
-_HASHES, _WINDOWS = 4_000_000, 1_000_000
+_HASHES, _WINDOWS = 2_000_000, 500_000
+_SLICE = 2 << 20
 _LAST_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -111,7 +112,7 @@ def _send_anchors(window: int, keys: list[int]):
         reader, buffer, held = _Reader(window), [], 0
         for batch in batches:
             texts = utf8(batch.column(0))
-            for low, high in slices(texts):
+            for low, high in slices(texts, _SLICE):
                 _, prefix, _, sizes, place, left = reader.read([x.split() for x in texts[low:high]])
                 _, h = reader.anchors(prefix, sizes, place, left)
                 buffer.append(h)
@@ -263,7 +264,7 @@ def _read_windows(window: int, keys: list[int], found, extra: pa.Schema, with_te
         for batch in batches:
             texts = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            for low, high in slices(texts):
+            for low, high in slices(texts, _SLICE):
                 words = [x.split() for x in texts[low:high]]
                 own_words, prefix, starts, sizes, place, left = reader.read(words)
                 at, h = reader.anchors(prefix, sizes, place, left)
