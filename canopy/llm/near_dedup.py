@@ -11,11 +11,11 @@ agree much deeper stand next to each other, so the depth adapts to the region.
 together with one row each.  A pair of similarity 0.8 shares a region in some order with probability 1-(1-0.8^4)^16 = 0.9998.
 
 *All pairs of regions.*  Where a region has more rows than neighbours and these are still in different components, all its
-pairs across components are tried: directly up to ``DIRECT`` rows; above, by a prefix-filter join on the full sets of the
-rows concerned, rarest shingles first.  Short lists of that join give candidates.  Rows that meet in long lists form dense
-families, whose blocks meet two by two: a task compares all rows of two blocks and sends out a spanning forest of the links
-it finds, so no pair is listed.  Shingle frequencies of a bounded sample only choose the order of the filter, so they don't
-bear on what is found.
+pairs across components are tried.  Rows that meet in regions of up to ``DIRECT`` rows form families, whose blocks meet two
+by two: a task compares all rows of two blocks and sends out a spanning forest of the links it finds, so no pair is listed.
+Rows of larger regions go through a prefix-filter join on their full sets, rarest shingles first; its long lists make
+families too, and short ones give candidates.  Shingle frequencies of a bounded sample only choose the order of the filter,
+so they don't bear on what is found.
 
 *Confirmation.*  Candidates whose signatures agree too seldom (four standard deviations below the threshold) go; the rest
 are confirmed on the full sets.  Texts of concerned documents move compressed, about once for each edge that is tried.  Edges that
@@ -45,7 +45,7 @@ from canopy.plans.materialize import parallelism, release, scratch, stage_table
 MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
 #: Most bytes of the filter of document ids that is sent to all tasks.
 FILTER_BYTES = 32 << 20
-#: Rows up to which all pairs of a region are listed; documents whose shingles are counted for the order of the prefix filter.
+#: Rows up to which a region is a family; documents whose shingles are counted for the order of the prefix filter.
 DIRECT, _COUNTED = 128, 20_000
 #: Rows up to which all pairs of a shingle's list are listed; rows and shingles of a block of a family.
 _SHORT, _BLOCK_ROWS, _BLOCK_SHINGLES = 16, 1024, 1_000_000
@@ -333,13 +333,14 @@ def _crossing(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _regions(reps: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(region, id, component)`` of all orders, and ``(region, size)`` where components differ and pairs were left out."""
+    """``(region, id, component, n)`` of all orders, and ``(region, size, first)`` where components differ and pairs were left
+    out."""
     twice = F.concat("sig", "sig")
-    named = reps.join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"), twice.alias("twice"))
+    named = reps.join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("n_shingles").alias("n"), twice.alias("twice"))
     region = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("twice", 1 + 2 * PREFIX * t, 2 * PREFIX)) for t in range(ORDERS)])).alias("region")
-    rows = named.select(region, "id", "component")
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows, stage_table(sizes.where(f"size > {NEIGHBOURS + 1} AND low <> high").select("region", "size"), narrow=True)
+    rows = named.select(region, "id", "component", "n")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first"))
+    return rows, stage_table(sizes.where(f"size > {NEIGHBOURS + 1} AND low <> high").select("region", "size", "first"), narrow=True)
 
 
 def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
@@ -361,8 +362,8 @@ def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
 
 
 def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` of ``dense(id, component)`` across components that share a shingle of their prefixes: those of
-    short lists to be confirmed, and confirmed links for long lists.
+    """Of ``dense(id, component)`` the rows that share a shingle of their prefixes: as pairs ``(a, b)`` across components where
+    few do, and else as ``(id, component, n, first)``, tied to the first of a long list.
 
     In whatever order shingles are taken, sets of n shingles that reach the similarity share one of the first
     n - ceil(n * percent / 100) + 1.
@@ -394,18 +395,19 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percen
     near = left.join(right, "shingle").where(F.expr(f"component_a <> component_b AND id_a < id_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     pairs = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     long = postings.join(lists.where(F.col("size") > _SHORT).select("shingle", "first"), "shingle").select("id", "component", "n", "first")
-    return pairs, _family_links(stage_table(long.distinct()), own, words, percent)
+    return pairs, long
 
 
-def _family_links(long: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` inside families, enough to unite what its pairs unite; ``long(id, component, n, first)`` ties rows.
+def _family_links(tied: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Families ``(id, family)`` of rows that ``tied(id, component, n, first)`` ties together, and links ``(a, b)`` inside them,
+    enough to unite what all their links unite.
 
     A family is dealt into blocks, large components into blocks of their own; every two blocks that hold different
     components meet in a task, which compares all their rows and sends out a spanning forest of the links it finds.
     """
-    spark = long.sparkSession
-    families = stage_table(connected_components(long.select(F.col("id").alias("a"), F.col("first").alias("b"))), narrow=True)
-    rows = long.select("id", "component", "n").distinct().join(families.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    spark = tied.sparkSession
+    families = stage_table(connected_components(tied.select(F.col("id").alias("a"), F.col("first").alias("b"))), narrow=True)
+    rows = tied.select("id", "component", "n").distinct().join(families.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
     rows = stage_table(rows)
     most = lambda n, total: F.greatest(F.ceil(F.col(n) / _BLOCK_ROWS), F.ceil(F.col(total) / _BLOCK_SHINGLES))
     owned = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).withColumn("parts", most("k", "total"))
@@ -423,11 +425,11 @@ def _family_links(long: DataFrame, own: DataFrame, words: int, percent: int) ->
     blocks = stage_table(placed.select("family", "block", "tag").distinct(), narrow=True)
     x, y = blocks.select("family", F.col("block").alias("x"), F.col("tag").alias("tx")), blocks.select("family", F.col("block").alias("y"), F.col("tag").alias("ty"))
     meetings = x.join(y, "family").where("x <= y AND NOT coalesce(tx = ty, false)").select("x", "y")
-    texts = own.select("id", "data")
     packed = placed.select("block", "id", "component").join(texts, "id").select("block", "id", "component", "data").repartition(parallelism(spark), "block").sortWithinPartitions("block")
     packed = stage_table(packed.mapInArrow(_pack_blocks, "block long, rows binary"))
     met = meetings.join(packed.withColumnRenamed("block", "x").withColumnRenamed("rows", "left"), "x").join(packed.withColumnRenamed("block", "y").withColumnRenamed("rows", "right"), "y")
-    return stage_table(met.select("x", "y", "left", "right").mapInArrow(_compare_blocks(words, percent), "a long, b long").distinct(), narrow=True)
+    links = stage_table(met.select("x", "y", "left", "right").mapInArrow(_compare_blocks(words, percent), "a long, b long").distinct(), narrow=True)
+    return rows.select("id", "family"), links
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,13 +534,17 @@ def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame,
     if mixed.isEmpty():
         return None, None
     rows = stage_table(rows.join(mixed, "region"))
-    few = rows.where(F.col("size") <= DIRECT)
-    left, right = (few.select("region", F.col("id").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b"))
-    pairs, links = left.join(right, "region").where("a < b AND ca <> cb").select("a", "b").distinct(), None
+    members = stage_table(rows.select("id").distinct(), narrow=True)
+    texts = _texts_of(documents, members, members.count(), filter_bytes)
+    tied, pairs = rows.where(F.col("size") <= DIRECT).select("id", "component", "n", "first").distinct(), None
     dense = stage_table(rows.where(F.col("size") > DIRECT).select("id", "component").distinct(), narrow=True)
     if n := dense.count():
-        more, links = _prefix_pairs(dense, _texts_of(documents, dense.select("id"), n, filter_bytes), n, words, percent)
-        pairs = pairs.unionByName(more).distinct()
+        pairs, long = _prefix_pairs(dense, texts, n, words, percent)
+        tied = tied.unionByName(long).distinct()
+    families, links = _family_links(stage_table(tied), texts, words, percent)
+    if pairs is not None:  # all pairs inside families are done
+        own = lambda c: families.select(F.col("id").alias(c), F.col("family").alias(f"f{c}"))
+        pairs = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("NOT coalesce(fa = fb, false)").select("a", "b")
     return pairs, links
 
 
@@ -613,10 +619,10 @@ def _components_of(reps: DataFrame, texts: DataFrame, words: int, percent: int,
     components, tried = _united(edges, tried, components, held, words, percent)
     release(held)
     pairs, links = _region_pairs(reps, texts, components, words, percent, filter_bytes)
-    if pairs is None:
-        return components
     if links is not None and not links.isEmpty():
         components = _joined(components, links)
+    if pairs is None:
+        return components
     edges = stage_table(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent).groupBy("a", "b").agg(F.max("agree").alias("agree")), narrow=True)
     if n_edges := edges.count():
         held = _texts_of(texts, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n_edges, filter_bytes)
