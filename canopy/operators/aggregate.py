@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.errors import QueryError
 from canopy.operators.hierarchy import DependencyGraph
-from canopy.schema import EDGE_ATTRIBUTES
+from canopy.schema import EDGE_ATTRIBUTES, PACKAGE, SCOPE_TYPE_KINDS
 
 MOST_PAIRS = 2500
 
@@ -42,6 +42,28 @@ def adjacency(graph: DependencyGraph, node_ids: Sequence[int]) -> DataFrame:
     return bucketed_edges(graph, sources, buckets(graph, node_ids)).groupBy("i", "j").agg(F.sum("weight").alias("weight"))
 
 
+def adjacency_list(graph: DependencyGraph, node_ids: Sequence[int]) -> DataFrame:
+    """``(at, targets)``: for each selected node, by its place in the list, the places it depends on, ascending."""
+    place = lambda c: (F.array_position(F.array(*[F.lit(int(i)) for i in node_ids]), F.col(c)) - 1).cast("int")
+    cells = adjacency(graph, node_ids).where("weight > 0").select(place("i").alias("at"), place("j").alias("to"))
+    every = graph.edges.sparkSession.range(len(node_ids)).select(F.col("id").cast("int").alias("at"))
+    listed = cells.groupBy("at").agg(F.sort_array(F.collect_list("to")).alias("targets"))  # at most one entry for each selected node
+    return every.join(listed, "at", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<int>")))
+
+
+def overview(graph: DependencyGraph) -> DataFrame:
+    """One row for each top node: ``id, name, packages, types, inner_weight, outgoing_weight, incoming_weight, depends_on,
+    used_by``, heaviest dependants first; a page is taken by :func:`canopy.operators.search.page`."""
+    tops = graph.top_of()
+    sizes = graph.nodes.where(F.col("kind") != "root").join(tops, "id").groupBy("top").agg(F.count_if(F.col("kind") == PACKAGE).alias("packages"), F.count_if(F.col("kind").isin(*SCOPE_TYPE_KINDS)).alias("types"))
+    cells = bucketed_edges(graph, tops.withColumnRenamed("top", "bucket")).groupBy("i", "j").agg(F.sum("weight").alias("weight"))
+    inner = cells.where("i = j").select(F.col("i").alias("top"), F.col("weight").alias("inner_weight"))
+    side = lambda own, other, weight, many: cells.where("i <> j").groupBy(F.col(own).alias("top")).agg(F.sum("weight").alias(weight), F.count(other).alias(many))
+    out = sizes.join(inner, "top", "left").join(side("i", "j", "outgoing_weight", "depends_on"), "top", "left").join(side("j", "i", "incoming_weight", "used_by"), "top", "left")
+    named = graph.nodes.select(F.col("id").alias("top"), "name").join(out.na.fill(0), "top").withColumnRenamed("top", "id")
+    return named.orderBy(F.col("incoming_weight").desc(), "name")
+
+
 def pairwise(graph: DependencyGraph, node_ids: Sequence[int] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """``(i, j, weight, type_pairs, attrs)`` off the diagonal.  Selected by ids or by a table ``groups(id, bucket)``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,22 +48,24 @@ def between_known(facts: DataFrame, types: DataFrame) -> DataFrame:
     return facts.join(known.withColumnRenamed("fqn", "from_type"), "from_type", "left_semi").join(known.withColumnRenamed("fqn", "to_type"), "to_type", "left_semi")
 
 
-def supertype_pairs(facts: DataFrame, most: int = 32) -> DataFrame:
+def supertype_pairs(facts: DataFrame) -> DataFrame:
     """``(sub, super, depth, by_class)`` of all types: nearest depth, and whether superclasses alone lead there.
 
-    Depth is bounded by ``most``; each step joins the pairs found last with the direct ones.
+    Each step joins the pairs found last with the direct ones, until there are no new pairs.
     """
     from canopy.plans.materialize import stage_table
 
     direct = stage_table(facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("sub"), F.col("to_type").alias("super"), (F.col("relationship") == "extends").alias("by_class")).groupBy("sub", "super").agg(F.max("by_class").alias("by_class")))
     seen = frontier = direct.withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
+    for depth in count(2):
         step = direct.select(F.col("sub").alias("mid"), "super", F.col("by_class").alias("c2"))
         nxt = frontier.select("sub", F.col("super").alias("mid"), "by_class").join(step, "mid").where("sub <> super").groupBy("sub", "super").agg(F.max(F.col("by_class") & F.col("c2")).alias("by_class"))
         frontier = stage_table(nxt.join(seen.select("sub", "super"), ["sub", "super"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:  # else each step would read one more table
+            seen = stage_table(seen)
     return seen.select("sub", "super", "depth", "by_class")
 
 

@@ -63,9 +63,10 @@ def definers(types: DataFrame) -> DataFrame:
 
 def resolve_owner_first(references: DataFrame, types: DataFrame) -> DataFrame:
     """Adds ``to_artifact``: the owner's own artifact if it defines the target, else the least definer; null if none."""
-    least = definers(types).groupBy("to_type").agg(F.min("definer").alias("least"), F.collect_set("definer").alias("all"))
-    found = references.join(least, "to_type", "left")
-    return found.withColumn("to_artifact", F.when(F.array_contains("all", F.col("artifact")), F.col("artifact")).otherwise(F.col("least"))).drop("all", "least")
+    defined = definers(types)
+    least = defined.groupBy("to_type").agg(F.min("definer").alias("least"))
+    own = defined.select("to_type", F.col("definer").alias("artifact"), F.col("definer").alias("own"))
+    return references.join(least, "to_type", "left").join(own, ["artifact", "to_type"], "left").withColumn("to_artifact", F.coalesce("own", "least")).drop("own", "least")
 
 
 def resolve_classpath(references: DataFrame, types: DataFrame, classpath: DataFrame) -> DataFrame:

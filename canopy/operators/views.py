@@ -219,11 +219,12 @@ def _module_weights(type_weights: DataFrame, place: DataFrame, column: str) -> D
 
 
 def _cycles(weights: DataFrame) -> list[list[str]]:
-    """Cycles between modules; their number is checked, as in a matrix."""
-    rows = weights.select("from_module", "to_module").limit(1_000_000).collect()
-    names = sorted({r[k] for r in rows for k in (0, 1)})
-    if len(names) > 1000:
+    """Cycles between modules; their number is checked before any pair is fetched, as in a matrix."""
+    modules = weights.select(F.explode(F.array("from_module", "to_module")).alias("m")).distinct().limit(1001).collect()
+    if len(modules) > 1000:
         raise QueryError("INPUT_TOO_LARGE", "more than 1000 modules")
+    rows = weights.select("from_module", "to_module").collect()
+    names = sorted(r["m"] for r in modules)
     at = {n: i for i, n in enumerate(names)}
     matrix = np.zeros((len(names), len(names)), np.int64)
     for r in rows:

@@ -31,6 +31,11 @@ g AS (SELECT x.fqn AS a, y.fqn AS b, min(x.p_brand) AS a_brand, min(y.p_brand) A
       FROM sp JOIN pt x ON a = x.p_partkey JOIN pt y ON b = y.p_partkey GROUP BY x.fqn, y.fqn)"""
 
 
+def handle(key: str) -> str:
+    """SQL of a node's id from the SQL of its key."""
+    return f"(CAST('0x' || substr(sha256({key}), 3, 14) AS BIGINT) & 9007199254740991)"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 

@@ -9,7 +9,7 @@ from canopy.functions import names
 from canopy.functions.bits import type_modifiers
 from canopy.operators import aggregate as agg
 from canopy.operators import ingest
-from canopy.plans.oracle import NODES, TRADE, sequence, with_
+from canopy.plans.oracle import NODES, TRADE, handle, sequence, with_
 from canopy.plans.registry import register
 from canopy.schema import COUNTED_KINDS, MODULE, PACKAGE
 from canopy.sources import testdata as td
@@ -242,7 +242,13 @@ def weight_by_kind(spark, sf_dir):
     return agg.kinds_of(td.trade_graph(spark, sf_dir).edges)
 
 
-@register("fingerprint", None)
+_TYPE_ID = lambda region, fqn: handle(f"'type:' || length({region}) || ':' || {region} || ':' || {fqn}")
+_BITS = lambda text: f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+@register("fingerprint", f"""{with_(TRADE, NODES)}, k AS (SELECT CASE kind WHEN 'java.module' THEN qn WHEN 'java.package' THEN 'pkg:' || module || ':' || qn ELSE 'type:' || length(module) || ':' || module || ':' || qn END AS key, kind FROM nodes UNION ALL SELECT '<root>', 'root'),
+ n AS (SELECT count(*) AS nodes, CAST(sum({_BITS(handle("key") + " || '|' || kind")}) AS VARCHAR) AS a FROM k), x AS (SELECT count(*) AS edges, CAST(sum({_BITS(_TYPE_ID("c_region", "c_fqn") + " || '|' || " + _TYPE_ID("s_region", "s_fqn") + " || '|' || weight")}) AS VARCHAR) AS b FROM e)
+ SELECT nodes, edges, translate(to_base64(unhex(substr(sha256(nodes || ':' || edges || ':' || a || ':' || b), 1, 24))), '+/=', '-_') AS data_hash FROM n, x""")
 def fingerprint(spark, sf_dir):
     """Order-independent hash of nodes and edges."""
     from canopy.functions.hashing import fingerprint as of

@@ -147,7 +147,7 @@ def reload_diff(spark, sf_dir):
     return ch.reload_diff(state(3), state(5))
 
 
-@register("output_signatures", None)
+@register("output_signatures", "SELECT user_id AS module, CAST(sum(CAST('0x' || substr(md5(event_type || '|' || event_id || '|' || epoch_us(ts)), 1, 12) AS BIGINT)) AS VARCHAR) AS signature, count(*) AS files FROM events GROUP BY 1")
 def output_signatures(spark, sf_dir):
     """Order-independent signatures of each module's events read as files."""
     events = td.change_stream(spark, sf_dir)

@@ -22,8 +22,8 @@ DEPENDENCIES = _struct(
 CLASSPATH = _struct(("artifact_key", _S, False), ("name", _S, False), ("index", _I, False), ("dep_key", _S, False), ("internal", _I, False))
 TABLES = {"types": TYPES, "members": MEMBERS, "parameters": PARAMETERS, "dependencies": DEPENDENCIES, "classpath": CLASSPATH}
 
-#: How the footer entry that names the storage format ends, and the format.
-FORMAT_KEY, FORMAT_VERSION = ".format.version", 3
+#: Entry of a file's footer, and of a written column's metadata, that names the storage format; and the format.
+FORMAT_KEY, FORMAT_VERSION = "canopy.format.version", 3
 #: Table names of a format that is no longer read.
 STALE_TABLES = ("refs", "detail_refs")
 

@@ -15,18 +15,27 @@ from pyspark.sql import functions as F
 
 from canopy.errors import QueryError
 from canopy.operators.detail import fact_order
+from canopy.operators.hierarchy import DependencyGraph
+from canopy.operators.ingest import build_graph
 from canopy.schema import FORMAT_KEY, FORMAT_VERSION, STALE_TABLES, TABLES
 
 
-def read_table(spark: SparkSession, paths: str | Sequence[str], name: str) -> DataFrame:
+def read_table(spark: SparkSession, paths: str | Sequence[str], name: str, layout: str = "artifacts") -> DataFrame:
     """A fact table under one or more folders with the column ``artifact``; columns added later read as null.
 
-    ``path/artifact=…/name.parquet`` gives the artifact by its folder; a types table holds it itself.
+    ``artifacts``: ``path/artifact=…/name.parquet`` gives the artifact by its folder; a types table holds it itself.
+    ``tables``: ``path/name/artifact=…``, as the sinks here write.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
     schema = TABLES[name]
-    if name != "types":
+    if name not in ("types", "classpath"):
         schema = type(schema)(schema.fields).add("artifact", "string")
+    if layout == "tables":
+        parts = [spark.read.schema(schema).parquet(f"{root}/{name}") for root in roots]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     files = [f"{root}/*/{name}.parquet" for root in roots]
     return spark.read.schema(schema).option("basePath", roots[0]).parquet(*files) if len(roots) == 1 else spark.read.schema(schema).parquet(*files)
 
@@ -76,18 +85,42 @@ def source_artifact(types: DataFrame) -> DataFrame:
     return types.agg(F.when(F.countDistinct("artifact") == 1, F.first("artifact")).alias("artifact"))
 
 
-def check_format(path: str) -> None:
-    """Refuses a local snapshot folder of another format, by the footers of its files."""
+def check_format(path: str, key: str = FORMAT_KEY) -> None:
+    """Refuses a local folder of files of another format, by the entry ``key`` of their footers."""
     for folder, _, files in os.walk(path):
         for name in files:
             if name.removesuffix(".parquet") in STALE_TABLES:
                 raise QueryError("STALE_SNAPSHOT", f"{folder} has tables of an old format", "write the snapshot again")
             if name.endswith(".parquet"):
                 meta = pq.read_metadata(os.path.join(folder, name)).metadata or {}
-                found = next((int(v) for k, v in meta.items() if k.endswith(FORMAT_KEY.encode())), 0)
-                if found != FORMAT_VERSION:
-                    code = "NEWER_SNAPSHOT" if found > FORMAT_VERSION else "STALE_SNAPSHOT"
-                    raise QueryError(code, f"{name} has format {found}, not {FORMAT_VERSION}", "write the snapshot again")
+                _refuse_other(int(meta.get(key.encode(), 0)), name)
+
+
+def _refuse_other(found: int, name: str) -> None:
+    if found != FORMAT_VERSION:
+        code = "NEWER_SNAPSHOT" if found > FORMAT_VERSION else "STALE_SNAPSHOT"
+        raise QueryError(code, f"{name} has format {found}, not {FORMAT_VERSION}", "write the snapshot again")
+
+
+def check_snapshot(spark: SparkSession, path: str, names: Sequence[str] = ("types", "dependencies")) -> None:
+    """Refuses tables that the sinks here didn't write in this format, wherever they lie; footers are read by Spark."""
+    for name in names:
+        fields = spark.read.parquet(f"{path}/{name}").schema.fields
+        _refuse_other(max((int(f.metadata.get(FORMAT_KEY, 0)) for f in fields), default=0), name)
+
+
+def write_snapshot(path: str, **tables: DataFrame) -> None:
+    """Writes the fact tables given by name; ``classpath`` has no artifact."""
+    sinks = {"types": write_types, "members": write_members, "parameters": write_parameters, "dependencies": write_dependencies, "classpath": write_classpath}
+    for name, rows in tables.items():
+        sinks[name](rows, path)
+
+
+def load_graph(spark: SparkSession, path: str, members: bool = False, classpath: bool = False) -> DependencyGraph:
+    """The graph of a snapshot: its format is checked, its tables are read, resolved and hung into the tree."""
+    check_snapshot(spark, path)
+    read = lambda name: read_table(spark, path, name, "tables")
+    return build_graph(read("types"), rollup_scan(read("dependencies")), read("members") if members else None, read("classpath") if classpath else None, placeholders=None)
 
 
 # --- archives ---------------------------------------------------------------------------------------------------------
@@ -141,22 +174,32 @@ def zip_artifact(folder: str, target: str) -> None:
 # --- writing ----------------------------------------------------------------------------------------------------------
 
 
+def _stamped(rows: DataFrame) -> DataFrame:
+    """Rows whose first column carries the format in its metadata, which Spark keeps in each file's footer."""
+    first = next(c for c in rows.columns if c != "artifact")
+    return rows.withMetadata(first, {FORMAT_KEY: FORMAT_VERSION})
+
+
 def write_types(types: DataFrame, path: str) -> None:
-    types.repartition("artifact").sortWithinPartitions("artifact", "fqn").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/types")
+    _stamped(types).repartition("artifact").sortWithinPartitions("artifact", "fqn").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/types")
 
 
 def write_members(members: DataFrame, path: str) -> None:
-    members.repartition("artifact").sortWithinPartitions("artifact", "owner_fqn", "member_key").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/members")
+    _stamped(members).repartition("artifact").sortWithinPartitions("artifact", "owner_fqn", "member_key").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/members")
 
 
 def write_parameters(parameters: DataFrame, path: str) -> None:
-    parameters.repartition("artifact").sortWithinPartitions("artifact", "method_key", "index").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/parameters")
+    _stamped(parameters).repartition("artifact").sortWithinPartitions("artifact", "method_key", "index").write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/parameters")
 
 
 def write_dependencies(facts: DataFrame, path: str) -> None:
     """Facts by artifact in total order, so that a scan for one owner reads few row groups.  A hot artifact is split by
     range of its owners."""
-    facts.repartitionByRange("artifact", "from_type").sortWithinPartitions("artifact", *fact_order()).write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/dependencies")
+    _stamped(facts).repartitionByRange("artifact", "from_type").sortWithinPartitions("artifact", *fact_order()).write.option("compression", "zstd").partitionBy("artifact").parquet(f"{path}/dependencies")
+
+
+def write_classpath(rows: DataFrame, path: str) -> None:
+    _stamped(rows).sortWithinPartitions("artifact_key", "index").write.option("compression", "zstd").parquet(f"{path}/classpath")
 
 
 def filed(facts: DataFrame, types: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.hashing import row_sum
+
 SETTLE, WATERMARK = "400 milliseconds", "10 seconds"
 
 
@@ -54,8 +56,11 @@ def activity(changes: DataFrame, trailing_seconds: int, step_seconds: int = 1, c
 
 
 def output_signatures(files: DataFrame) -> DataFrame:
-    """``(module, signature, files)`` of ``(module, path, size, mtime)``: the same in any order of files."""
-    return files.groupBy("module").agg(F.bit_xor(F.xxhash64("path", "size", "mtime")).alias("signature"), F.count(F.lit(1)).alias("files"))
+    """``(module, signature, files)`` of ``(module, path, size, mtime)``: the same in any order of files.
+
+    The signature is the sum of 48 bits of each file's MD5, so equal rows don't cancel out.
+    """
+    return files.groupBy("module").agg(row_sum("path", "size", "mtime").alias("signature"), F.count(F.lit(1)).alias("files"))
 
 
 def rescanned(previous: DataFrame, fresh: DataFrame, changed: DataFrame, declared: DataFrame | None = None) -> DataFrame:

@@ -43,8 +43,10 @@ def test_archives(spark, tmp_path):
     table = pa.table({"artifact": ["m"], "fqn": ["x.A"], "kind": ["CLASS"], "source_file": [None], "class_hash": [None], "modifiers": pa.array([1], pa.int32())})
     folder = tmp_path / "plain"
     folder.mkdir()
-    pq.write_table(table.replace_schema_metadata({f"store{FORMAT_KEY}": "3"}), folder / "types.parquet")
+    pq.write_table(table.replace_schema_metadata({FORMAT_KEY: "3"}), folder / "types.parquet")
     tables.check_format(str(folder))
+    with pytest.raises(QueryError):
+        tables.check_format(str(folder), key="another.key")
     target = tmp_path / tables.archive_name("g:a.jar")
     tables.zip_artifact(str(folder), str(target))
     assert target.name == "g_a.zip"
@@ -54,7 +56,7 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(outer, "w") as z:
         z.write(target, "inner.zip")
     assert [r["fqn"] for r in tables.read_archives(spark, str(outer), "types").collect()] == ["x.A"]
-    pq.write_table(table.replace_schema_metadata({f"store{FORMAT_KEY}": "4"}), folder / "types.parquet")
+    pq.write_table(table.replace_schema_metadata({FORMAT_KEY: "4"}), folder / "types.parquet")
     with pytest.raises(QueryError) as e:
         tables.check_format(str(folder))
     assert e.value.code == "NEWER_SNAPSHOT"

@@ -21,6 +21,10 @@ def _rows(frame):
     return sorted((tuple(plain(x) for x in r) for r in frame.itertuples(index=False)), key=str)
 
 
+#: Queries whose operators have brute-force or literal tests of their own: orders of matrices, paths of any length.
+TESTED_ELSEWHERE = {"matrix_order_regions", "matrix_order_nations", "pairwise_in_order", "whole_best_paths"}
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
@@ -34,7 +38,10 @@ def test_query(name, spark, sf_dir, duck):
     frame = registry.queries()[name](spark, sf_dir)
     frame = frame.select(*sorted(frame.columns)).toPandas()
     sql = registry.oracle_sql().get(name)
-    if sql is not None:
+    assert sql is not None or name in TESTED_ELSEWHERE
+    if sql is None:
+        assert len(frame) > 0
+    else:
         want = duck.execute(sql).fetchdf()
         want = want[sorted(want.columns)]
         assert list(frame.columns) == list(want.columns)
