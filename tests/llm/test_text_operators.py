@@ -309,6 +309,17 @@ def test_pieces(docs, none):
     assert pieces.round_trips(none).count() == 0
 
 
+def test_chunks_in_arrays_have_the_pieces_of_chunks_one_by_one():
+    rng = random.Random(66)
+    words = [w for t in TEXTS.values() if t for w in t.split()] + ["", "a▁b", "日本語", "é" * 60, "x" * 49, "internationalization", "\n\n", "😀"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["", " ", "   a  ", "▁", "a" * 48]
+    keys = [rng.randint(-(1 << 62), 1 << 62) for _ in texts]
+    for dropout in (0.0, 0.001, 0.1, 0.6, 1.0):
+        codec = pieces.PieceCodec(pieces.default_model(), dropout)
+        assert codec.encode_all(texts, keys) == [codec.encode(t, k) for t, k in zip(texts, keys, strict=True)]
+        assert codec.encode_all([""], [1]) == [b""] and codec.encode_all([], []) == []
+
+
 def test_each_occurrence_has_merges_dropped_by_itself():
     codec, fresh = (pieces.PieceCodec(pieces.default_model()) for _ in range(2))
     plain = pieces.PieceCodec(pieces.default_model(), 0.0)
