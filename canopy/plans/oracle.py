@@ -20,13 +20,12 @@ nodes AS (
   UNION ALL SELECT s_fqn, 'java.interface', 'S' || s_suppkey, s_region, s_nation FROM su)"""
 
 
-def sequence(thin: bool = True, acyclic: bool = False) -> str:
-    where = ("AND round(l_discount, 2) = 0.1 " if thin else "") + ("AND l_quantity >= 26 " if acyclic else "")
-    return f"""
+def sequence() -> str:
+    return """
 pt AS (SELECT p_partkey, p_brand, replace(replace(p_brand, '.', '_'), '#', '_') || '_' || replace(replace(p_type, ' ', '_'), '.', '_') AS package,
          replace(replace(p_brand, '.', '_'), '#', '_') || '_' || replace(replace(p_type, ' ', '_'), '.', '_') || '.P' || p_partkey AS fqn FROM part),
 ld AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS nxt FROM lineitem),
-sp AS (SELECT l_partkey AS a, nxt AS b FROM ld WHERE nxt IS NOT NULL AND nxt <> l_partkey {where}),
+sp AS (SELECT l_partkey AS a, nxt AS b FROM ld WHERE nxt IS NOT NULL AND nxt <> l_partkey),
 g AS (SELECT x.fqn AS a, y.fqn AS b, min(x.p_brand) AS a_brand, min(y.p_brand) AS b_brand, min(x.package) AS a_package, min(y.package) AS b_package, count(*) AS weight
       FROM sp JOIN pt x ON a = x.p_partkey JOIN pt y ON b = y.p_partkey GROUP BY x.fqn, y.fqn)"""
 

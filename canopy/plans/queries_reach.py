@@ -12,54 +12,12 @@ from canopy.plans.registry import register
 from canopy.schema import MODULE, PACKAGE
 from canopy.sources import testdata as td
 
-_BFS = f"""{with_recursive(sequence(acyclic=True))}, b(node, d) AS (SELECT fqn, 0 FROM pt WHERE p_brand = 'Brand#1' UNION SELECT {{to}}, d + 1 FROM b JOIN g ON b.node = {{at}} WHERE d < 12),
- m AS (SELECT node, min(d) AS d FROM b GROUP BY 1)"""
-
-
 def _ids(g, kind):
     return [r["id"] for r in g.nodes.where(F.col("kind") == kind).select("id").orderBy("id").collect()]
 
 
-@register("affected_by", _BFS.format(at="g.b", to="g.a") + " SELECT node, CAST(d AS INTEGER) AS distance FROM m WHERE d > 0 AND node NOT IN (SELECT fqn FROM pt WHERE p_brand = 'Brand#1')")
-def affected_by(spark, sf_dir):
-    """Everything that depends on a brand's parts, with its distance."""
-    from canopy.functions.names import handle_of
-
-    g = td.sequence_graph(spark, sf_dir, acyclic=True)
-    return named(reach.affected(g, handle_of("Brand#1")).select("id", "distance"), g.nodes, node="id").select("node", "distance")
-
-
-@register("depends_on_by_distance", _BFS.format(at="g.a", to="g.b") + " SELECT CAST(d AS INTEGER) AS distance, count(*) AS n FROM m WHERE d > 0 AND node NOT IN (SELECT fqn FROM pt WHERE p_brand = 'Brand#1') GROUP BY 1")
-def depends_on_by_distance(spark, sf_dir):
-    from canopy.functions.names import handle_of
-
-    g = td.sequence_graph(spark, sf_dir, acyclic=True)
-    return reach.distances(reach.affected(g, handle_of("Brand#1"), incoming=False))
-
-
-@register("source_counts", f"""{with_recursive(sequence(acyclic=True))}, s AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#1'), b(src, node, d) AS (SELECT fqn, fqn, 0 FROM s UNION SELECT src, g.a, d + 1 FROM b JOIN g ON g.b = b.node WHERE d < 3 AND g.a NOT IN (SELECT fqn FROM s))
- SELECT node, count(DISTINCT src) AS sources FROM b WHERE d > 0 GROUP BY 1""")
-def source_counts(spark, sf_dir):
-    """How many of a brand's parts reach each dependent within three steps."""
-    from canopy.functions.names import handle_of
-
-    g = td.sequence_graph(spark, sf_dir, acyclic=True)
-    found = reach.source_counts(g, g.scope_types([handle_of("Brand#1")]).select("id"), max_depth=3)
-    return named(found, g.nodes, node="id").select("node", "sources")
-
-
-@register("best_paths", f"""{with_(sequence(acyclic=True))}, s AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#1'), t AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#2'),
- p AS (SELECT g.a || '>' || g.b AS path, 1 AS length, weight FROM g WHERE g.a IN (SELECT fqn FROM s) AND g.b IN (SELECT fqn FROM t)) SELECT CAST(length AS INTEGER) AS length, CAST(weight AS BIGINT) AS weight, count(*) AS n FROM (SELECT * FROM p ORDER BY weight DESC, path LIMIT 20) GROUP BY 1, 2""")
-def best_paths(spark, sf_dir):
-    """The heaviest direct paths from one brand to another, by length and weight."""
-    from canopy.functions.names import handle_of
-
-    g = td.sequence_graph(spark, sf_dir, acyclic=True)
-    return reach.dependency_paths(g, handle_of("Brand#1"), handle_of("Brand#2"), 20, 1).groupBy("length", "weight").agg(F.count(F.lit(1)).alias("n"))
-
-
 _PART_ID = lambda brand, fqn: handle(f"'type:' || length({brand}) || ':' || {brand} || ':' || {fqn}")
-_WHOLE = sequence(thin=False)
+_WHOLE = sequence()
 #: Rows of (node, distance): one for each level a node is met on; no shortest path of these graphs is as long as the bound.
 _LEVELS = lambda here, there: "r AS (SELECT DISTINCT fqn AS node, 0 AS d FROM pt WHERE p_brand = 'Brand#1' UNION SELECT " + f"g.{there}, d + 1 FROM r JOIN g ON g.{here} = node WHERE d < 40)"
 
@@ -69,7 +27,7 @@ def dependency_paths(spark, sf_dir):
     """Best paths of any length between two brands, with names."""
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     rows = reach.dependency_paths(g, handle_of("Brand#1"), handle_of("Brand#2"), 5)
     steps = rows.select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("p"), "length", "weight", F.posexplode("path").alias("at", "id"))
     return steps.join(g.nodes.select("id", "qualified_name"), "id").groupBy("p", "length", "weight").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "qualified_name"))), lambda x: x["qualified_name"]), " > ").alias("path")).select("path", "length", "weight")
@@ -78,7 +36,7 @@ def dependency_paths(spark, sf_dir):
 @register("strong_components", f"""{with_recursive(_WHOLE, "r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)")}, c AS (SELECT x.a, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS components FROM s WHERE size > 1 GROUP BY 1""")
 def strong_components(spark, sf_dir):
     """How many cycles of each size the sequence graph has."""
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     sizes = ordering.strong_components(g.edges).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.where("size > 1").groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
@@ -125,52 +83,53 @@ def mutual_dependencies(spark, sf_dir):
 @register("brand_levels", f"""{with_recursive(_WHOLE, "h AS (SELECT DISTINCT a_brand AS a, b_brand AS b FROM g)", "r AS (SELECT p_brand AS a, p_brand AS b FROM part UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a)", "c AS (SELECT x.a AS node, min(x.b) AS core FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)", "d AS (SELECT DISTINCT x.core AS a, y.core AS b FROM h JOIN c x ON h.a = x.node JOIN c y ON h.b = y.node WHERE x.core <> y.core)", "l AS (SELECT core, 0 AS k FROM c UNION SELECT d.a, k + 1 FROM l JOIN d ON d.b = l.core)")} SELECT node, CAST(max(k) AS INTEGER) AS level FROM c JOIN l USING (core) GROUP BY 1""")
 def brand_levels(spark, sf_dir):
     """Levels of brands in the sequence graph."""
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     ids = _ids(g, MODULE)
     found = ordering.levels(ordering.matrix_of(g, ids))
     return named(spark.createDataFrame(list(zip(ids, found, strict=True)), "id long, level int"), g.nodes, node="id").select("node", "level")
 
 
-# The queries above that have SQL keep to a part of the lines, as their SQL does; these take all lines and any length.
-
-
-@register("whole_affected_by", f"{with_recursive(_WHOLE, _LEVELS('b', 'a'))} SELECT node, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY 1 HAVING min(d) > 0")
-def whole_affected_by(spark, sf_dir):
-    """Everything that depends on a brand's parts in the whole sequence graph, with its distance."""
+@register("affected_by", f"{with_recursive(_WHOLE, _LEVELS('b', 'a'))} SELECT node, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY 1 HAVING min(d) > 0")
+def affected_by(spark, sf_dir):
+    """Everything that depends on a brand's parts, with its distance."""
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     return named(reach.affected(g, handle_of("Brand#1")).select("id", "distance"), g.nodes, node="id").select("node", "distance")
 
 
-@register("whole_depends_on_by_distance", f"{with_recursive(_WHOLE, _LEVELS('a', 'b'))}, m AS (SELECT node, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY 1) SELECT distance, count(*) AS n FROM m WHERE distance > 0 GROUP BY 1")
-def whole_depends_on_by_distance(spark, sf_dir):
+@register("depends_on_by_distance", f"{with_recursive(_WHOLE, _LEVELS('a', 'b'))}, m AS (SELECT node, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY 1) SELECT distance, count(*) AS n FROM m WHERE distance > 0 GROUP BY 1")
+def depends_on_by_distance(spark, sf_dir):
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     return reach.distances(reach.affected(g, handle_of("Brand#1"), incoming=False))
 
 
-@register("whole_source_counts", f"""{with_recursive(_WHOLE, "o AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#1')", "q AS (SELECT * FROM g WHERE a NOT IN (SELECT fqn FROM o))", "r AS (SELECT fqn AS source, fqn AS node FROM o UNION SELECT source, q.a FROM r JOIN q ON q.b = node)")} SELECT node, count(*) AS sources FROM r WHERE node NOT IN (SELECT fqn FROM o) GROUP BY 1""")
-def whole_source_counts(spark, sf_dir):
-    """How many of a brand's parts reach each dependent in the whole sequence graph."""
+@register("source_counts", f"""{with_recursive(_WHOLE, "o AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#1')", "q AS (SELECT * FROM g WHERE a NOT IN (SELECT fqn FROM o))", "r AS (SELECT fqn AS source, fqn AS node, 0 AS d FROM o UNION SELECT source, q.a, d + 1 FROM r JOIN q ON q.b = node WHERE d < 3)")} SELECT node, count(DISTINCT source) AS sources FROM r WHERE d > 0 GROUP BY 1""")
+def source_counts(spark, sf_dir):
+    """How many of a brand's parts reach each dependent within three steps."""
+    return _source_counts(spark, sf_dir, 3)
+
+
+@register("source_counts_any_length", f"""{with_recursive(_WHOLE, "o AS (SELECT fqn FROM pt WHERE p_brand = 'Brand#1')", "q AS (SELECT * FROM g WHERE a NOT IN (SELECT fqn FROM o))", "r AS (SELECT fqn AS source, fqn AS node FROM o UNION SELECT source, q.a FROM r JOIN q ON q.b = node)")} SELECT node, count(*) AS sources FROM r WHERE node NOT IN (SELECT fqn FROM o) GROUP BY 1""")
+def source_counts_any_length(spark, sf_dir):
+    """How many of a brand's parts reach each dependent by paths of any length."""
+    return _source_counts(spark, sf_dir, None)
+
+
+def _source_counts(spark, sf_dir, max_depth):
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir, thin=False)
-    found = reach.source_counts(g, g.scope_types([handle_of("Brand#1")]).select("id"))
+    g = td.sequence_graph(spark, sf_dir)
+    found = reach.source_counts(g, g.scope_types([handle_of("Brand#1")]).select("id"), max_depth=max_depth)
     return named(found, g.nodes, node="id").select("node", "sources")
 
 
-@register("whole_best_paths")
-def whole_best_paths(spark, sf_dir):
-    """The best paths of any length from one brand to another in the whole sequence graph, by length and weight."""
+@register("best_paths")
+def best_paths(spark, sf_dir):
+    """The best paths of any length from one brand to another, by length and weight."""
     from canopy.functions.names import handle_of
 
-    g = td.sequence_graph(spark, sf_dir, thin=False)
+    g = td.sequence_graph(spark, sf_dir)
     return reach.dependency_paths(g, handle_of("Brand#1"), handle_of("Brand#2"), 20).groupBy("length", "weight").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("whole_sequence_edges", f"{with_(sequence(thin=False))} SELECT a AS from_type, b AS to_type, CAST(weight AS INTEGER) AS weight FROM g")
-def whole_sequence_edges(spark, sf_dir):
-    g = td.sequence_graph(spark, sf_dir, thin=False)
-    return named(g.edges.select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")

@@ -83,33 +83,29 @@ def _part_fqn():
     return F.concat(F.regexp_replace("p_brand", r"[.#]", "_"), F.lit("_"), F.regexp_replace("p_type", r"[ .]", "_"), F.lit(".P"), "p_partkey")
 
 
-def sequence_pairs(spark: SparkSession, sf_dir: str, thin: bool = True, acyclic: bool = False) -> DataFrame:
+def sequence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(a, b)``: parts of consecutive lines of one order."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     pairs = lines.withColumn("b", F.lead("l_partkey").over(order)).where("b IS NOT NULL")
-    if thin:
-        pairs = pairs.where(F.round("l_discount", 2) == 0.1)
-    if acyclic:
-        pairs = pairs.where("l_quantity >= 26")
     return pairs.select(F.col("l_partkey").alias("a"), "b", "l_linenumber")
 
 
-def sequence_dependencies(spark: SparkSession, sf_dir: str, thin: bool = True, acyclic: bool = False) -> DataFrame:
+def sequence_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", _part_fqn().alias("fqn"))
     a, b = part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("artifact"), F.col("fqn").alias("from_type")), part.select(F.col("p_partkey").alias("b"), F.col("fqn").alias("to_type"))
-    return sequence_pairs(spark, sf_dir, thin, acyclic).join(a, "a").join(b, "b").select(
+    return sequence_pairs(spark, sf_dir).join(a, "a").join(b, "b").select(
         "artifact", F.concat("from_type", F.lit("#m()")).alias("from_key"), "from_type", F.concat("to_type", F.lit("#m()")).alias("to_key"), "to_type", F.lit("calls").alias("relationship"), F.col("l_linenumber").alias("line"),
         F.lit(None).cast("int").alias("parameter_index"), F.lit(None).cast("string").alias("parameter_name"),
     )
 
 
-def sequence_graph(spark: SparkSession, sf_dir: str, thin: bool = True, acyclic: bool = False) -> DependencyGraph:
-    return _generation(spark, ("sequence", sf_dir, thin, acyclic), lambda: _sequence_graph(spark, sf_dir, thin, acyclic))
+def sequence_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
+    return _generation(spark, ("sequence", sf_dir), lambda: _sequence_graph(spark, sf_dir))
 
 
-def _sequence_graph(spark: SparkSession, sf_dir: str, thin: bool, acyclic: bool) -> DependencyGraph:
-    return build_graph(sequence_types(spark, sf_dir), sequence_dependencies(spark, sf_dir, thin, acyclic), placeholders=None)
+def _sequence_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
+    return build_graph(sequence_types(spark, sf_dir), sequence_dependencies(spark, sf_dir), placeholders=None)
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ def graph(sf_dir):
     c = duckdb.connect()
     for name in ("lineitem", "part"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    edges = c.execute(f"{with_(sequence(thin=False))} SELECT a, b, weight FROM g").fetchall()
-    starts = {x for (x,) in c.execute(f"{with_(sequence(thin=False))} SELECT fqn FROM pt WHERE p_brand = 'Brand#1'").fetchall()}
+    edges = c.execute(f"{with_(sequence())} SELECT a, b, weight FROM g").fetchall()
+    starts = {x for (x,) in c.execute(f"{with_(sequence())} SELECT fqn FROM pt WHERE p_brand = 'Brand#1'").fetchall()}
     return edges, starts
 
 
@@ -35,10 +35,10 @@ def test_whole_sequence_graph(spark, sf_dir, graph):
         ahead.setdefault(a, set()).add(b)
         back.setdefault(b, set()).add(a)
     run = lambda name: registry.queries()[name](spark, sf_dir).collect()
-    assert {r["node"]: r["distance"] for r in run("whole_affected_by")} == _reached(back, starts)
-    assert {r["distance"]: r["n"] for r in run("whole_depends_on_by_distance")} == Counter(_reached(ahead, starts).values())
+    assert {r["node"]: r["distance"] for r in run("affected_by")} == _reached(back, starts)
+    assert {r["distance"]: r["n"] for r in run("depends_on_by_distance")} == Counter(_reached(ahead, starts).values())
     sources = Counter(x for s in starts for x in _reached(back, {s}, starts))
-    assert {r["node"]: r["sources"] for r in run("whole_source_counts")} == sources
+    assert {r["node"]: r["sources"] for r in run("source_counts_any_length")} == sources
     nodes = {x for a, b, _ in edges for x in (a, b)}
     forward, behind = ({x: set(_reached(n, {x})) | {x} for x in nodes} for n in (ahead, back))
     groups = {frozenset(forward[x] & behind[x]) for x in nodes}
