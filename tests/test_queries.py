@@ -22,7 +22,7 @@ def _rows(frame):
 
 
 #: Queries whose operators have brute-force or literal tests of their own: orders of matrices, paths of any length.
-TESTED_ELSEWHERE = {"matrix_order_regions", "matrix_order_nations", "pairwise_in_order", "best_paths"}
+TESTED_ELSEWHERE = {"matrix_order_regions", "matrix_order_nations", "pairwise_in_order", "best_paths", "structure_feedback"}
 
 
 @pytest.fixture(scope="module")
