@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import hnsw, near_dedup, ngram_lm, packing, pairwise_quality, pieces, quality_rules, secrets, sharding, substring
+from canopy.llm import hnsw, language, merkle, near_dedup, ngram_lm, oracle, packing, pairwise_quality, periodic, pieces, quality_rules, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,24 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op11_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from three quarters of them."""
+    return language.document_languages(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents that repeat a period at least three times over 24 words or more."""
+    return periodic.document_runs(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots, proofs and verdicts of all documents."""
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op6_merge_dropout, op7_robust_outliers, op8_difference_cover, op9_pairwise_ranking, op10_crf_secrets)}
+    return {f.__name__: f for f in (op1_hnsw_shards, op2_minhash_forest, op3_log_frequency_bloom, op4_byte_shards, op5_vector_packing, op6_merge_dropout, op7_robust_outliers, op8_difference_cover, op9_pairwise_ranking, op10_crf_secrets, op11_word_backoff, op12_periodic_runs, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ORACLE_SQL)
