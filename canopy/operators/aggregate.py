@@ -195,16 +195,15 @@ def unknown_ids(graph: DependencyGraph, ids: Sequence[int]) -> DataFrame:
 
 
 def drill_down(graph: DependencyGraph, node_id: int, other_id: int | None = None, outgoing: bool = True) -> DataFrame:
-    """Children ``(id, weight)`` of the first node at or below ``node_id`` that does not have exactly one container child.
+    """Children ``(id, weight)`` of the first node at or below ``node_id`` that does not have exactly one container child;
+    a type has no narrower scope.
 
     The chain of single containers is as long as the tree is deep at most; each step looks at one node's children.
     """
-    from canopy.schema import MEMBER_KINDS
-
     at = node_id
     while True:
-        kids = graph.children_of(at).where(~F.col("kind").isin(*MEMBER_KINDS)).select("id").limit(2).collect()
-        if len(kids) != 1:
+        kids = graph.children_of(at).where(~F.col("kind").isin(*MEMBER_KINDS)).select("id", "kind").limit(2).collect()
+        if len(kids) != 1 or kids[0]["kind"] in SCOPE_TYPE_KINDS:
             break
         at = kids[0]["id"]
     edges = accumulated(graph, at, outgoing)

@@ -49,14 +49,21 @@ def between_known(facts: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def supertype_pairs(facts: DataFrame) -> DataFrame:
-    """``(sub, super, depth, by_class)`` of all types: nearest depth, and whether superclasses alone lead there.
+    """``(sub, super, depth, by_class)`` of all types: nearest depth, and whether superclasses alone lead there."""
+    named = facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("sub"), F.col("to_type").alias("super"), (F.col("relationship") == "extends").alias("by_class"))
+    return pairs_above(named)
+
+
+def pairs_above(direct: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """``(sub, super, depth, by_class)`` over the steps ``direct(sub, super, by_class)``, from ``starts(sub)`` only if given.
 
     Each step joins the pairs found last with the direct ones, until there are no new pairs.
     """
     from canopy.plans.materialize import stage_table
 
-    direct = stage_table(facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("sub"), F.col("to_type").alias("super"), (F.col("relationship") == "extends").alias("by_class")).groupBy("sub", "super").agg(F.max("by_class").alias("by_class")))
-    seen = frontier = direct.withColumn("depth", F.lit(1))
+    direct = stage_table(direct.groupBy("sub", "super").agg(F.max("by_class").alias("by_class")))
+    first = direct if starts is None else direct.join(starts.select("sub").distinct(), "sub", "left_semi")
+    seen = frontier = first.where("sub <> super").withColumn("depth", F.lit(1))
     for depth in count(2):
         step = direct.select(F.col("sub").alias("mid"), "super", F.col("by_class").alias("c2"))
         nxt = frontier.select("sub", F.col("super").alias("mid"), "by_class").join(step, "mid").where("sub <> super").groupBy("sub", "super").agg(F.max(F.col("by_class") & F.col("c2")).alias("by_class"))

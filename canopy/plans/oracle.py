@@ -41,3 +41,26 @@ def with_(*ctes: str) -> str:
 
 def with_recursive(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes)
+
+
+#: The library of classes: ``pk`` its types, ``anc`` their supertypes, ``m`` methods, ``st`` stored and ``dv`` derived facts.
+LIBRARY = """
+pk AS (SELECT p_partkey AS k, p_brand AS artifact, replace(replace(p_brand, '.', '_'), '#', '_') || '.P' || p_partkey AS fqn FROM part),
+anc AS (SELECT k, k // 2 AS a, 1 AS depth FROM pk WHERE k >= 1 UNION ALL SELECT k, a // 2, depth + 1 FROM anc WHERE a >= 1),
+m AS (SELECT k, j, fqn || '#void m' || j || '()' AS key, k % 13 = 0 AS priv, k % 11 = 0 AS stat FROM pk, (VALUES (0), (1), (2), (3)) t(j) WHERE (k + j) % 3 = 0),
+ld AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS nxt FROM lineitem),
+ca AS (SELECT DISTINCT x.k AS f, x.fqn AS from_type, y.k AS t, y.fqn AS to_type, CAST(l_linenumber AS INTEGER) AS line FROM ld JOIN pk x ON l_partkey = x.k JOIN pk y ON nxt = y.k WHERE nxt IS NOT NULL),
+cl AS (SELECT f, from_type, from_type || '#void m' || (line % 4) || '()' AS from_key, t, to_type, (line + 1) % 4 AS j, to_type || '#void m' || ((line + 1) % 4) || '()' AS to_key, line FROM ca),
+st AS (SELECT x.k AS f, x.fqn AS from_key, y.k AS t, y.fqn AS to_key, CAST(NULL AS BIGINT) AS j, CASE WHEN x.k % 3 = 0 THEN 'implements' ELSE 'extends' END AS rel, CAST(NULL AS INTEGER) AS line FROM pk x JOIN pk y ON y.k = x.k // 2
+  UNION ALL SELECT f, from_key, t, to_key, j, 'calls', line FROM cl
+  UNION ALL SELECT f, from_type || '#void m' || (line % 4) || '()', t, to_type || '#int size', -1, CASE WHEN line % 2 = 0 THEN 'reads_field' ELSE 'writes_field' END, line FROM ca WHERE line <= 2),
+dr AS (
+  SELECT x.k AS f, x.key AS from_key, y.k AS t, y.key AS to_key, 'overrides' AS rel, CAST(x.j + 1 AS INTEGER) AS line FROM m x JOIN anc ON anc.k = x.k JOIN m y ON y.k = anc.a AND y.j = x.j WHERE NOT (x.priv OR x.stat OR y.priv OR y.stat)
+  UNION SELECT c.f, c.from_key, i.k, i.key, 'calls', c.line FROM cl c LEFT JOIN m d ON d.k = c.t AND d.j = c.j JOIN anc ON anc.a = c.t JOIN m i ON i.k = anc.k AND i.j = c.j WHERE NOT coalesce(d.stat, false) AND NOT (i.priv OR i.stat) AND i.key <> c.from_key
+  UNION SELECT f, from_key, t, to_key, 'calls', line FROM (
+    SELECT c.f, c.from_key, i.k AS t, i.key AS to_key, c.line, row_number() OVER (PARTITION BY c.f, c.from_key, c.t, c.j, c.line ORDER BY anc.depth) AS r
+    FROM cl c JOIN anc ON anc.k = c.t JOIN m i ON i.k = anc.a AND i.j = c.j WHERE NOT i.priv AND NOT EXISTS (SELECT 1 FROM m d WHERE d.k = c.t AND d.j = c.j)) WHERE r = 1 AND to_key <> from_key),
+dv AS (SELECT * FROM dr WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.from_key = dr.from_key AND st.to_key = dr.to_key AND st.rel = dr.rel)),
+decl AS (SELECT t, j, arg_min(key, depth) AS declared_key FROM (
+    SELECT w.t, w.j, m.key, anc.depth FROM (SELECT DISTINCT t, j FROM cl) w JOIN anc ON anc.k = w.t JOIN m ON m.k = anc.a AND m.j = w.j WHERE NOT EXISTS (SELECT 1 FROM m d WHERE d.k = w.t AND d.j = w.j)
+    UNION ALL SELECT w.t, -1, pk.fqn || '#int size', anc.depth FROM (SELECT DISTINCT t FROM cl WHERE t % 4 <> 0) w JOIN anc ON anc.k = w.t JOIN pk ON pk.k = anc.a WHERE pk.k % 4 = 0) GROUP BY t, j)"""
