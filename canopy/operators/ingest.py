@@ -25,6 +25,11 @@ def _mapped(column: Column, table: dict[str, str], what: str) -> Column:
     return out
 
 
+def type_kind(column: Column) -> Column:
+    """Node kind of a stored type kind; an unknown one is an error."""
+    return _mapped(column, TYPE_KIND_OF, "type kind")
+
+
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Last writer wins: the row of greatest ``order`` for each key."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))
@@ -147,7 +152,7 @@ def build_graph(types: DataFrame, dependencies: DataFrame, members: DataFrame |
 
     Edges exist only between nodes; targets that nothing defines become external types if ``placeholders`` takes them.
     """
-    known = types.select("artifact", "fqn", _mapped(F.col("kind"), TYPE_KIND_OF, "type kind").alias("kind"), "modifiers")
+    known = types.select("artifact", "fqn", type_kind(F.col("kind")).alias("kind"), "modifiers")
     references = rollup(dependencies)
     if placeholders is not None:
         known = known.unionByName(external_placeholders(references, types, placeholders))
