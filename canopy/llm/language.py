@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ ALPHA = 0.5
 #: Classes of frequency to a halving.
 _CLASSES = 8
 #: Words counted in a task before they move on, and vectors of unseen words kept at once.
-_HELD, _MEMO = 1 << 18, 1 << 16
+_HELD, _MEMO = 1 << 18, 1 << 18
 _SLICE = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,12 +56,11 @@ def words_of(text: str) -> list[str]:
     return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
-def grams_of(word: str, longest: int = LONGEST) -> Iterator[str]:
+def grams_of(word: str, longest: int = LONGEST) -> list[str]:
     """Every gram of the marked word, up to ``longest`` characters."""
     marked = f" {word} "
-    for n in range(1, longest + 1):
-        for i in range(len(marked) - n + 1):
-            yield marked[i : i + n]
+    size = len(marked)
+    return [marked[i : i + n] for n in range(1, longest + 1) for i in range(size - n + 1)]
 
 
 def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
@@ -102,20 +102,24 @@ def gram_counts(words: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``gram, lang, n`` from ``word, lang, n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], int] = {}
+        held: dict[str, dict[str, int]] = {}
 
-        def told() -> pa.RecordBatch:
-            rows = [(g, name, n) for (g, name), n in held.items()]
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, counts in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string(), size=len(counts)), pa.array([name] * len(counts), pa.string()), pa.array(counts.values(), pa.int64(), size=len(counts))], names=["gram", "lang", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["gram", "lang", "n"])
 
         for batch in batches:
+            alike: dict[tuple[str, int], Counter] = {}  # most words are rare: equal counts are added up before they weigh
             for word, name, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for gram in grams_of(word, longest):
-                    held[gram, name] = held.get((gram, name), 0) + n
-                if len(held) > _HELD:
-                    yield told()
-        yield told()
+                alike.setdefault((name, n), Counter()).update(grams_of(word, longest))
+            for (name, n), grams in alike.items():
+                counts = held.setdefault(name, {})
+                for gram, times in grams.items():
+                    counts[gram] = counts.get(gram, 0) + n * times
+            if sum(map(len, held.values())) > _HELD:
+                yield from told()
+        yield from told()
 
     return words.select("word", "lang", "n").mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
@@ -151,63 +155,78 @@ class LanguageModel:
         whole = np.log([totals.get(x, 0) + ALPHA * (len(counts) + 1) for x in self.languages])
         return {k: np.log([by.get(x, 0) + ALPHA for x in self.languages]) - whole for k, by in counts.items()}
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the places of a word of the longest known gram there."""
-        marked = f" {word} "
-        total, places = np.zeros(len(self.languages)), 0
-        for i in range(len(marked)):
-            for n in range(min(self.longest, len(marked) - i), 0, -1):
-                vector = self.grams.get(marked[i : i + n])
-                if vector is not None:
-                    total, places = total + vector, places + 1
-                    break
-        return total / max(1, places)
-
     def scorer(self) -> Scorer:
         return Scorer(self)
 
 
-class Scorer(dict):
-    """Place of each word's vector in a table; vectors of unseen words are kept for a while."""
+class Scorer:
+    """Vectors of words in a table; those of unseen words are computed many at once and kept for a while."""
 
     def __init__(self, model: LanguageModel) -> None:
-        super().__init__({w: i for i, w in enumerate(model.words)})
-        self.model, self.known, self.used = model, len(model.words), len(model.words)
-        self.table = np.zeros((self.known + _MEMO, len(model.languages)))
+        self.longest, self.width = model.longest, len(model.languages)
+        self.place_of = {w: i for i, w in enumerate(model.words)}
+        self.known = self.used = len(model.words)
+        self.table = np.zeros((self.known, self.width))
         if self.known:
-            self.table[: self.known] = list(model.words.values())
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = self.used
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.model.unseen(word)
-        self.used += 1
-        return at
-
-    def tidy(self) -> None:
-        """Forget unseen words when there are many; between slices only, as places of a slice must stay."""
-        if self.used > self.known + _MEMO // 2:
-            for word in [w for w, i in self.items() if i >= self.known]:
-                del self[word]
-            self.used = self.known
-            self.table = self.table[: self.known + _MEMO]
+            self.table[:] = list(model.words.values())
+        self.gram_of = {g: i for i, g in enumerate(model.grams)}
+        self.gram_table = np.array(list(model.grams.values()), float).reshape(len(model.grams), self.width)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean over its places of the longest known gram there; zeros where none is known."""
+        grams, longest = self.gram_of, self.longest
+        flat: list[int] = []
+        ends = []
+        for word in words:
+            marked = f" {word} "
+            for i in range(len(marked)):
+                gram = marked[i : i + longest]
+                while gram and gram not in grams:
+                    gram = gram[:-1]
+                if gram:
+                    flat.append(grams[gram])
+            ends.append(len(flat))
+        sums = _sums(self.gram_table, np.array(flat, np.int64), np.array([0, *ends]))
+        return sums / np.maximum(1, np.diff([0, *ends]))[:, None]
+
+    def _learn(self, words: list[str]) -> bool:
+        """Add unseen words; true if older ones were forgotten for that."""
+        full = self.used + len(words) > self.known + _MEMO
+        if full:
+            self.place_of = {w: i for w, i in self.place_of.items() if i < self.known}
+            self.table, self.used = self.table[: self.known], self.known
+        self.table = np.concatenate([self.table[: self.used], self._unseen(words)])
+        self.place_of.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
+        return full
 
     def sums(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods of each text by language, and its number of words."""
-        self.tidy()
-        out = np.zeros((len(texts), len(self.model.languages)))
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = words_of(text) if text else []
-            counts[i] = len(words)
-            for low in range(0, len(words), _MEMO // 2):
-                places = [*map(self.__getitem__, words[low : low + _MEMO // 2])]
-                out[i] += self.table[places].sum(axis=0)
-                self.tidy()
+        words = [words_of(t) if t else [] for t in texts]
+        counts = np.array([len(x) for x in words], np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        flat = [*chain.from_iterable(words)]
+        out = np.zeros((len(texts), self.width))
+        for low in range(0, len(flat), _MEMO // 2):
+            own = flat[low : low + _MEMO // 2]
+            distinct = set(own)
+            if new := distinct - self.place_of.keys():
+                if self._learn([*new]):
+                    self._learn([*(distinct - self.place_of.keys())])
+            places = np.fromiter(map(self.place_of.__getitem__, own), np.int64, len(own))
+            out += _sums(self.table, places, np.clip(starts - low, 0, len(own)))
         return out, counts
 
 
+def _sums(table: np.ndarray, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``table`` at ``places``, from one bound to the next."""
+    out = np.zeros((len(bounds) - 1, table.shape[1]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(table[places], bounds[some], axis=0)
+    return out
+
+
 def train(documents: DataFrame, may_learn: Column, lang: str = "lang", text: str = "text", most_words: int = WORDS, most_grams: int = GRAMS, longest: int = LONGEST) -> LanguageModel:
     """A model of the languages named in ``lang``, from the rows where ``may_learn`` holds."""
     with scratch():
