@@ -238,7 +238,11 @@ def restructuring_effect(type_weights: DataFrame, place: DataFrame) -> Effect:
     ``type_weights(from_artifact, from_fqn, to_artifact, to_fqn, weight)``; ``place`` is what :func:`moved_types` returns.
     A cycle is new unless one cycle before held all its modules.
     """
-    before, after = stage_table(_module_weights(type_weights, place, "artifact")), stage_table(_module_weights(type_weights, place, "new_artifact"))
+    return changed_weights(*(stage_table(_module_weights(type_weights, place, c)) for c in ("artifact", "new_artifact")))
+
+
+def changed_weights(before: DataFrame, after: DataFrame) -> Effect:
+    """The effect from ``(from_module, to_module, weight)`` before and after."""
     both = before.withColumnRenamed("weight", "before").join(after.withColumnRenamed("weight", "after"), ["from_module", "to_module"], "full_outer")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
     old, now = _cycles(before), _cycles(after)
@@ -284,10 +288,18 @@ class ViewRegistry:
             raise QueryError("VIEW_NOT_FOUND", f"no view {name}", "list the views", known=self.names())
 
     def applied(self, graph: DependencyGraph, name: str, generation: str = "") -> DependencyGraph:
-        """The graph under a grouping view, made once for each generation."""
+        """The graph under a view, made once for each generation: first its moves, then its groups over what they gave."""
+        from canopy.operators.restructure import restructure
+
         view = self.find(name)
         if (view.name, generation, view) not in self._made:
-            made, findings = grouped(graph, view)
+            made, findings = graph, []
+            if view.restructure:
+                moved = restructure(graph, view)
+                made, findings = moved.graph, list(moved.findings)
+            if view.groups:
+                made, more = grouped(made, view)
+                findings += more
             if errors := [f for f in findings if f.severity == "error"]:
                 raise QueryError("VIEW_INVALID", errors[0].message, findings=[f.__dict__ for f in findings][:MOST_FINDINGS])
             self._made[(view.name, generation, view)] = made
