@@ -172,23 +172,61 @@ def method_details(members: DataFrame, parameters: DataFrame, facts: DataFrame)
     return own.join(listed, "member_key", "left").join(related, "member_key", "left")
 
 
+def inherited_accesses(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(to_key, member_key)``: field references whose type only inherits the field, with the field each means.
+
+    From a type that does not declare the name the search goes up; a type that declares it ends that way, whether or not it is
+    the field meant, since it hides what lies above.  So each way costs the types up to the nearest declaration.
+    """
+    from canopy.plans.materialize import stage_table
+
+    last_word = lambda c: F.substring_index(c, " ", -1)
+    fields = members.where("kind = 'FIELD'").select("owner_fqn", "member_key", "signature", last_word("signature").alias("field"))
+    declared = stage_table(fields.select(F.col("owner_fqn").alias("at"), "field").distinct())
+    used = facts.where(F.col("relationship").isin("reads_field", "writes_field") & F.contains("to_key", F.lit("#"))).select("to_type", "to_key", F.expr("substring(to_key, instr(to_key, '#') + 1)").alias("signature")).distinct()
+    frontier = used.select("to_key", "signature", last_word("signature").alias("field"), F.col("to_type").alias("at")).join(declared, ["at", "field"], "left_anti")
+    steps = stage_table(facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("at"), F.col("to_type").alias("up")).distinct())
+    frontier = seen = stage_table(frontier)
+    met = None
+    while not frontier.isEmpty():
+        reached = frontier.join(steps, "at").select("to_key", "signature", "field", F.col("up").alias("at")).distinct()
+        reached = stage_table(reached.join(seen.select("to_key", "at"), ["to_key", "at"], "left_anti"))
+        here = reached.join(declared, ["at", "field"], "left_semi")
+        met = here if met is None else met.unionByName(here)
+        frontier = stage_table(reached.join(declared, ["at", "field"], "left_anti"))
+        seen = stage_table(seen.unionByName(reached))
+    if met is None:
+        return fields.where(F.lit(False)).select(F.col("member_key").alias("to_key"), "member_key")
+    return met.join(fields.select(F.col("owner_fqn").alias("at"), "signature", "member_key"), ["at", "signature"]).select("to_key", "member_key").distinct()
+
+
 def field_details(members: DataFrame, facts: DataFrame, sample: int = 10) -> DataFrame:
-    """One row for each field: modifiers, declared type, constant, distinct readers and writers with a sample of them."""
+    """One row for each field: modifiers, declared type, constant, and of its readers and writers, those through inheriting
+    types included, their number, the first by key and the types with most of them."""
     own = members.where("kind = 'FIELD'")
     bits = F.coalesce("modifiers", F.lit(0))
     shown = own.select("member_key", "owner_fqn", "name", names.declared_type(F.col("signature")).alias("declared_type"), field_modifiers(bits).alias("modifiers"), bit_is_set(bits, MODIFIER_BITS["constant"]).alias("constant"))
+    inherited = inherited_accesses(members, facts)
+    through = facts.join(inherited, "to_key").withColumn("to_key", F.col("member_key")).select(facts.columns)
     for kind, name in (("reads_field", "readers"), ("writes_field", "writers")):
-        use = access_digest(facts, kind, sample).select(F.col("to_key").alias("member_key"), F.col("accessors").alias(name), F.col("sample").alias(f"{name}_sample"))
-        shown = shown.join(use, "member_key", "left").na.fill(0, [name])
+        use = access_digest(facts.unionByName(through), kind, sample)
+        use = use.select(F.col("to_key").alias("member_key"), F.col("accessors").alias(name), F.col("sample").alias(f"{name}_sample"), F.col("by_type").alias(f"{name}_by_type"), F.col("other_types").alias(f"{name}_other_types"))
+        shown = shown.join(use, "member_key", "left").na.fill(0, [name, f"{name}_other_types"])
     return shown
 
 
 def access_digest(facts: DataFrame, kind: str, sample: int = 10) -> DataFrame:
-    """``(to_key, accessors, sample)``: distinct accessing members of each field and the first of them by key."""
-    distinct = facts.where(F.col("relationship") == kind).select("to_key", "from_key").distinct()
+    """``(to_key, accessors, sample, by_type, other_types)``: distinct accessing members of each field, the first of them by
+    key, the declaring types ``(type, n)`` with most of them and how many further types there are."""
+    distinct = facts.where(F.col("relationship") == kind).groupBy("to_key", "from_key").agg(F.min("from_type").alias("from_type"))
     rank = F.row_number().over(Window.partitionBy("to_key").orderBy("from_key"))
     first = distinct.withColumn("r", rank).where(F.col("r") <= sample).groupBy("to_key").agg(F.sort_array(F.collect_list("from_key")).alias("sample"))
-    return distinct.groupBy("to_key").agg(F.count(F.lit(1)).alias("accessors")).join(first, "to_key")
+    types = distinct.groupBy("to_key", "from_type").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("to_key").orderBy(F.col("n").desc(), "from_type"))
+    of_types = types.withColumn("r", place).groupBy("to_key").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("r") <= sample, F.struct("r", F.col("from_type").alias("type"), "n")))), lambda x: F.struct(x["type"], x["n"])).alias("by_type"), F.count_if(F.col("r") > sample).alias("other_types"), F.sum("n").alias("accessors")
+    )
+    return of_types.join(first, "to_key")
 
 
 def display_names(rows: DataFrame, members: DataFrame, column: str) -> DataFrame:
