@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,9 +12,11 @@ from canopy.functions.sql import register_functions
 from canopy.operators import detail, intervals, placement, rollups
 from canopy.operators.restructure import restructure
 from canopy.operators.views import parse_view
+from canopy.plans.materialize import shared_dir, stage_table
 from canopy.plans.oracle import LIBRARY, NODES, TRADE, handle, with_, with_recursive
 from canopy.plans.queries_graph import named
 from canopy.plans.registry import register
+from canopy.sources import archives
 from canopy.sources import testdata as td
 
 # --- intervals --------------------------------------------------------------------------------------------------------
@@ -169,3 +172,16 @@ def functions_in_sql(spark, sf_dir):
         "SELECT member_key, node_handle(type_key(artifact, owner_fqn)) AS owner_id, array_join(decode_modifiers(modifiers, 'method'), ' ') AS modifiers FROM canopy_library_members "
         "WHERE kind = 'METHOD' AND member_key RLIKE name_pattern_regex('**.P*1#void {m1,m2}()')"
     )
+
+
+# --- archives ---------------------------------------------------------------------------------------------------------
+
+
+@register("archived_types", f"{with_(TRADE)} SELECT c_fqn AS fqn, c_region AS artifact, 'CLASS' AS kind, 1 AS modifiers FROM cu UNION ALL SELECT s_fqn, s_region, 'INTERFACE', 33 FROM su")
+def archived_types(spark, sf_dir):
+    """Types written as archives, one or more for each artifact, and read back through the data source."""
+    folder = f"{shared_dir(spark)}/canopy-archives-{uuid.uuid4().hex}"
+    written = archives.write_archives(td.trade_types(spark, sf_dir), "types", folder)
+    stage_table(written, narrow=True)  # the job that writes them
+    rows = archives.read_archive_tables(spark, folder, "types").select("fqn", "artifact", "kind", "modifiers")
+    return stage_table(rows)
