@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from canopy.functions import names
 from canopy.functions.bits import edge_bits
 from canopy.operators.hierarchy import DependencyGraph
-from canopy.schema import COUNTED_KINDS, EXTERNAL_ARTIFACT, EXTERNAL_NAME, EXTERNAL_TYPE, MEMBER_KIND_OF, MODULE, PACKAGE, PRIMITIVES, ROOT_KEY, STRUCTURAL_KINDS, TYPE_KIND_OF
+from canopy.schema import ANNOTATED_BIT, COUNTED_KINDS, EXTERNAL_ARTIFACT, EXTERNAL_NAME, EXTERNAL_TYPE, EXTENDS_BIT, IMPLEMENTS_BIT, MEMBER_KIND_OF, MODULE, OTHER_BIT, PACKAGE, PRIMITIVES, ROOT_KEY, STRUCTURAL_KINDS, TYPE_KIND_OF
 
 
 def _mapped(column: Column, table: dict[str, str], what: str) -> Column:
@@ -75,10 +75,13 @@ def resolve_owner_first(references: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def resolve_classpath(references: DataFrame, types: DataFrame, classpath: DataFrame) -> DataFrame:
-    """Adds ``to_artifact``: the first entry of the owner's classpath that defines the target, else as owner-first."""
+    """Adds ``to_artifact``: the first entry of the owner's classpath that defines the target, else as owner-first.
+
+    The owner's path comes first: a name that many artifacts define meets only those on the path.
+    """
     entries = classpath.select(F.col("artifact_key").alias("artifact"), F.col("dep_key").alias("definer"), "index")
     wanted = references.select("artifact", "to_type").distinct()
-    first = wanted.join(definers(types), "to_type").join(entries, ["artifact", "definer"]).groupBy("artifact", "to_type").agg(F.min_by("definer", "index").alias("on_path"))
+    first = wanted.join(entries, "artifact").join(definers(types), ["to_type", "definer"]).groupBy("artifact", "to_type").agg(F.min_by("definer", "index").alias("on_path"))
     return resolve_owner_first(references, types).join(first, ["artifact", "to_type"], "left").withColumn("to_artifact", F.coalesce("on_path", "to_artifact")).drop("on_path")
 
 
@@ -95,12 +98,45 @@ def type_dependencies(reference_rows: DataFrame) -> DataFrame:
     other = ~kind.isin(*STRUCTURAL_KINDS) | ((kind == "annotated_by") & ~F.col("type_level"))
     by_kind = reference_rows.groupBy("from_id", "to_id", "kind").agg(F.sum("n").alias("n"), F.bool_or(annotated).alias("annotated"), F.bool_or(other).alias("other"))
     return by_kind.groupBy("from_id", "to_id").agg(
-        F.sum("n").cast("int").alias("weight"),
+        F.sum("n").alias("weight"),
         edge_bits(F.bool_or(kind == "extends"), F.bool_or(kind == "implements"), F.bool_or("annotated"), F.bool_or("other")).alias("attrs"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", F.col("n").cast("int"))))).alias("kinds"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"),
     )
 
 
+def type_references(dependencies: DataFrame) -> DataFrame:
+    """``(artifact, from_type, to_type, weight, attrs, kinds)``: all facts of an owner about one name in one row."""
+    facts = dependencies.where(F.col("relationship").isin(*COUNTED_KINDS) & (F.col("from_type") != F.col("to_type")) & ~F.col("to_type").isin(*PRIMITIVES))
+    kind, on_type = F.col("relationship"), F.col("from_key") == F.col("from_type")
+    bit = F.when(kind == "extends", 1 << EXTENDS_BIT).when(kind == "implements", 1 << IMPLEMENTS_BIT).when((kind == "annotated_by") & on_type, 1 << ANNOTATED_BIT).otherwise(1 << OTHER_BIT)
+    by_kind = facts.groupBy("artifact", "from_type", "to_type", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("attrs"))
+    kinds = F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n"))))  # one entry for each kind
+    return by_kind.groupBy("artifact", "from_type", "to_type").agg(F.sum("n").alias("weight"), F.bit_or("attrs").alias("attrs"), kinds.alias("kinds"))
+
+
+def resolved_edges(references: DataFrame, types: DataFrame, classpath: DataFrame | None = None) -> DataFrame:
+    """Edges ``(from_id, to_id, weight, attrs, kinds)`` of :func:`type_references`, whose owners are ``types(artifact, fqn)``.
+
+    What a name means follows from owner and name, so references stay one row a pair and need no further grouping.  Handles are
+    computed once for each type; only names of several definers are looked up by their owner too.
+    """
+    located = types.select("artifact", "fqn").distinct().withColumn("id", names.node_handle(names.type_key(F.col("artifact"), F.col("fqn"))))
+    owners = located.select("artifact", F.col("fqn").alias("from_type"), F.col("id").alias("from_id"))
+    by_name = located.groupBy(F.col("fqn").alias("to_type")).agg(F.min(F.struct("artifact", "id")).alias("least"), F.count(F.lit(1)).alias("definers"))
+    out = references.join(owners, ["artifact", "from_type"]).join(by_name, "to_type")
+    several = by_name.where("definers > 1").select("to_type")
+    own = located.withColumnRenamed("fqn", "to_type").join(several, "to_type", "left_semi").select("artifact", "to_type", F.col("id").alias("own_id"))
+    out = out.join(own, ["artifact", "to_type"], "left").withColumn("to_id", F.coalesce("own_id", "least.id"))
+    if classpath is not None:
+        entries = classpath.select(F.col("artifact_key").alias("artifact"), F.col("dep_key").alias("definer"), "index")
+        # The owner's path comes first: a name that many artifacts define meets only those on the path.
+        wanted = out.select("artifact", "to_type").distinct()
+        definer = located.select(F.col("fqn").alias("to_type"), F.col("artifact").alias("definer"), F.col("id").alias("path_id"))
+        first = wanted.join(entries, "artifact").join(definer, ["to_type", "definer"]).groupBy("artifact", "to_type").agg(F.min_by("path_id", "index").alias("path_id"))
+        out = out.join(first, ["artifact", "to_type"], "left").withColumn("to_id", F.coalesce("path_id", "to_id"))
+    return out.where("from_id <> to_id").select("from_id", "to_id", "weight", "attrs", "kinds")
+
+
 def graph_nodes(types: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Rows ``(id, key, path, kind, name, qualified_name, modifiers)`` with a synthetic root above the modules.
 
@@ -153,13 +189,9 @@ def build_graph(types: DataFrame, dependencies: DataFrame, members: DataFrame |
     Edges exist only between nodes; targets that nothing defines become external types if ``placeholders`` takes them.
     """
     known = types.select("artifact", "fqn", type_kind(F.col("kind")).alias("kind"), "modifiers")
-    references = rollup(dependencies)
+    references = type_references(dependencies)
     if placeholders is not None:
         known = known.unionByName(external_placeholders(references, types, placeholders))
-    resolved = resolve_owner_first(references, known) if classpath is None else resolve_classpath(references, known, classpath)
     nodes = graph_nodes(known, members)
-    # Targets exist by resolution; owners must be types of their artifact.  Handles follow from the keys, without a join.
-    owners = known.select("artifact", F.col("fqn").alias("from_type")).distinct()
-    rows = reference_edges(resolved.join(owners, ["artifact", "from_type"], "left_semi"))
-    rows = rows.select(names.node_handle(F.col("from_key")).alias("from_id"), names.node_handle(F.col("to_key")).alias("to_id"), "kind", "type_level", "n")
-    return DependencyGraph(nodes.drop("path"), tree_of(nodes), type_dependencies(rows), rows, extensions={"paths": nodes}, _cache={"closure": closure_of(nodes)})
+    # Targets exist by resolution; owners must be types of their artifact.
+    return DependencyGraph(nodes.drop("path"), tree_of(nodes), resolved_edges(references, known, classpath), extensions={"paths": nodes}, _cache={"closure": closure_of(nodes)})

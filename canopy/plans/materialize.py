@@ -82,13 +82,17 @@ def release_staged() -> None:
     _delete(list(_STAGED))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def _delete(paths: list[str]) -> None:
     for path in paths:
         spark, _ = _STAGED.pop(path)
         try:
-            sc = spark.sparkContext
-            hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            delete_path(spark, path)
         except Exception:  # the JVM is gone at exit: nothing can be deleted any more
             return
 

@@ -12,7 +12,7 @@ from canopy.functions.sql import register_functions
 from canopy.operators import detail, intervals, placement, rollups
 from canopy.operators.restructure import restructure
 from canopy.operators.views import parse_view
-from canopy.plans.materialize import shared_dir, stage_table
+from canopy.plans.materialize import delete_path, shared_dir, stage_table
 from canopy.plans.oracle import LIBRARY, NODES, TRADE, handle, with_, with_recursive
 from canopy.plans.queries_graph import named
 from canopy.plans.registry import register
@@ -184,4 +184,6 @@ def archived_types(spark, sf_dir):
     written = archives.write_archives(td.trade_types(spark, sf_dir), "types", folder)
     stage_table(written, narrow=True)  # the job that writes them
     rows = archives.read_archive_tables(spark, folder, "types").select("fqn", "artifact", "kind", "modifiers")
-    return stage_table(rows)
+    rows = stage_table(rows)
+    delete_path(spark, folder)
+    return rows

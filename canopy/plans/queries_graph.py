@@ -63,7 +63,7 @@ def boundary_counts(spark, sf_dir):
     return named(agg.boundary_counts(g).withColumnRenamed("module", "m"), g.nodes, module="m").select("module", "incoming", "outgoing")
 
 
-@register("type_edges", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight, attrs FROM e")
+@register("type_edges", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS BIGINT) AS weight, attrs FROM e")
 def type_edges(spark, sf_dir):
     """All type edges with weight and attributes."""
     g = td.trade_graph(spark, sf_dir)
@@ -160,14 +160,14 @@ def descendant_counts(spark, sf_dir):
 
 
 
-@register("outgoing_dependencies", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS INTEGER) AS weight, attrs FROM e WHERE c_region = 'EUROPE' AND s_region = 'ASIA'")
+@register("outgoing_dependencies", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS BIGINT) AS weight, attrs FROM e WHERE c_region = 'EUROPE' AND s_region = 'ASIA'")
 def outgoing_dependencies(spark, sf_dir):
     """Type dependencies from one region to another."""
     g = td.trade_graph(spark, sf_dir)
     return agg.dependencies_between(g, names.handle_of("EUROPE"), names.handle_of("ASIA")).select("from_name", "to_name", "weight", "attrs")
 
 
-@register("incoming_dependencies", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS INTEGER) AS weight, attrs FROM e WHERE s_region = 'AFRICA'")
+@register("incoming_dependencies", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS BIGINT) AS weight, attrs FROM e WHERE s_region = 'AFRICA'")
 def incoming_dependencies(spark, sf_dir):
     g = td.trade_graph(spark, sf_dir)
     return agg.dependencies_into(g, names.handle_of("AFRICA")).select("from_name", "to_name", "weight", "attrs")
@@ -213,7 +213,7 @@ def drill_down(spark, sf_dir):
     return named(agg.drill_down(g, names.handle_of("EUROPE"), names.handle_of("ASIA")), g.nodes, node="id").select("node", "weight")
 
 
-@register("accumulated_outgoing", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight FROM e WHERE c_nation = 'NATION_3'")
+@register("accumulated_outgoing", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS BIGINT) AS weight FROM e WHERE c_nation = 'NATION_3'")
 def accumulated_outgoing(spark, sf_dir):
     g = td.trade_graph(spark, sf_dir)
     return named(agg.accumulated(g, names.handle_of("pkg:EUROPE:NATION_3")).select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")
@@ -264,7 +264,7 @@ def modifier_decoding(spark, sf_dir):
     return td.table(spark, sf_dir, "part").groupBy(bits.alias("bits"), F.array_join(type_modifiers(bits), " ").alias("modifiers")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("sequence_edges", f"{with_(sequence())} SELECT a AS from_type, b AS to_type, CAST(weight AS INTEGER) AS weight FROM g")
+@register("sequence_edges", f"{with_(sequence())} SELECT a AS from_type, b AS to_type, CAST(weight AS BIGINT) AS weight FROM g")
 def sequence_edges(spark, sf_dir):
     g = td.sequence_graph(spark, sf_dir)
     return named(g.edges.select("from_id", "to_id", "weight"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight")

@@ -39,7 +39,7 @@ def list_descendants(spark, sf_dir):
     return search.list_descendants(g, _at("EUROPE"), ["types"]).select("qualified_name", "kind")
 
 
-@register("dependency_page", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS INTEGER) AS weight FROM e WHERE c_region = 'EUROPE' AND s_region = 'ASIA' ORDER BY 1, 2 LIMIT 100 OFFSET 200")
+@register("dependency_page", f"{with_(TRADE)} SELECT c_fqn AS from_name, s_fqn AS to_name, CAST(weight AS BIGINT) AS weight FROM e WHERE c_region = 'EUROPE' AND s_region = 'ASIA' ORDER BY 1, 2 LIMIT 100 OFFSET 200")
 def dependency_page(spark, sf_dir):
     """Rows 200 to 299 of a listing."""
     g = td.trade_graph(spark, sf_dir)

@@ -10,7 +10,7 @@ from canopy.operators import aggregate as agg
 from canopy.operators import detail, filters, search
 from canopy.operators.hierarchy import DependencyGraph
 from canopy.operators.ingest import build_graph
-from canopy.plans.materialize import shared_dir
+from canopy.plans.materialize import delete_path, shared_dir, stage_table
 from canopy.plans.oracle import NODES, TRADE, with_, with_recursive
 from canopy.plans.queries_graph import named
 from canopy.plans.registry import register
@@ -25,7 +25,7 @@ _TYPES = "('java.class', 'java.interface')"
 # --- sources and sinks ------------------------------------------------------------------------------------------------
 
 
-@register("snapshot_round_trip", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight, attrs FROM e")
+@register("snapshot_round_trip", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS BIGINT) AS weight, attrs FROM e")
 def snapshot_round_trip(spark, sf_dir):
     """The edges of a graph whose facts were written, checked and loaded again."""
     import uuid
@@ -33,7 +33,9 @@ def snapshot_round_trip(spark, sf_dir):
     path = f"{shared_dir(spark)}/canopy-snapshot-{uuid.uuid4().hex}"
     tables.write_snapshot(path, types=td.trade_types(spark, sf_dir), dependencies=td.trade_dependencies(spark, sf_dir).drop("l_orderkey"))
     g = tables.load_graph(spark, path)
-    return named(g.edges.select("from_id", "to_id", "weight", "attrs"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight", "attrs")
+    rows = stage_table(named(g.edges.select("from_id", "to_id", "weight", "attrs"), g.nodes, from_type="from_id", to_type="to_id").select("from_type", "to_type", "weight", "attrs"))
+    delete_path(spark, path)
+    return rows
 
 
 @register("types_by_name", f"{with_(TRADE)} SELECT c_fqn AS fqn, c_region AS artifact FROM cu WHERE c_custkey BETWEEN 1 AND 20 UNION ALL SELECT s_fqn, s_region FROM su WHERE s_suppkey BETWEEN 1 AND 5")
@@ -168,7 +170,7 @@ def common_ancestors(spark, sf_dir):
     return named(found, g.nodes, a="x", b="y", ancestor="z").select("a", "b", "ancestor")
 
 
-@register("accumulated_incoming", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS INTEGER) AS weight FROM e WHERE s_nation = 'NATION_3'")
+@register("accumulated_incoming", f"{with_(TRADE)} SELECT c_fqn AS from_type, s_fqn AS to_type, CAST(weight AS BIGINT) AS weight FROM e WHERE s_nation = 'NATION_3'")
 def accumulated_incoming(spark, sf_dir):
     g = td.trade_graph(spark, sf_dir)
     rows = agg.accumulated(g, handle_of("pkg:EUROPE:NATION_3"), outgoing=False).select("from_id", "to_id", "weight")
