@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.errors import QueryError
 from canopy.operators.hierarchy import DependencyGraph
-from canopy.schema import EDGE_ATTRIBUTES, PACKAGE, SCOPE_TYPE_KINDS
+from canopy.schema import EDGE_ATTRIBUTES, MEMBER_KINDS, PACKAGE, SCOPE_TYPE_KINDS
 
 MOST_PAIRS = 2500
 
