@@ -11,11 +11,13 @@ agree much deeper stand next to each other, so the depth adapts to the region.
 together with one row each.  A pair of similarity 0.8 shares a region in some order with probability 1-(1-0.8^4)^16 = 0.9998.
 
 *All pairs of regions.*  Where a region has more rows than neighbours and these are still in different components, all its
-pairs across components are tried.  Rows that meet in regions of up to ``DIRECT`` rows form families, whose blocks meet two
-by two: a task compares all rows of two blocks and sends out a spanning forest of the links it finds, so no pair is listed.
-Rows of larger regions go through a prefix-filter join on their full sets, rarest shingles first; its long lists make
-families too, and short ones give candidates.  Shingle frequencies of a bounded sample only choose the order of the filter,
-so they don't bear on what is found.
+pairs across components are tried.  In regions of up to ``DIRECT`` rows a task compares the sketches (four bits of each
+minimum) of all rows and ties those that agree often enough for the similarity, by a spanning forest: sharing a region ties
+nothing by itself.  Rows of larger regions go through a prefix-filter join on their full sets, rarest shingles first; its
+long lists are compared by sketches too (only lists above ``LISTED`` rows tie all their rows), and short ones give candidates.
+Tied rows form families, whose blocks meet two by two: a task compares all rows of two blocks and sends out a spanning forest
+of the links it finds, so no pair is listed.  Shingle frequencies of a bounded sample only choose the order of the filter, so
+they don't bear on what is found.
 
 *Confirmation.*  Candidates whose signatures agree too seldom (four standard deviations below the threshold) go; the rest
 are confirmed on the full sets.  Texts of concerned documents move compressed, about once for each edge that is tried.  Edges that
@@ -47,6 +49,8 @@ MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
 FILTER_BYTES = 32 << 20
 #: Rows up to which a region is a family; documents whose shingles are counted for the order of the prefix filter.
 DIRECT, _COUNTED = 128, 20_000
+#: Rows of a shingle's list that are compared by sketches in one task.
+LISTED = 4096
 #: Rows up to which all pairs of a shingle's list are listed; rows and shingles of a block of a family.
 _SHORT, _BLOCK_ROWS, _BLOCK_SHINGLES = 16, 1024, 1_000_000
 #: Children whose texts meet one parent's in one group.
@@ -200,10 +204,17 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return found.where("part is null").select("a", "b").unionByName(stitched).distinct()
 
 
+def least_agreement(percent: int, bits: int = 16) -> int:
+    """Minima of so many bits in which two documents of the similarity agree at least: four standard deviations below what is
+    expected, where different minima agree by chance too."""
+    share = percent / 100
+    share += (1 - share) / (1 << bits) if bits < 16 else 0
+    return int(np.floor(MINIMA * share - 4 * np.sqrt(MINIMA * share * (1 - share))))
+
+
 def _agreeing(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes allow the similarity and whose signatures don't speak against it, with ``agree``."""
-    share = percent / 100
-    least = int(np.floor(MINIMA * share - 4 * np.sqrt(MINIMA * share * (1 - share))))
+    least = least_agreement(percent)
     left = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     sized = candidates.join(left, "a").join(right, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
@@ -343,6 +354,67 @@ def _regions(reps: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFra
     return rows, stage_table(sizes.where(f"size > {NEIGHBOURS + 1} AND low <> high").select("region", "size", "first"), narrow=True)
 
 
+def _sketches(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, sketch)`` of the rows of ``ids(id)``: four bits of each minimum, so equal minima have equal bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = (np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, MINIMA) & 15).astype(np.uint8)
+                packed = low[:, ::2] << 4 | low[:, 1::2]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "sketch"])
+
+    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(run, "id long, sketch binary")
+
+
+def _ties(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``(id, component, n, first)`` for rows of ``groups(key, id, component, n)``, which are of bounded size, that may reach
+    the similarity with a row of another component in their group: a spanning forest of these pairs."""
+    least = least_agreement(percent, 4)
+
+    def tied(rows: list) -> list[tuple[int, int, int, int]]:
+        ids, components, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        packed = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), MINIMA // 2)
+        bits = np.concatenate([packed >> 4, packed & 15], axis=1)
+        above = np.arange(len(rows))
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        out = []
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            j = j[(components[j] != components[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            for k in j[(bits[j] == bits[i]).sum(axis=1) >= least].tolist():
+                a, b = root(i), root(k)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    out += [(int(ids[x]), int(components[x]), int(n[x]), int(ids[i])) for x in (i, k)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if found := tied(rows) if len({r[1] for r in rows}) > 1 else None:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["id", "component", "n", "first"])
+
+        for batch in batches:
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield from told()
+                    key, rows = own, []
+                rows.append(row)
+        yield from told()
+
+    spark = groups.sparkSession
+    together = groups.join(sketches, "id").select("key", "id", "component", "n", "sketch").repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    return together.mapInArrow(run, "id long, component long, n long, first long").distinct()
+
+
 def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
     """How often shingles occur in about ``_COUNTED`` of ``n`` texts, by the low 20 bits of their hashes."""
 
@@ -363,7 +435,7 @@ def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
 
 def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of ``dense(id, component)`` the rows that share a shingle of their prefixes: as pairs ``(a, b)`` across components where
-    few do, and else as ``(id, component, n, first)``, tied to the first of a long list.
+    few do, and else as ``(key, id, component, n, first, size)``, with the first of a long list.
 
     In whatever order shingles are taken, sets of n shingles that reach the similarity share one of the first
     n - ceil(n * percent / 100) + 1.
@@ -394,7 +466,7 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percen
     left, right = (few.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n")]) for side in ("a", "b"))
     near = left.join(right, "shingle").where(F.expr(f"component_a <> component_b AND id_a < id_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     pairs = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    long = postings.join(lists.where(F.col("size") > _SHORT).select("shingle", "first"), "shingle").select("id", "component", "n", "first")
+    long = postings.join(lists.where(F.col("size") > _SHORT).select("shingle", "first", "size"), "shingle").select(F.col("shingle").alias("key"), "id", "component", "n", "first", "size")
     return pairs, long
 
 
@@ -536,11 +608,13 @@ def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame,
     rows = stage_table(rows.join(mixed, "region"))
     members = stage_table(rows.select("id").distinct(), narrow=True)
     texts = _texts_of(documents, members, members.count(), filter_bytes)
-    tied, pairs = rows.where(F.col("size") <= DIRECT).select("id", "component", "n", "first").distinct(), None
+    sketches, pairs = stage_table(_sketches(reps, members), narrow=True), None
+    tied = _ties(rows.where(F.col("size") <= DIRECT).select(F.col("region").alias("key"), "id", "component", "n"), sketches, percent)
     dense = stage_table(rows.where(F.col("size") > DIRECT).select("id", "component").distinct(), narrow=True)
     if n := dense.count():
         pairs, long = _prefix_pairs(dense, texts, n, words, percent)
-        tied = tied.unionByName(long).distinct()
+        listed = _ties(long.where(F.col("size") <= LISTED).select("key", "id", "component", "n"), sketches, percent)
+        tied = tied.unionByName(listed).unionByName(long.where(F.col("size") > LISTED).select("id", "component", "n", "first")).distinct()
     families, links = _family_links(stage_table(tied), texts, words, percent)
     if pairs is not None:  # all pairs inside families are done
         own = lambda c: families.select(F.col("id").alias(c), F.col("family").alias(f"f{c}"))

@@ -532,3 +532,46 @@ def test_nulls_repeats_and_clashing_columns(spark, name):
     assert len(first) == len(ids)
     if name != "pack_documents":
         assert first == again
+
+
+def test_boilerplate_makes_no_families(spark, monkeypatch):
+    """Pages that share common paragraphs, but not the similarity, meet in regions without becoming one family."""
+    rng = random.Random(5)
+    paragraphs = [" ".join(f"b{rng.randrange(4000)}" for _ in range(60)) for _ in range(100)]
+    weights = [1 / (i + 1) for i in range(100)]
+
+    def page():
+        chosen = set()
+        while len(chosen) < 6:
+            chosen.add(rng.choices(range(100), weights)[0])
+        return " ".join(paragraphs[i] for i in sorted(chosen)) + " " + " ".join(f"o{rng.randrange(10**7)}" for _ in range(40))
+
+    pages = [page() for _ in range(700)]
+    pages += [p.rsplit(" ", 5)[0] for p in pages[::70]]
+    largest = []
+    links_of = near_dedup._family_links
+
+    def seen(*args):
+        families, links = links_of(*args)
+        largest.append(families.groupBy("family").count().agg({"count": "max"}).first()[0] or 0)
+        return families, links
+
+    monkeypatch.setattr(near_dedup, "_family_links", seen)
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, words=2).collect()}
+    sets = [set(zip(w, w[1:], strict=False)) for w in (p.split() for p in pages)]
+    above = list(range(len(pages)))
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i in range(len(pages)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                above[max(a, b)] = min(a, b)
+    assert got == {i: root(i) for i in range(len(pages))}
+    assert max(largest, default=0) < 70
