@@ -179,10 +179,13 @@ _HEXES, _CODES, _CAPS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghi
 def _invented(rng: np.random.Generator) -> list[tuple[str, int]]:
     """A secret of a random form as words with tags."""
     word = lambda letters, low, high: "".join(rng.choice(list(letters), rng.integers(low, high)))
-    value = (lambda: word(_HEXES, 20, 65), lambda: word(_CODES, 16, 48), lambda: word(_CODES, 8, 14) + str(rng.integers(10, 99)) + "_x", lambda: "ghp_" + word(_CODES, 30, 37), lambda: "sk-" + word(_CODES, 24, 40), lambda: "eyJ" + word(_CODES, 12, 30) + "." + word(_CODES, 20, 40))[rng.integers(6)]()
+    value = (lambda: word(_HEXES, 20, 65), lambda: word(_CODES, 16, 48), lambda: word(_CODES, 8, 14) + str(rng.integers(10, 99)) + "_x", lambda: "ghp_" + word(_CODES, 30, 37), lambda: "sk-" + word(_CODES, 24, 40), lambda: "eyJ" + word(_CODES, 12, 30) + "." + word(_CODES, 20, 40),
+        lambda: word(_CODES, 6, 16) + str(rng.choice(list("@#%*^&"))) + word(_CODES, 3, 8), lambda: word("abcdefghijklmnoprst", 2, 7) + str(rng.choice(["-", "_"])) + word(_CODES, 16, 36), lambda: word(_CODES, 18, 44) + "=" * int(rng.integers(1, 3)))[rng.integers(9)]()
     name = str(rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth", "key", "pwd", "access_key"]))
     name = name.upper() if rng.random() < 0.2 else name
-    form = rng.integers(8)
+    form = rng.integers(9)
+    if form == 8:
+        return [(name, OUT), *((str(rng.choice(["is", "was", "for", "of", "this:", "here:"])), OUT) for _ in range(rng.integers(1, 3))), (value, BEGIN)]
     if form == 0:
         return [(name, OUT), ("=", OUT), (f'"{value}"', BEGIN)]
     if form == 1:
@@ -202,13 +205,20 @@ def _invented(rng: np.random.Generator) -> list[tuple[str, int]]:
 
 
 def _decoy(rng: np.random.Generator) -> list[tuple[str, int]]:
-    """Words that look odd but are no secrets."""
-    d = lambda n: "".join(rng.choice(list("0123456789"), n))
+    """Words that look odd but are no secrets: addresses, host and file names, numbers, dates, versions, identifiers."""
+    pick = lambda letters, low, high: "".join(rng.choice(list(letters), int(rng.integers(low, high))))
+    d = lambda low, high=None: pick("0123456789", low, (high or low) + 1)
+    name = lambda: pick("aeiourstnlhm", 2, 10)
+    joint = lambda: str(rng.choice([".", "_", "-", ""]))
+    ending = lambda: str(rng.choice(["org", "com", "net", "de", "fr", "example"]))
+    host = lambda: f"{name()}{d(0, 2)}.{name()}.{ending()}"
     forms = (
-        lambda: [f"user{d(2)}@mail{d(1)}.example.org"], lambda: [f"+{d(2)}", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [".".join(d(3) for _ in range(4))], lambda: [d(int(rng.integers(4, 17)))], lambda: [d(16)], lambda: [d(int(rng.integers(14, 25))) + "."], lambda: [f"https://www.example.org/{d(3)}/page-{d(2)}.html"],
-        lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: ["the", "token", "of"], lambda: ["a", "secret", "garden"], lambda: ["key", "to", "the"], lambda: ["Version", f"{d(1)}.{d(1)}."],
+        lambda: [f"{name()}{joint()}{d(1, 4)}@{host()}"], lambda: [f"{name()}.{name()}@{host()}" + str(rng.choice(["", ",", "."]))], lambda: [f"{name()}{d(2, 3)}@{name()}{d(1)}.example.{ending()}"],
+        lambda: [host()], lambda: [f"https://{host()}/{name()}/{d(3, 5)}-{name()}.html"], lambda: [f"/{name()}/{name()}/{name()}{d(1, 3)}.txt"],
+        lambda: [f"+{d(2)}", f"({d(3)})", f"{d(3)}-{d(4)}"], lambda: [".".join(d(1, 3) for _ in range(4))], lambda: [d(4, 20)], lambda: [d(14, 25) + "."], lambda: ["-".join([d(3), d(2), d(4)])], lambda: [" ".join(d(4) for _ in range(4))],
+        lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [f"{d(2)}:{d(2)}:{d(2)}"], lambda: [f"{name().title()}{name().title()}{d(1, 3)}"], lambda: [f"{name()}_{name()}_{d(1, 3)}"], lambda: ["the", "token", "of"], lambda: ["a", "secret", "garden"], lambda: ["key", "to", "the"], lambda: ["Version", f"{d(1)}.{d(1)}.{d(1, 2)}"],
     )
-    return [(x, OUT) for x in forms[rng.integers(len(forms))]()]
+    return [(x, OUT) for word in forms[rng.integers(len(forms))]() for x in word.split()]
 
 
 def _labelled(text: str) -> list[tuple[str, int]]:
@@ -249,7 +259,7 @@ def training_sequences(texts: Sequence[str | list[tuple[str, int]]], seed: int =
             continue
         for make, chance in ((_invented, 0.5), (_decoy, 0.6), (_decoy, 0.3)):
             if rng.random() < chance:
-                at = int(rng.integers(len(words) + 1))
+                at = 0 if rng.random() < 0.2 else int(rng.integers(len(words) + 1))  # often where a text begins
                 while at < len(words) and words[at][1] == INSIDE:
                     at += 1
                 words = [*words[:at], *make(rng), *words[at:]]

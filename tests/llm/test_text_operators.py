@@ -575,3 +575,37 @@ def test_boilerplate_makes_no_families(spark, monkeypatch):
                 above[max(a, b)] = min(a, b)
     assert got == {i: root(i) for i in range(len(pages))}
     assert max(largest, default=0) < 70
+
+
+def test_added_spans_on_forms_not_seen_in_training():
+    """Precision and recall of what the field adds, on secrets and on harmless words of forms that training doesn't invent."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    code = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    plain = [f"{a}{b}" for a in ("lor", "sit", "dol", "mag", "ven") for b in ("em", "a", "ipsu", "us", "one")]
+    prose = lambda n: [rng.choice(plain) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+    kept = [
+        lambda: (["Authorization:", "Token"], f"xoxb-{code(11, '0123456789')}-{code(24)}"), lambda: (["my", "passphrase", "is"], f"glpat-{code(20)}"), lambda: (["credential", "was"], code(22) + "=="),
+        lambda: (["the", "pwd", "for", "it:"], code(14) + "!" + code(4)), lambda: (["use", "key"], f"AIza{code(35)}"), lambda: (["signing", "secret", "was"], f"whsec_{code(32)}"),
+    ]
+    harmless = [
+        lambda: f"{code(5, 'aeioutrsn')}+{code(3, 'aeioutrsn')}@{code(6, 'aeioutrsn')}.co.uk", lambda: f"ISBN 978-3-16-{code(6, '0123456789')}-0", lambda: f"file:///{code(4, 'aeioutrsn')}/{code(7, 'aeioutrsn')}.tar.gz", lambda: f"{code(3, '0123456789')},{code(3, '0123456789')},{code(3, '0123456789')}",
+        lambda: f"#{code(5, '0123456789')}", lambda: f"Mc{code(6, 'aeioutrsn').title()}-{code(6, 'aeioutrsn').title()}",
+    ]
+    field = secrets.train(secrets.training_sequences([" ".join(prose(80)) for _ in range(200)]))
+    scanner = secrets.Scanner(field)
+    hits = wanted = added = 0
+    for k in range(600):
+        before, after = prose(rng.randint(0, 30)), prose(rng.randint(3, 30))
+        if k % 2:
+            context, secret = rng.choice(kept)()
+            text = " ".join([*before, *context, secret, *after])
+            at = text.index(secret)
+            wanted += 1
+        else:
+            text, at = " ".join([*before, rng.choice(harmless)(), *after]), None
+        base = secrets.base_spans(text)
+        extra = [s for s in scanner.spans([text.encode()])[0] if s not in base]
+        added += len(extra)
+        hits += at is not None and any(a < at + len(secret) and b > at for a, b, _ in extra + base)
+    assert hits >= 0.9 * wanted and hits >= 0.9 * added, (hits, wanted, added)
