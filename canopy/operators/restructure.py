@@ -82,9 +82,14 @@ class _Run:
     def found(self, code: str, where: str, message: str) -> None:
         self.findings.append(Finding(code, SEVERITIES[code], message, where))
 
-    def report(self, code: str, where: str, rows: DataFrame, message: str) -> None:
-        """A finding for each row's ``name``, as many as a report shows."""
-        for r in rows.select("name").orderBy("name").limit(MOST_FINDINGS).collect():
+    def report(self, where: str, *found: tuple[str, DataFrame, str]) -> None:
+        """A finding for each row's ``name`` of each ``(code, rows, message)``, as many as a report shows; one job for all."""
+        rows = None
+        for k, (_, named, _) in enumerate(found):
+            own = named.select(F.lit(k).alias("k"), "name")
+            rows = own if rows is None else rows.unionByName(own)
+        for r in rows.orderBy("k", "name").limit(MOST_FINDINGS).collect():
+            code, _, message = found[r["k"]]
             self.found(code, where, f"{r['name']} {message}")
 
     # --- the state: containers, and types that were moved by themselves
@@ -160,19 +165,19 @@ class _Run:
         named = picked.join(self.graph.nodes.select("id", F.col("qualified_name").alias("name")), "id").join(self.graph.top_of(), "id")
         is_external = F.col("top") == self.external if self.external is not None else F.lit(False)
         movable = F.col("kind").isin(PACKAGE, *TYPE_KINDS) | ((F.col("kind") == MODULE) & F.lit(not into_package))
-        self.report("CANNOT_MOVE", where, named.where(is_external), "holds code that was not scanned")
-        self.report("CANNOT_MOVE", where, named.where(~is_external & ~movable), "is not moved: a module is only merged into a module, and members stay with their types")
+        refused = [("CANNOT_MOVE", named.where(is_external), "holds code that was not scanned"), ("CANNOT_MOVE", named.where(~is_external & ~movable), "is not moved: a module is only merged into a module, and members stay with their types")]
         named = stage_table(named.where(~is_external & movable), narrow=True)
 
         # A package that was emptied is where its content went, unless that is a package of the graph with content of its own.
         places = self.containers.select(F.col("id").alias("final"), F.col("module").alias("from_module"), F.col("fqn").alias("from_fqn"))
         followed = named.where(F.col("kind").isin(MODULE, PACKAGE)).join(self.containers.select("id", "final", "blocked"), "id")
-        self.report("MOVE_OF_MERGED_PACKAGE", where, followed.where("blocked"), "was merged into a package with content of its own; this move is skipped")
+        refused.append(("MOVE_OF_MERGED_PACKAGE", followed.where("blocked"), "was merged into a package with content of its own; this move is skipped"))
         sources = followed.where("NOT blocked").join(places, "final").select("name", "final", "from_module", "from_fqn").dropDuplicates(["final"])
         if into_package:
             inside = (F.col("from_module") == module) & ((F.col("from_fqn") == package) | F.lit(package).startswith(F.concat("from_fqn", F.lit("."))))
-            self.report("MOVE_INTO_OWN_SUBTREE", where, sources.where(inside), f"cannot move into {package}, which lies inside it")
+            refused.append(("MOVE_INTO_OWN_SUBTREE", sources.where(inside), f"cannot move into {package}, which lies inside it"))
             sources = sources.where(~inside)
+        self.report(where, *refused)
         renamed = F.concat(F.lit(package + "."), simple_name(F.col("from_fqn"))) if into_package else F.col("from_fqn")
         rewrites = stage_table(sources.where(F.col("from_module") != module if not into_package else F.lit(True)).select("from_module", "from_fqn", renamed.alias("to_fqn")), narrow=True)
         kinds = named.where(F.col("kind").isin(*TYPE_KINDS)).select("id")
@@ -268,14 +273,14 @@ class _Run:
 
     def report_modules(self, place: DataFrame, modules: DataFrame) -> None:
         full = place.select(F.col("new_module").alias("name")).distinct()
-        self.report("VIRTUAL_MODULE_EMPTY", "modules", modules.where("virtual").select("name").join(full, "name", "left_anti"), "receives nothing; it stays empty")
         left = place.select(F.col("module").alias("name")).distinct().join(full, "name", "left_anti").join(modules.where("NOT virtual").select("name"), "name", "left_semi")
-        self.report("REAL_MODULE_EMPTY", "moves", left, "is left empty; it stays in the view")
+        empty = ("VIRTUAL_MODULE_EMPTY", modules.where("virtual").select("name").join(full, "name", "left_anti"), "receives nothing; it stays empty")
         homes = lambda package, module: place.where(F.col(package) != "").select(F.col(package).alias("name"), F.col(module).alias("in")).distinct()
         now, was = homes("new_package", "new_module"), homes("package", "module")
         gained = now.join(was, ["name", "in"], "left_anti").select("name").distinct()
         split = now.join(gained, "name", "left_semi").groupBy("name").agg(F.array_join(F.sort_array(F.collect_set("in")), ", ").alias("all"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        self.report("SPLIT_PACKAGE", "moves", split.select(F.concat("name", F.lit(" ("), "all", F.lit(")")).alias("name")), "now has types in several modules")
+        shown = split.select(F.concat("name", F.lit(" ("), "all", F.lit(")")).alias("name"))
+        self.report("moves", empty, ("REAL_MODULE_EMPTY", left, "is left empty; it stays in the view"), ("SPLIT_PACKAGE", shown, "now has types in several modules"))
 
 
 def restructure(graph: DependencyGraph, view: View) -> Restructured:

@@ -40,4 +40,4 @@ def load() -> None:
         import_module(f"canopy.plans.{name}")
 
 
-MODULES = ("queries_graph", "queries_reach", "queries_more", "queries_parts", "queries_structure", "queries_members", "queries_live", "queries_deep")
+MODULES = ("queries_graph", "queries_reach", "queries_more", "queries_parts", "queries_structure", "queries_members", "queries_live", "queries_deep", "queries_listings")
