@@ -115,8 +115,9 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- a library of classes: part k extends (by threes, implements) the part of half its number ---------------------------
 
-_NO_STRING = F.lit(None).cast("string")
-_NO_INT = F.lit(None).cast("int")
+
+def _none(kind: str):
+    return F.lit(None).cast(kind)
 
 
 def _class_name(column: str):
@@ -125,7 +126,7 @@ def _class_name(column: str):
 
 def library_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_brand").alias("artifact"), _class_name("p_partkey").alias("fqn"), F.lit("CLASS").alias("kind"), _NO_STRING.alias("source_file"), _NO_STRING.alias("class_hash"), F.lit(1).alias("modifiers"))
+    return part.select(F.col("p_brand").alias("artifact"), _class_name("p_partkey").alias("fqn"), F.lit("CLASS").alias("kind"), _none("string").alias("source_file"), _none("string").alias("class_hash"), F.lit(1).alias("modifiers"))
 
 
 def library_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +137,9 @@ def library_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.when(key % 13 == 0, 4).otherwise(1) + F.when(key % 11 == 0, 8).otherwise(0)
     name = F.concat(F.lit("m"), "j")
     shown = methods.select("artifact", "owner_fqn", F.lit("METHOD").alias("kind"), name.alias("name"), F.concat(F.lit("void "), name, F.lit("()")).alias("signature"), bits.cast("int").alias("modifiers"), (F.col("j") + 1).alias("line_from"))
-    fields = table(spark, sf_dir, "part").where(key % 4 == 0).select(F.col("p_brand").alias("artifact"), _class_name("p_partkey").alias("owner_fqn"), F.lit("FIELD").alias("kind"), F.lit("size").alias("name"), F.lit("int size").alias("signature"), F.lit(1).alias("modifiers"), _NO_INT.alias("line_from"))
+    fields = table(spark, sf_dir, "part").where(key % 4 == 0).select(F.col("p_brand").alias("artifact"), _class_name("p_partkey").alias("owner_fqn"), F.lit("FIELD").alias("kind"), F.lit("size").alias("name"), F.lit("int size").alias("signature"), F.lit(1).alias("modifiers"), _none("int").alias("line_from"))
     both = shown.unionByName(fields)
-    return both.select("artifact", "owner_fqn", F.concat("owner_fqn", F.lit("#"), "signature").alias("member_key"), "kind", "name", "signature", "modifiers", "line_from", _NO_INT.alias("line_to"), _NO_STRING.alias("bridge_target"))
+    return both.select("artifact", "owner_fqn", F.concat("owner_fqn", F.lit("#"), "signature").alias("member_key"), "kind", "name", "signature", "modifiers", "line_from", _none("int").alias("line_to"), _none("string").alias("bridge_target"))
 
 
 def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("artifact"), _class_name("p_partkey").alias("fqn"))
     above = part.select(F.col("p_partkey").alias("up"), F.col("fqn").alias("to_type"))
     key = F.col("p_partkey")
-    hierarchy = part.join(above, F.floor(key / 2) == F.col("up")).select("artifact", F.col("fqn").alias("from_key"), F.col("fqn").alias("from_type"), F.col("to_type").alias("to_key"), "to_type", F.when(key % 3 == 0, "implements").otherwise("extends").alias("relationship"), _NO_INT.alias("line"))
+    hierarchy = part.join(above, F.floor(key / 2) == F.col("up")).select("artifact", F.col("fqn").alias("from_key"), F.col("fqn").alias("from_type"), F.col("to_type").alias("to_key"), "to_type", F.when(key % 3 == 0, "implements").otherwise("extends").alias("relationship"), _none("int").alias("line"))
     a, b = part.select(F.col("p_partkey").alias("a"), "artifact", F.col("fqn").alias("from_type")), part.select(F.col("p_partkey").alias("b"), F.col("fqn").alias("to_type"))
     pairs = sequence_pairs(spark, sf_dir).join(a, "a").join(b, "b").select("artifact", "from_type", "to_type", F.col("l_linenumber").cast("int").alias("line")).distinct()
     method = lambda t, j: F.concat(t, F.lit("#void m"), (j % 4).cast("string"), F.lit("()"))
@@ -154,7 +155,7 @@ def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = pairs.select("artifact", method(F.col("from_type"), line).alias("from_key"), "from_type", method(F.col("to_type"), line + 1).alias("to_key"), "to_type", F.lit("calls").alias("relationship"), "line")
     kind = F.when(line % 2 == 0, "reads_field").otherwise("writes_field")
     uses = pairs.where("line <= 2").select("artifact", method(F.col("from_type"), line).alias("from_key"), "from_type", F.concat("to_type", F.lit("#int size")).alias("to_key"), "to_type", kind.alias("relationship"), "line")
-    return hierarchy.unionByName(calls).unionByName(uses).withColumns({"parameter_index": _NO_INT, "parameter_name": _NO_STRING})
+    return hierarchy.unionByName(calls).unionByName(uses).withColumns({"parameter_index": _none("int"), "parameter_name": _none("string")})
 
 
 def library_store(spark: SparkSession, sf_dir: str):
