@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.names import handle_of
 from canopy.functions.sql import register_functions
-from canopy.operators import detail, intervals, placement, rollups
+from canopy.operators import detail, ingest, intervals, placement, rollups
 from canopy.operators.restructure import restructure
 from canopy.operators.views import parse_view
 from canopy.plans.materialize import delete_path, shared_dir, stage_table
@@ -187,3 +187,16 @@ def archived_types(spark, sf_dir):
     rows = stage_table(rows)
     delete_path(spark, folder)
     return rows
+
+
+# --- handles ----------------------------------------------------------------------------------------------------------
+
+
+_KEYS = "k AS (SELECT CASE kind WHEN 'java.module' THEN qn WHEN 'java.package' THEN 'pkg:' || module || ':' || qn ELSE 'type:' || length(module) || ':' || module || ':' || qn END AS key FROM nodes UNION ALL SELECT '<root>')"
+
+
+@register("crowded_handles", f"{with_(TRADE, NODES, _KEYS)} SELECT {handle('key')} % 97 AS id, count(DISTINCT key) AS keys FROM k GROUP BY 1 HAVING count(DISTINCT key) > 1")
+def crowded_handles(spark, sf_dir):
+    """Which of 97 numbers several keys would share, were handles that short."""
+    nodes = td.trade_graph(spark, sf_dir).nodes
+    return ingest.handle_collisions(nodes.withColumn("id", F.col("id") % 97))
