@@ -4,7 +4,8 @@ Vectors are dealt by hash of their id into shards of about ``SHARD_ROWS`` rows,
 A shard's graph is built in one task and stored as one row of flat arrays (ids, vectors, neighbour lists of all levels).
 Searching reads that table once for each block of queries, one block after another: a block, bounded in bytes, is sent to
 all tasks, each walks its shards' graphs and keeps the nearest of all of them; what the tasks found is written before the
-next block is sent, and all of it is merged by query.  No row of the index is shuffled.  A query walks every shard, since
+next block is sent, and all of it is merged by query.  The index is dealt to tasks anew for each block, so it moves once a block.
+A query walks every shard, since
 neighbours of vectors without clusters lie in all of them (on such data routing by centroids needs half the shards for a
 recall of 0.9); a walk grows with the logarithm of a shard, so shards are as large as a task can build.
 
