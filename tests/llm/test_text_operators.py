@@ -477,6 +477,30 @@ def test_pairwise_ranking(spark, none):
     assert pairwise_quality.score(none, model).count() == 0
 
 
+def test_ranking_learns_from_all_labelled_vectors_and_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    dim = len(pairwise_quality.FEATURES)
+    x = np.concatenate([rng.normal(size=(4700, dim)) + 0.4, rng.normal(size=(310, dim)) * 1.5 - 0.2])
+    good = np.arange(len(x)) < 4700
+    rows = spark.createDataFrame([(int(g), v.tolist()) for g, v in zip(good, x)], "good int, x array<double>").repartition(3)
+    model = pairwise_quality.fit(rows)
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.spread, x.std(axis=0) + 1e-6)
+    z = np.clip((x - model.centre) / model.spread, -6, 6)
+    raw = z @ model.weights
+    p = 1 / (1 + np.exp(raw[good][:, None] - raw[~good][None, :]))  # of all 1.5 million pairs
+    slope = -(p.sum(axis=1) @ z[good] - p.sum(axis=0) @ z[~good]) / p.size + pairwise_quality.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-7 < np.abs(model.weights).max()
+    assert (raw < model.threshold).sum() == 310
+
+
+def test_ranking_features_of_every_labelled_document(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(9500).selectExpr("id AS doc_id", "int(id % 20 > 0) AS quality")
+    got = pairwise_quality.labelled_features(docs, labels, ~pairwise_quality.held_out()).groupBy("good").count()
+    want = docs.where(~pairwise_quality.held_out()).selectExpr("int(doc_id % 20 > 0) AS good").groupBy("good").count()
+    assert sorted(got.collect()) == sorted(want.collect()) and max(r["count"] for r in got.collect()) > 4000
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(900, 16)).astype(np.float32)
