@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.components import connected_components
-from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
+from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, trimmed, utf8
 from canopy.plans.materialize import parallelism, release, scratch, stage_table
 
 MINIMA, ORDERS, PREFIX, DEPTH, NEIGHBOURS = 64, 16, 4, 8, 3
@@ -199,7 +199,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(twice, 1 + 2 * PREFIX * t, 2 * DEPTH).alias("key")) for t in range(ORDERS)])).alias("o")
     rows = reps.select("id", keys).select("o.tree", "o.key", "id")
     ordered = rows.repartitionByRange(parallelism(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = stage_table(ordered.mapInArrow(_scan_orders, "a long, b long, part int, place int, tail boolean, tree int, key binary"))
+    found = stage_table(ordered.mapInArrow(trimmed(_scan_orders), "a long, b long, part int, place int, tail boolean, tree int, key binary"))
     stitched = spark.createDataFrame(_across(found.where("part is not null").collect()), "a long, b long")  # 2 * NEIGHBOURS rows of each partition
     return found.where("part is null").select("a", "b").unionByName(stitched).distinct()
 
@@ -227,7 +227,7 @@ def _agreeing(candidates: DataFrame, reps: DataFrame, percent: int) -> DataFrame
                 keep = agree >= least
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(agree[keep])], names=["a", "b", "agree"])
 
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agree int")
+    return sized.select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a long, b long, agree int")
 
 
 def _id_filter(spark, ids: DataFrame, n: int, filter_bytes: int):
@@ -259,7 +259,7 @@ def _id_filter(spark, ids: DataFrame, n: int, filter_bytes: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((mixed(x.astype(np.uint64)) % np.uint64(pieces)).astype(np.int64))], names=["id", "piece"])
 
     whole = np.zeros((pieces, width // 8), np.uint8)
-    filled = ids.mapInArrow(pieces_of, "id long, piece long").repartition(parallelism(spark), "piece").mapInArrow(fill, "piece long, bits binary")
+    filled = ids.mapInArrow(trimmed(pieces_of), "id long, piece long").repartition(parallelism(spark), "piece").mapInArrow(trimmed(fill), "piece long, bits binary")
     for row in filled.collect():  # filter_bytes at most
         whole[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(whole.reshape(-1))
@@ -286,7 +286,7 @@ def _texts_of(documents: DataFrame, ids: DataFrame, n: int, filter_bytes: int) -
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in utf8(batch.column(1))], pa.binary())], names=["id", "data"])
 
-    return stage_table(documents.select("doc_id", "text").mapInArrow(run, "id long, data binary"))
+    return stage_table(documents.select("doc_id", "text").mapInArrow(trimmed(run), "id long, data binary"))
 
 
 def split_by_id(rows: DataFrame, key: str, ids: DataFrame, n: int, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +332,7 @@ def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], names=["a", "b"])
 
     together = parents.unionByName(children).repartition(parallelism(spark), "b", "branch").sortWithinPartitions("b", "branch", F.col("a").asc_nulls_first())
-    return stage_table(together.select("b", "branch", "a", "data").mapInArrow(run, "a long, b long"))
+    return stage_table(together.select("b", "branch", "a", "data").mapInArrow(trimmed(run), "a long, b long"))
 
 
 def _crossing(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def _sketches(reps: DataFrame, ids: DataFrame) -> DataFrame:
                 packed = low[:, ::2] << 4 | low[:, 1::2]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "sketch"])
 
-    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(run, "id long, sketch binary")
+    return reps.join(ids, "id", "left_semi").select("id", "sig").mapInArrow(trimmed(run), "id long, sketch binary")
 
 
 def _ties(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -412,7 +412,7 @@ def _ties(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     spark = groups.sparkSession
     together = groups.join(sketches, "id").select("key", "id", "component", "n", "sketch").repartition(parallelism(spark), "key").sortWithinPartitions("key")
-    return together.mapInArrow(run, "id long, component long, n long, first long").distinct()
+    return together.mapInArrow(trimmed(run), "id long, component long, n long, first long").distinct()
 
 
 def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
@@ -428,7 +428,7 @@ def _shingle_counts(texts: DataFrame, n: int, words: int) -> np.ndarray:
 
     some = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // _COUNTED))) == 0).select("data").coalesce(4)
     total = np.zeros(1 << 20, np.uint32)
-    for row in some.mapInArrow(run, "counts binary").collect():  # four rows of 4 MB
+    for row in some.mapInArrow(trimmed(run), "counts binary").collect():  # four rows of 4 MB
         total += np.frombuffer(row["counts"], np.uint32)
     return total
 
@@ -459,7 +459,7 @@ def _prefix_pairs(dense: DataFrame, texts: DataFrame, n: int, words: int, percen
                     [pa.array(np.concatenate(heads).view(np.int64)), *(pa.array(np.repeat(np.asarray(c, np.int64), lengths)) for c in (ids, components, sizes))], names=["shingle", "id", "component", "n"]
                 )
 
-    postings = stage_table(own.mapInArrow(run, "shingle long, id long, component long, n long"))
+    postings = stage_table(own.mapInArrow(trimmed(run), "shingle long, id long, component long, n long"))
     lists = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")).where("low <> high")
     lists = stage_table(lists.select("shingle", "size", "first"))
     few = stage_table(postings.join(lists.where(F.col("size") <= _SHORT).select("shingle"), "shingle"))
@@ -498,9 +498,9 @@ def _family_links(tied: DataFrame, texts: DataFrame, words: int, percent: int) -
     x, y = blocks.select("family", F.col("block").alias("x"), F.col("tag").alias("tx")), blocks.select("family", F.col("block").alias("y"), F.col("tag").alias("ty"))
     meetings = x.join(y, "family").where("x <= y AND NOT coalesce(tx = ty, false)").select("x", "y")
     packed = placed.select("block", "id", "component").join(texts, "id").select("block", "id", "component", "data").repartition(parallelism(spark), "block").sortWithinPartitions("block")
-    packed = stage_table(packed.mapInArrow(_pack_blocks, "block long, rows binary"))
+    packed = stage_table(packed.mapInArrow(trimmed(_pack_blocks), "block long, rows binary"))
     met = meetings.join(packed.withColumnRenamed("block", "x").withColumnRenamed("rows", "left"), "x").join(packed.withColumnRenamed("block", "y").withColumnRenamed("rows", "right"), "y")
-    links = stage_table(met.select("x", "y", "left", "right").mapInArrow(_compare_blocks(words, percent), "a long, b long").distinct(), narrow=True)
+    links = stage_table(met.select("x", "y", "left", "right").mapInArrow(trimmed(_compare_blocks(words, percent)), "a long, b long").distinct(), narrow=True)
     return rows.select("id", "family"), links
 
 
@@ -655,7 +655,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage_table(texts.mapInArrow(_signatures(words), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
+    signed = stage_table(texts.mapInArrow(trimmed(_signatures(words)), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
     with scratch() as keep:
         usable = signed.where("doc_id is not null and n_shingles > 0")
         classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), narrow=True)

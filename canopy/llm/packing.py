@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import bounded_batches, slices
+from canopy.llm.words import bounded_batches, slices, trimmed
 from canopy.plans.materialize import parallelism, stage_table
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
@@ -146,7 +146,7 @@ def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabular
                         uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
 
 
 def pack_world(demands: np.ndarray, limits: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def pack(examples: DataFrame, limits: Sequence[int] = LIMITS, world: int = WORLD
         if held:
             yield from packed(pa.concat_tables(held))
 
-    return dealt.repartition(parallelism(spark), "__world").sortWithinPartitions("__world").mapInArrow(run, ddl)
+    return dealt.repartition(parallelism(spark), "__world").sortWithinPartitions("__world").mapInArrow(trimmed(run), ddl)
 
 
 def pack_documents(documents: DataFrame, limits: Sequence[int] = LIMITS, vocabulary: str | None = None) -> DataFrame:
@@ -257,7 +257,7 @@ def conversation_examples(conversations: DataFrame, limits: Sequence[int] = LIMI
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["conv_id", "turn", "tokens", "loss_tokens"])
 
     source = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", "role")
-    turns = stage_table(source.mapInArrow(run, "conv_id long, turn long, tokens long, loss_tokens long"))
+    turns = stage_table(source.mapInArrow(trimmed(run), "conv_id long, turn long, tokens long, loss_tokens long"))
     totals = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
     fits = (F.col("tokens") <= limits[0]) & (F.col("loss_tokens") <= limits[2])
     totals = stage_table(totals)

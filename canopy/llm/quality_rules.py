@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, utf8
+from canopy.llm.words import Rolling, WordMemo, bounded_batches, hashed, mixed, slices, trimmed, utf8
 from canopy.plans.materialize import release, scratch, stage_table
 
 #: What counts as a symbol, the least words, the largest percentage of repeated words.
@@ -98,7 +98,7 @@ def text_counts(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     # The text is read under a name of its own, so that it may be among the kept columns.
     source = documents.select(F.col("text").alias("__text"), *names)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*names).schema)
-    return source.mapInArrow(run, schema + ", ".join(f"{c} long" for c in COUNTS))
+    return source.mapInArrow(trimmed(run), schema + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -192,7 +192,7 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _moments(rows: DataFrame, scale: float) -> DataFrame:
     sums = F.array(*[F.sum(s) for s in STATS])
     products = F.array(*[F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in _CROSS])
-    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), products.alias("products")).withColumn("scale", F.lit(scale)).mapInArrow(_estimates, _FIT)
+    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"), products.alias("products")).withColumn("scale", F.lit(scale)).mapInArrow(trimmed(_estimates), _FIT)
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _starts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FIT_SCHEMA, strict=True)], schema=_FIT_SCHEMA)
 
     every = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(_P)])
-    return scales.join(signs, "grp", "left").select("grp", every("m"), every("d"), "signs").mapInArrow(run, _FIT)
+    return scales.join(signs, "grp", "left").select("grp", every("m"), every("d"), "signs").mapInArrow(trimmed(run), _FIT)
 
 
 def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -278,7 +278,7 @@ def fits_by_group(passing: DataFrame) -> DataFrame:
         named = lambda frame, k: frame.select(*[c for c in ("own", "wide") if c in frame.columns], *[F.col(c).alias(f"{c}{k}") for c in ("n", "centre", "cov")])
         wide, whole = stage_table(_merged(fits, ["wide"]), narrow=True), stage_table(_merged(fits, []).where("n > 0"), narrow=True)
         every = groups.join(named(fits.drop("wide"), "_own"), "own", "left").join(named(wide, "_wide"), "wide", "left").join(F.broadcast(named(whole, "_all")), F.lit(True))
-        return keep(stage_table(every.mapInArrow(_leaning, "own string, centre array<double>, precision array<double>"), narrow=True))
+        return keep(stage_table(every.mapInArrow(trimmed(_leaning), "own string, centre array<double>, precision array<double>"), narrow=True))
 
 
 def _described(counted: DataFrame) -> DataFrame:

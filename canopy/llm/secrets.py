@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import bounded_batches, slices, utf8
+from canopy.llm.words import bounded_batches, slices, trimmed, utf8
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -345,7 +345,7 @@ def train_on(documents: DataFrame, docs: int = TRAIN_DOCS) -> SecretField:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], names=["h", "words", "tags"])
 
-    windows = rows.where(F.col("h") <= chosen).select("h", "text").mapInArrow(run, "h long, words array<string>, tags array<int>")
+    windows = rows.where(F.col("h") <= chosen).select("h", "text").mapInArrow(trimmed(run), "h long, words array<string>, tags array<int>")
     one = windows.groupBy("h").agg(F.min(F.struct("words", "tags")).alias("w")).orderBy("h")  # one window of rows that repeat an id
     return train(training_sequences([list(zip(r["w"]["words"], r["w"]["tags"], strict=True)) for r in one.collect()]))
 
@@ -505,4 +505,4 @@ def scan(documents: DataFrame, field: SecretField | None = None, keep: Sequence[
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), *counts, digests, pa.array([render(s) for s in found], pa.string()), pa.array(text, pa.string()), *rest], names=[*names, *kept.names])
 
     ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, ddl)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(trimmed(run), ddl)

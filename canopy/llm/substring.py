@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.words import OTHER_BASE, Rolling, WordMemo, batches_of, bounded_batches, hashed, mixed, route_keys, slices, utf8
+from canopy.llm.words import OTHER_BASE, Rolling, WordMemo, batches_of, bounded_batches, hashed, mixed, route_keys, slices, trimmed, utf8
 from canopy.plans.materialize import parallelism, stage_table
 
 #: Difference covers, each with its period; every difference modulo the period occurs.
@@ -384,15 +384,15 @@ def remove_repeats(documents: DataFrame, window: int = 50, keep: Sequence[str] =
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     extra = to_arrow_schema(documents.select(*keep).schema)
 
-    anchors = texts.select("text").mapInArrow(_send_anchors(window, keys), "route int, once binary, often binary")
-    segments = anchors.repartition(parts, "route").select("route", "once", "often").mapInArrow(_filter_segments(parts, filter_bytes), "part int, bits binary")
+    anchors = texts.select("text").mapInArrow(trimmed(_send_anchors(window, keys)), "route int, once binary, often binary")
+    segments = anchors.repartition(parts, "route").select("route", "once", "often").mapInArrow(trimmed(_filter_segments(parts, filter_bytes)), "part int, bits binary")
     found = spark.sparkContext.broadcast(_Filter(parts, [tuple(x) for x in segments.collect()]))
 
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + kept
-    read = stage_table(texts.mapInArrow(_read_windows(window, keys, found, extra, with_text), "_sd_kind int, _sd_route int, _sd_uid long, _sd_data binary, " + result))
-    resolved = read.where(f"_sd_kind = {_TO_RESOLVE}").select("_sd_data", "_sd_route").repartition(parts, "_sd_route").mapInArrow(_resolve(keys), "_sd_kind int, _sd_route int, _sd_data binary")
+    read = stage_table(texts.mapInArrow(trimmed(_read_windows(window, keys, found, extra, with_text)), "_sd_kind int, _sd_route int, _sd_uid long, _sd_data binary, " + result))
+    resolved = read.where(f"_sd_kind = {_TO_RESOLVE}").select("_sd_data", "_sd_route").repartition(parts, "_sd_route").mapInArrow(trimmed(_resolve(keys)), "_sd_kind int, _sd_route int, _sd_data binary")
     to_finish = read.where(f"_sd_kind in ({_PLACES}, {_OPEN})").unionByName(resolved, allowMissingColumns=True)
-    finished = to_finish.repartition(parts, "_sd_route").sortWithinPartitions("_sd_kind").mapInArrow(_finish(window, extra, with_text), result)
+    finished = to_finish.repartition(parts, "_sd_route").sortWithinPartitions("_sd_kind").mapInArrow(trimmed(_finish(window, extra, with_text)), result)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *keep]
     return read.where(f"_sd_kind = {_DONE}").select(names).unionByName(finished.select(names))

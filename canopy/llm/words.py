@@ -6,7 +6,8 @@ operators work on slices of a few megabytes of text at a time whatever an Arrow
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,6 +39,40 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system; where the C library can't, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for workers that Spark uses again: what a task has freed goes back after each ``BATCH_BYTES`` and at its end.
+
+    Else a worker keeps the most that any task before has held, all through a job of many stages.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for batch in batches:
+            size += batch.nbytes
+            yield batch
+            del batch
+            if size >= BATCH_BYTES:
+                size = 0
+                give_back()
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(read(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column; null texts are empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

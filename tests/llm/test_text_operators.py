@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -501,6 +503,27 @@ def test_ranking_features_of_every_labelled_document(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and max(r["count"] for r in got.collect()) > 4000
 
 
+def test_a_task_gives_freed_memory_back():
+    code = """
+import gc, os, re
+import pyarrow as pa
+from canopy.llm.words import give_back, trimmed
+held = lambda: int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+pinned = []
+def run(batches):
+    for batch in batches:
+        words = [bytes(700) for _ in range(200000)]
+        pinned.extend(words[::1000])
+        del words
+        yield batch
+batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["x"])
+before = held()
+stay = list(trimmed(run)(iter([batch])))
+assert held() - before < 40, held() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(900, 16)).astype(np.float32)
