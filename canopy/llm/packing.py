@@ -9,8 +9,8 @@ last sequence is the only one that is short for want of examples, and no key can
 
 Texts longer than a sequence are cut into whole sequences and a rest.  Conversations are one example each; one over a
 limit is cut into its turns, and these at the limit.  Token ids are those of the ``tokenizers`` file; the engine here is
-its equal from the same vocabulary, called once for each distinct word seen lately: a space between two other characters
-always starts a new pre-token, so texts can be encoded between such spaces independently.
+its equal from the same vocabulary, and takes a simpler pattern where no two spaces meet.  A space between two other
+characters always starts a new pre-token, so long texts are encoded between such spaces independently.
 
 Defined results: a null text is empty (its only id is the end); a null id passes through; rows that repeat an id are
 packed one by one; an empty table gives an empty result; an example over a limit by itself fits nowhere and is set aside:
@@ -38,7 +38,8 @@ from canopy.plans.materialize import parallelism, stage_table
 LIMITS = (1024, 64, 1024)
 WORLD = 4096
 END_ID = 0
-_MEMO_ENTRIES = 1 << 17
+#: Characters of a text that are encoded at once.
+_STRETCH = 1 << 18
 _PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _RUN_OF_SPACE = re.compile(r"\s\s")
 
@@ -74,8 +75,13 @@ class Encoder:
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in parts["model"]["vocab"].items() if token not in added}
         del parts
-        self._encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._after_space, self._at_start = _Memo(self._bytes, " "), _Memo(self._bytes, "")
+
+        def engine(pattern: str):
+            return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        # Where no two spaces meet, the end of the pattern, which looks ahead, comes to this.
+        self._encode = engine(public_tokenizers.PATTERN.replace(r"\s+(?!\S)|\s+", r"\s"))
+        self._encode_spaced = lru_cache(maxsize=1)(lambda: engine(public_tokenizers.PATTERN))
 
     def _whole(self, text: str) -> bytes:
         """Ids by the library, which is loaded when it is first needed."""
@@ -85,14 +91,20 @@ class Encoder:
             self._library = Tokenizer.from_file(self._vocabulary)
         return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), np.uint32).tobytes()
-
     def ids(self, text: str) -> bytes:
         if self._added and self._added.search(text):
             return self._whole(text)
-        parts = _PLAIN_SPACE.split(text) if _RUN_OF_SPACE.search(text) else text.split(" ")
-        return self._at_start[parts[0]] + b"".join(map(self._after_space.__getitem__, parts[1:]))
+        return b"".join([np.array((self._encode_spaced() if _RUN_OF_SPACE.search(x) else self._encode)(x), np.uint32).tobytes() for x in _stretches(text)])
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """The text in stretches of bounded size, cut before plain spaces; it is longer only where it has none."""
+    low = 0
+    while low < len(text):
+        cut = _PLAIN_SPACE.search(text, low + _STRETCH)
+        high = cut.start() if cut else len(text)
+        yield text[low:high]
+        low = high
 
 
 @lru_cache(maxsize=1)
@@ -101,26 +113,6 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-class _Memo(dict):
-    """Two generations of at most ``_MEMO_ENTRIES`` results; long chunks aren't kept."""
-
-    def __init__(self, make, before: str) -> None:
-        super().__init__()
-        self._make, self._before, self._old = make, before, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(self._before + key)
-            if len(key) > 64:
-                return value
-        if len(self) >= _MEMO_ENTRIES:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def document_pieces(documents: DataFrame, max_tokens: int = LIMITS[0], vocabulary: str | None = None) -> DataFrame:
     """Pieces of whole texts: ``doc_id, start, length, ids_crc32, doc_tokens`` and a ``uid`` for each."""
     where = vocabulary or default_vocabulary()

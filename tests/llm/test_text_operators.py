@@ -264,6 +264,25 @@ def test_added_tokens_are_those_of_the_library():
         assert np.frombuffer(encoder.ids(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_of_new_words_take_one_call_each(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdeé\n漢,$", k=8)).strip() or "x" for _ in range(3000))
+    calls, engine = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda x: calls.append(len(x)) or engine(x))
+    plain = text.replace("\n\n", "\n")
+    while "\n\n" in plain:
+        plain = plain.replace("\n\n", "\n")
+    assert np.frombuffer(encoder.ids(plain), np.uint32).tolist() == library.encode(plain, add_special_tokens=False).ids
+    assert calls == [len(plain)]
+    # Long texts are encoded in stretches, wherever these end.
+    monkeypatch.setattr(packing, "_STRETCH", 7, raising=False)
+    for body in (text, plain, text.replace("a", "  "), " " + plain, plain + " "):
+        assert np.frombuffer(encoder.ids(body), np.uint32).tolist() == library.encode(body, add_special_tokens=False).ids
+
+
 def test_conversations_are_packed_under_all_limits(spark, sf_dir):
     limits = (400, 5, 150)
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
