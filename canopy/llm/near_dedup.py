@@ -199,7 +199,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(twice, 1 + 2 * PREFIX * t, 2 * DEPTH).alias("key")) for t in range(ORDERS)])).alias("o")
     rows = reps.select("id", keys).select("o.tree", "o.key", "id")
     ordered = rows.repartitionByRange(parallelism(spark), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = stage_table(ordered.mapInArrow(trimmed(_scan_orders), "a long, b long, part int, place int, tail boolean, tree int, key binary"))
+    found = stage_table(ordered.mapInArrow(trimmed(_scan_orders), "a long, b long, part int, place int, tail boolean, tree int, key binary"), dealt=True)
     stitched = spark.createDataFrame(_across(found.where("part is not null").collect()), "a long, b long")  # 2 * NEIGHBOURS rows of each partition
     return found.where("part is null").select("a", "b").unionByName(stitched).distinct()
 
@@ -286,7 +286,7 @@ def _texts_of(documents: DataFrame, ids: DataFrame, n: int, filter_bytes: int) -
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in utf8(batch.column(1))], pa.binary())], names=["id", "data"])
 
-    return stage_table(documents.select("doc_id", "text").mapInArrow(trimmed(run), "id long, data binary"))
+    return stage_table(documents.select("doc_id", "text").mapInArrow(trimmed(run), "id long, data binary"), dealt=True)
 
 
 def split_by_id(rows: DataFrame, key: str, ids: DataFrame, n: int, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -302,12 +302,13 @@ def split_by_id(rows: DataFrame, key: str, ids: DataFrame, n: int, filter_bytes:
 
 
 def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges ``(a, b)``, b the parent, that hold on the full sets.  A parent's text goes to each ``_BRANCH`` children."""
+    """Of staged edges ``(a, b)``, b the parent, those that hold on the full sets.  A parent's text goes to each ``_BRANCH``
+    children."""
     spark = edges.sparkSession
-    edges = stage_table(edges.select("a", "b"), narrow=True)
+    edges = edges.select("a", "b")
     many = edges.groupBy("b").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > _BRANCH)
     branch = F.when(F.col("children").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("children") / _BRANCH))).cast("int")
-    edges = stage_table(edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch"), narrow=True)
+    edges = edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch")
     parents = edges.select("b", "branch").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "branch", F.lit(None).cast("long").alias("a"), "data")
     children = edges.join(texts.withColumnRenamed("id", "a"), "a").select("b", "branch", "a", "data")
 
@@ -332,7 +333,7 @@ def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], names=["a", "b"])
 
     together = parents.unionByName(children).repartition(parallelism(spark), "b", "branch").sortWithinPartitions("b", "branch", F.col("a").asc_nulls_first())
-    return stage_table(together.select("b", "branch", "a", "data").mapInArrow(trimmed(run), "a long, b long"))
+    return stage_table(together.select("b", "branch", "a", "data").mapInArrow(trimmed(run), "a long, b long"), dealt=True)
 
 
 def _crossing(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -480,7 +481,7 @@ def _family_links(tied: DataFrame, texts: DataFrame, words: int, percent: int) -
     spark = tied.sparkSession
     families = stage_table(connected_components(tied.select(F.col("id").alias("a"), F.col("first").alias("b"))), narrow=True)
     rows = tied.select("id", "component", "n").distinct().join(families.withColumnRenamed("component", "family"), "id", "left").withColumn("family", F.coalesce("family", "id"))
-    rows = stage_table(rows)
+    rows = stage_table(rows, narrow=True)
     most = lambda n, total: F.greatest(F.ceil(F.col(n) / _BLOCK_ROWS), F.ceil(F.col(total) / _BLOCK_SHINGLES))
     owned = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).withColumn("parts", most("k", "total"))
     pool = owned.where("parts = 1").groupBy("family").agg(F.sum("k").alias("k"), F.sum("total").alias("total")).select("family", most("k", "total").alias("pool"))
@@ -493,12 +494,12 @@ def _family_links(tied: DataFrame, texts: DataFrame, words: int, percent: int) -
         "id",
         "component",
     )
-    placed = stage_table(placed)
+    placed = stage_table(placed, narrow=True)
     blocks = stage_table(placed.select("family", "block", "tag").distinct(), narrow=True)
     x, y = blocks.select("family", F.col("block").alias("x"), F.col("tag").alias("tx")), blocks.select("family", F.col("block").alias("y"), F.col("tag").alias("ty"))
     meetings = x.join(y, "family").where("x <= y AND NOT coalesce(tx = ty, false)").select("x", "y")
     packed = placed.select("block", "id", "component").join(texts, "id").select("block", "id", "component", "data").repartition(parallelism(spark), "block").sortWithinPartitions("block")
-    packed = stage_table(packed.mapInArrow(trimmed(_pack_blocks), "block long, rows binary"))
+    packed = stage_table(packed.mapInArrow(trimmed(_pack_blocks), "block long, rows binary"), dealt=True)
     met = meetings.join(packed.withColumnRenamed("block", "x").withColumnRenamed("rows", "left"), "x").join(packed.withColumnRenamed("block", "y").withColumnRenamed("rows", "right"), "y")
     links = stage_table(met.select("x", "y", "left", "right").mapInArrow(trimmed(_compare_blocks(words, percent)), "a long, b long").distinct(), narrow=True)
     return rows.select("id", "family"), links
@@ -605,7 +606,7 @@ def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame,
     rows, mixed = _regions(reps, components)
     if mixed.isEmpty():
         return None, None
-    rows = stage_table(rows.join(mixed, "region"))
+    rows = stage_table(rows.join(mixed, "region"), dealt=True)
     members = stage_table(rows.select("id").distinct(), narrow=True)
     texts = _texts_of(documents, members, members.count(), filter_bytes)
     sketches, pairs = stage_table(_sketches(reps, members), narrow=True), None
@@ -615,7 +616,7 @@ def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame,
         pairs, long = _prefix_pairs(dense, texts, n, words, percent)
         listed = _ties(long.where(F.col("size") <= LISTED).select("key", "id", "component", "n"), sketches, percent)
         tied = tied.unionByName(listed).unionByName(long.where(F.col("size") > LISTED).select("id", "component", "n", "first")).distinct()
-    families, links = _family_links(stage_table(tied), texts, words, percent)
+    families, links = _family_links(stage_table(tied, dealt=True), texts, words, percent)
     if pairs is not None:  # all pairs inside families are done
         own = lambda c: families.select(F.col("id").alias(c), F.col("family").alias(f"f{c}"))
         pairs = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("NOT coalesce(fa = fb, false)").select("a", "b")
@@ -625,9 +626,9 @@ def _region_pairs(reps: DataFrame, documents: DataFrame, components: DataFrame,
 def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     """Components after new links, which join whole components: those are united, then renamed."""
     between = _crossing(links, components).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    renamed = stage_table(connected_components(between))
+    renamed = connected_components(between)
     old = components.join(renamed.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-    return stage_table(old.unionByName(renamed))
+    return stage_table(old.unionByName(renamed), narrow=True)
 
 
 def _united(edges: DataFrame, tried: DataFrame, components: DataFrame, held: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -655,12 +656,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, fil
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage_table(texts.mapInArrow(trimmed(_signatures(words)), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"))
+    signed = stage_table(texts.mapInArrow(trimmed(_signatures(words)), "doc_id long, n_shingles long, d0 long, d1 long, sig binary"), dealt=True)
     with scratch() as keep:
         usable = signed.where("doc_id is not null and n_shingles > 0")
         classes = stage_table(usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), narrow=True)
         reps = stage_table(
-            usable.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"])
+            usable.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig").dropDuplicates(["id", "n_shingles", "sig"]),
+            dealt=True,
         )
         shared = keep(stage_table(classes.where("size > 1").select("d0", "d1", "rep"), narrow=True))
         components = keep(stage_table(_components_of(reps, texts, words, percent, filter_bytes), narrow=True))
@@ -689,7 +691,7 @@ def _components_of(reps: DataFrame, texts: DataFrame, words: int, percent: int,
     asked = stage_table(directed.groupBy("a").agg(F.min(ask).alias("p")).select("a", F.col("p.b").alias("b")), narrow=True)
     links = _confirmed(asked, held, words, percent)
     tried = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    components = stage_table(connected_components(links))
+    components = stage_table(connected_components(links), narrow=True)
     components, tried = _united(edges, tried, components, held, words, percent)
     release(held)
     pairs, links = _region_pairs(reps, texts, components, words, percent, filter_bytes)

@@ -675,3 +675,38 @@ def test_added_spans_on_forms_not_seen_in_training():
         added += len(extra)
         hits += at is not None and any(a < at + len(secret) and b > at for a, b, _ in extra + base)
     assert hits >= 0.9 * wanted and hits >= 0.9 * added, (hits, wanted, added)
+
+
+def test_small_staged_tables_are_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(0, 10_000, 1, 64)
+        narrow, dealt = stage_table(rows, narrow=True), stage_table(rows, dealt=True)
+        assert len(narrow.inputFiles()) <= 2 and len(dealt.inputFiles()) <= 8
+        assert sorted(r["id"] for r in narrow.collect()) == sorted(r["id"] for r in dealt.collect()) == list(range(10_000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_near_duplicates_writes_few_files(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    files = []
+
+    def staged(*args, **named):
+        out = stage_table(*args, **named)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "stage_table", staged)
+    try:
+        rng = random.Random(8)
+        words = [[f"w{rng.randrange(4000)}" for _ in range(60)] for _ in range(40)]
+        rows = [(40 * k + i, " ".join([*x[:k], f"new{k}", *x[k + 1 :]])) for k in range(4) for i, x in enumerate(words)]
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+        assert {r["component_id"] for r in near_dedup.near_duplicates(table, words=2).collect()} == set(range(40))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(files) <= 2
