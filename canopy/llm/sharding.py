@@ -22,16 +22,17 @@ from canopy.plans.materialize import stage_table
 _PART, _UID, _RUN, _ROW = "__part", "__uid", "__run", "__row"
 
 
-def balanced_shards(rows: DataFrame, size: Column, order: Sequence[str], n_shards: int, null_size: int = 0) -> DataFrame:
+def balanced_shards(rows: DataFrame, size: Column, order: Sequence[str], n_shards: int, null_size: int = 0, narrow: bool = False) -> DataFrame:
     """``rows`` with ``size``, ``shard`` (0..n_shards-1) and ``slot`` (gapless from 0 inside the shard).
 
     Two narrow shuffles: one by range of the order columns, one that brings each numbered range together.  What is
-    broadcast is one row per range and one per shard, so it is bounded by the number of partitions.
+    broadcast is one row per range and one per shard, so it is bounded by the number of partitions.  ``narrow`` is for
+    rows of ids and the like: the ranges stay as they are, but a few tasks write them (see :func:`stage_table`).
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     keyed = rows.withColumn("size", F.coalesce(size.cast("long"), F.lit(null_size).cast("long"))).withColumn(_UID, F.monotonically_increasing_id())
-    ranged = stage_table(keyed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order], F.col(_UID)).withColumn(_PART, F.spark_partition_id()))
+    ranged = stage_table(keyed.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order], F.col(_UID)).withColumn(_PART, F.spark_partition_id()), narrow=narrow)
 
     totals = ranged.groupBy(_PART).agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +53,8 @@ def balanced_shards(rows: DataFrame, size: Column, order: Sequence[str], n_shard
         placed.withColumn("__twice", twice_mid)
         .withColumn("shard", shard.cast("int"))
         .withColumn(_ROW, F.col("__rows_before") + F.col(_ROW) - 1)
-        .drop("__twice", _RUN, _PART, _UID, "__bytes_before", "__rows_before", "__all_bytes")
+        .drop("__twice", _RUN, _PART, _UID, "__bytes_before", "__rows_before", "__all_bytes"),
+        narrow=narrow,
     )
     first = placed.groupBy("shard").agg(F.min(_ROW).alias("__first"))
     return placed.join(F.broadcast(first), "shard").withColumn("slot", F.col(_ROW) - F.col("__first")).drop(_ROW, "__first")
@@ -70,5 +72,5 @@ def document_shards(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = documents.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text) + 1).cast("long").alias("size"))
-    out = balanced_shards(slim, F.col("size"), ["doc_id"], n_shards)
+    out = balanced_shards(slim, F.col("size"), ["doc_id"], n_shards, narrow=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -710,3 +710,27 @@ def test_near_duplicates_writes_few_files(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert max(files) <= 2
+
+
+def test_shards_are_written_by_few_tasks(spark, docs, monkeypatch):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files, parts = [], []
+
+    def staged(*args, **named):
+        out = stage_table(*args, **named)
+        files.append(len(out.inputFiles()))
+        parts.append(out.select("__part").distinct().count() if "__part" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(sharding, "stage_table", staged)
+    try:
+        found = []
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.document_shards(docs).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and len(found[0]) == len(TEXTS)
+    assert max(parts) > 16 and max(files) <= 2  # many ranges, few files
