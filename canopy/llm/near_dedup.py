@@ -306,10 +306,11 @@ def _confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) ->
     children."""
     spark = edges.sparkSession
     edges = edges.select("a", "b")
-    many = edges.groupBy("b").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > _BRANCH)
-    branch = F.when(F.col("children").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("children") / _BRANCH))).cast("int")
-    edges = edges.join(many, "b", "left").withColumn("branch", branch).select("a", "b", "branch")
-    parents = edges.select("b", "branch").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "branch", F.lit(None).cast("long").alias("a"), "data")
+    fans = edges.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _BRANCH).cast("int").alias("branches"))
+    branches = fans.select("b", F.explode(F.sequence(F.lit(0), F.col("branches") - 1)).alias("branch"))
+    parents = branches.join(texts.withColumnRenamed("id", "b"), "b").select("b", "branch", F.lit(None).cast("long").alias("a"), "data")
+    branch = F.coalesce(F.pmod(F.xxhash64("a"), "branches"), F.lit(0)).cast("int")
+    edges = edges.join(fans.where("branches > 1"), "b", "left").select("a", "b", branch.alias("branch"))
     children = edges.join(texts.withColumnRenamed("id", "a"), "a").select("b", "branch", "a", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,11 +633,16 @@ def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _united(edges: DataFrame, tried: DataFrame, components: DataFrame, held: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Components after all of ``edges(a, b, agree)`` that cross them were confirmed or refused, and the edges tried."""
+    """Components after all of ``edges(a, b, agree)`` that cross them were confirmed or refused, and the edges tried.
+
+    Components only grow, so what doesn't cross them at first isn't looked at again.
+    """
+    edges = stage_table(_crossing(edges.join(tried, ["a", "b"], "left_anti"), components), narrow=True)
     for last in (False, True):
-        crossing = _crossing(edges.join(tried, ["a", "b"], "left_anti"), components)
-        if not last:
-            crossing = crossing.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+        if last:
+            crossing = _crossing(edges.select("a", "b").join(crossing, ["a", "b"], "left_anti"), components)
+        else:
+            crossing = edges.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
         crossing = stage_table(crossing.select("a", "b"), narrow=True)
         if crossing.isEmpty():
             break

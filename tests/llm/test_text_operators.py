@@ -734,3 +734,46 @@ def test_shards_are_written_by_few_tasks(spark, docs, monkeypatch):
             spark.conf.set(k, v)
     assert found[0] == found[1] and len(found[0]) == len(TEXTS)
     assert max(parts) > 16 and max(files) <= 2  # many ranges, few files
+
+
+def test_edges_inside_components_are_looked_at_once(spark, monkeypatch):
+    """Four components of five rows, all their inner edges, and between two of them edges of which only the second holds."""
+    texts = {i: " ".join(f"t{i // 5}x{k}" for k in range(60)) + f" own{i}" for i in range(20)}
+    texts[7] = texts[1] + " more"
+    inner = [(i, j, 60) for g in range(4) for i in range(5 * g, 5 * g + 5) for j in range(i + 1, 5 * g + 5)]
+    edges = stage_table(spark.createDataFrame([*inner, (0, 6, 50), (1, 7, 49), (2, 12, 40)], "a long, b long, agree int"))
+    components_ = spark.createDataFrame([(i, 5 * (i // 5)) for i in range(20) if i % 5], "id long, component long")
+    held = near_dedup._texts_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), edges.selectExpr("explode(array(a, b)) AS id").distinct(), 40, 1 << 20)
+    seen, real = [], near_dedup._crossing
+
+    def crossing(rows, components):
+        if "agree" in rows.columns or rows.columns == ["a", "b"] and seen:
+            seen.append(rows.count())
+        return real(rows, components)
+
+    monkeypatch.setattr(near_dedup, "_crossing", crossing)
+    tried = spark.createDataFrame([], "a long, b long")
+    joined, tried = near_dedup._united(edges, tried, components_, held, 2, 80)
+    assert {r["id"]: r["component"] for r in joined.collect()} == {i: 0 if i < 10 else 5 * (i // 5) for i in range(1, 20) if i < 10 or i % 5}
+    assert sorted(map(tuple, tried.select("a", "b").collect())) == [(0, 6), (1, 7), (2, 12)]
+    assert seen[0] == 43 and sum(seen[1:]) <= 2, seen
+
+
+def test_children_of_a_frequent_parent_are_branched_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_BRANCH", 4)
+    joins = []
+
+    def staged(frame, **named):
+        joins.append(frame._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter"))
+        return stage_table(frame, **named)
+
+    base = [f"w{k}" for k in range(50)]
+    texts = {i: " ".join([*base[: 50 - i % 12], *(f"n{i}x{k}" for k in range(i % 12))]) for i in range(60)}
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in texts.items()}
+    pairs = [(i, 0) for i in range(1, 40)] + [(i, 2) for i in range(40, 44)] + [(i, 50) for i in range(44, 49)] + [(59, 58)]
+    edges = stage_table(spark.createDataFrame(pairs, "a long, b long"))
+    held = near_dedup._texts_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.range(60).toDF("id"), 60, 1 << 20)
+    monkeypatch.setattr(near_dedup, "stage_table", staged)
+    found = near_dedup._confirmed(edges, held, 2, 80)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert joins == [1]
