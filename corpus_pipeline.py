@@ -33,9 +33,9 @@ def _restored(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base limits and the robust outlier test keep."""
-    rows = docs.select("text", "lang", "source", *[F.col(f"`{c}`").alias(_OWN + c) for c in docs.columns])
-    judged = quality_rules.judge(rows, [_OWN + c for c in docs.columns], stage_rows=False)
-    return judged.where("kept").select(*[F.col(f"`{_OWN}{c}`").alias(c) for c in docs.columns])
+    names = {c: c if c in ("text", "lang", "source") else _OWN + c for c in docs.columns}
+    kept = quality_rules.kept_rows(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), list(names.values()))
+    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
 
 
 _KEY = "__key"
