@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,22 +51,54 @@ def between_known(facts: DataFrame, types: DataFrame) -> DataFrame:
 
 def supertype_pairs(facts: DataFrame) -> DataFrame:
     """``(sub, super, depth, by_class)`` of all types: nearest depth, and whether superclasses alone lead there."""
-    named = facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("sub"), F.col("to_type").alias("super"), (F.col("relationship") == "extends").alias("by_class"))
-    return pairs_above(named)
+    return pairs_above(steps_of(facts))
+
+
+def steps_of(facts: DataFrame) -> DataFrame:
+    """``(sub, super, by_class)``: direct supertypes by name."""
+    return facts.where(F.col("relationship").isin("extends", "implements")).select(F.col("from_type").alias("sub"), F.col("to_type").alias("super"), (F.col("relationship") == "extends").alias("by_class"))
 
 
 def pairs_above(direct: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """``(sub, super, depth, by_class)`` over the steps ``direct(sub, super, by_class)``, from ``starts(sub)`` only if given.
 
-    Each step joins the pairs found last with the direct ones, until there are no new pairs.
+    From all types the span doubles: a shortest way longer than the span is one of just that length and a rest that is known,
+    so depth costs the logarithm of its rounds.  From a few starts each step joins the pairs found last with the direct ones.
     """
+    from canopy.plans.materialize import scratch, stage_table
+
+    with scratch() as keep:
+        direct = stage_table(direct.groupBy("sub", "super").agg(F.max("by_class").alias("by_class")).where("sub <> super"))
+        if starts is not None:
+            starts = stage_table(starts.select("sub").distinct())
+            if starts.count() * _MANY_STARTS < direct.count():
+                return keep(stage_table(_pairs_from(direct, starts)))
+        known = direct.withColumn("depth", F.lit(1))
+        span = 1
+        while True:
+            ends = known.where(F.col("depth") == span).select("sub", F.col("super").alias("mid"), F.col("by_class").alias("c1"))
+            if ends.isEmpty():
+                break
+            on = known.select(F.col("sub").alias("mid"), "super", F.col("depth") + span, F.col("by_class").alias("c2")).toDF("mid", "super", "depth", "c2")
+            further = ends.join(on, "mid").where("sub <> super").select("sub", "super", (F.col("c1") & F.col("c2")).alias("by_class"), "depth")
+            # The least depth, and of its ways one by superclasses alone if there is any.
+            known = stage_table(known.select(further.columns).unionByName(further).groupBy("sub", "super").agg(F.min(F.struct("depth", (~F.col("by_class")).alias("x"))).alias("d")).select("sub", "super", (~F.col("d.x")).alias("by_class"), F.col("d.depth").alias("depth")))
+            span *= 2
+        known = known if starts is None else known.join(starts, "sub", "left_semi")
+        return keep(stage_table(known.select("sub", "super", "depth", "by_class")))
+
+
+#: Starts are followed step by step where there are this many times as many direct pairs.
+_MANY_STARTS = 8
+
+
+def _pairs_from(direct: DataFrame, starts: DataFrame) -> DataFrame:
+    """:func:`pairs_above` step by step, until there are no new pairs."""
     from canopy.plans.materialize import stage_table
 
-    direct = stage_table(direct.groupBy("sub", "super").agg(F.max("by_class").alias("by_class")))
-    first = direct if starts is None else direct.join(starts.select("sub").distinct(), "sub", "left_semi")
-    seen = frontier = first.where("sub <> super").withColumn("depth", F.lit(1))
+    seen = frontier = stage_table(direct.join(starts, "sub", "left_semi").withColumn("depth", F.lit(1)))
+    step = direct.select(F.col("sub").alias("mid"), "super", F.col("by_class").alias("c2"))
     for depth in count(2):
-        step = direct.select(F.col("sub").alias("mid"), "super", F.col("by_class").alias("c2"))
         nxt = frontier.select("sub", F.col("super").alias("mid"), "by_class").join(step, "mid").where("sub <> super").groupBy("sub", "super").agg(F.max(F.col("by_class") & F.col("c2")).alias("by_class"))
         frontier = stage_table(nxt.join(seen.select("sub", "super"), ["sub", "super"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -76,6 +109,68 @@ def pairs_above(direct: DataFrame, starts: DataFrame | None = None) -> DataFrame
     return seen.select("sub", "super", "depth", "by_class")
 
 
+def pairs_below(direct: DataFrame, starts: DataFrame) -> DataFrame:
+    """:func:`pairs_above` of which ``starts(super)`` are the supertypes."""
+    turned = pairs_above(direct.select(F.col("super").alias("sub"), F.col("sub").alias("super"), "by_class"), starts.select(F.col("super").alias("sub")))
+    return turned.select(F.col("super").alias("sub"), F.col("sub").alias("super"), "depth", "by_class")
+
+
+def declared_above(direct: DataFrame, wanted: DataFrame, declared: DataFrame) -> DataFrame:
+    """``(sub, signature, super, depth, by_class)``: supertypes that declare what ``wanted(sub, signature)`` asks for, as far up
+    as the one meant may be: superclasses alone come first, then the nearest.
+
+    A search ends where a way of superclasses alone meets a declaration, or any way met one and no way of superclasses alone
+    is left.  So it costs the types up to the declaration meant, not all above.
+    """
+    from canopy.plans.materialize import scratch, stage_table
+
+    key = ["sub", "signature"]
+    with scratch() as keep:
+        step = stage_table(direct.groupBy("sub", "super").agg(F.max("by_class").alias("by_class")).where("sub <> super").select(F.col("sub").alias("at"), "super", F.col("by_class").alias("c2")))
+        declared = stage_table(declared.select(F.col("super").alias("at"), "signature").distinct())
+        frontier = stage_table(wanted.select(*key).distinct().withColumns({"at": F.col("sub"), "by_class": F.lit(True), "met": F.lit(False)}))
+        seen = found = None
+        for depth in count(1):
+            reached = frontier.join(step, "at").where("sub <> super").groupBy(*key, F.col("super").alias("at")).agg(F.max(F.col("by_class") & F.col("c2")).alias("by_class"), F.max("met").alias("met"))
+            if seen is not None:
+                reached = reached.join(seen, [*key, "at"], "left_anti")
+            reached = stage_table(reached.withColumn("left", F.max("by_class").over(Window.partitionBy(*key))).where("NOT met OR left").drop("left"))
+            if reached.isEmpty():
+                break
+            here = stage_table(reached.join(declared, ["at", "signature"], "left_semi").select(*key, F.col("at").alias("super"), F.lit(depth).alias("depth"), "by_class"))
+            found = here if found is None else found.unionByName(here)
+            ends = here.groupBy(*key).agg(F.max("by_class").alias("ends"))
+            frontier = stage_table(reached.join(ends, key, "left").where("NOT coalesce(ends, false)").select(*key, "at", "by_class", (F.col("met") | F.col("ends").isNotNull()).alias("met")))
+            seen = reached.select(*key, "at") if seen is None else seen.join(frontier.select(*key).distinct(), key, "left_semi").unionByName(reached.select(*key, "at"))
+            seen = stage_table(seen)
+            if depth % 8 == 0:
+                found = stage_table(found)
+        if found is None:
+            found = wanted.select(*key, F.col("sub").alias("super"), F.lit(0).alias("depth"), F.lit(False).alias("by_class")).where(F.lit(False))
+        return keep(stage_table(found))
+
+
+#: Names that a filter sends to every task at most, as hashes of eight bytes.
+MOST_SENT = 1_000_000
+
+
+def among(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose ``columns`` are a row of ``names``.
+
+    Where names are few (counted), their hashes go to every task, so that only rows which may be among them are moved.
+    """
+    names = names.select(*columns).distinct()
+    if names.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        sent = names.select(F.xxhash64(*columns).alias("__hash")).distinct()
+        rows = rows.join(F.broadcast(sent), F.xxhash64(*columns) == F.col("__hash"), "left_semi")
+    return rows.join(names, list(columns), "left_semi")
+
+
+def among_types(rows: DataFrame, column: str, types: DataFrame | None) -> DataFrame:
+    """Rows whose ``column`` is one of ``types(fqn)``; None does not constrain."""
+    return rows if types is None else among(rows, types.select(F.col("fqn").alias(column)), column)
+
+
 def with_inherited(facts: DataFrame, scope: DataFrame, pairs: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """Facts of ``scope(fqn)`` and of its supertypes outside it (and outside ``target``), the latter ``inherited``."""
     above = pairs.join(scope.select(F.col("fqn").alias("sub")), "sub", "left_semi").select(F.col("super").alias("fqn")).distinct().join(scope.select("fqn"), "fqn", "left_anti")
@@ -108,40 +203,85 @@ def overrides(members: DataFrame, pairs: DataFrame) -> DataFrame:
     met = subs.join(pairs.select("sub", "super"), "sub").join(supers, ["super", "call_name"])
     exact = F.max((F.col("signature") == F.col("s2")).cast("int")).over(Window.partitionBy("from_key", "super"))
     chosen = met.withColumn("exact", exact).where((F.col("exact") == 0) | (F.col("signature") == F.col("s2")))
-    return chosen.select("from_key", F.col("sub").alias("from_type"), F.col("real_key").alias("to_key"), F.col("super").alias("to_type"), F.lit("overrides").alias("relationship"), "line").distinct()
+    return chosen.select("from_key", F.col("sub").alias("from_type"), F.col("real_key").alias("to_key"), F.col("super").alias("to_type"), F.lit("overrides").alias("relationship"), "line")
 
 
 def _calls(facts: DataFrame) -> DataFrame:
     return facts.where("relationship = 'calls'").select("from_key", "from_type", "to_type", "line", F.expr("substring(to_key, instr(to_key, '#') + 1)").alias("signature"))
 
 
-def virtual_calls(facts: DataFrame, members: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``calls`` facts to the implementations in scanned subtypes; not for external owners, constructors and statics."""
+def virtual_calls(calls: DataFrame, members: DataFrame, types: DataFrame, pairs: DataFrame, few: bool = False) -> DataFrame:
+    """``calls`` facts to the implementations in scanned subtypes; not for external owners, constructors and statics.  ``few``
+    says that ``pairs`` are those of a scope, so that most calls meet none."""
+    from canopy.plans.materialize import stage_table
+
+    found = _methods(members).where(overridable()).select(F.col("owner_fqn").alias("sub"), "signature", "real_key")
+    below = stage_table(pairs.select(F.col("super").alias("to_type"), "sub").join(found, "sub").select("to_type", "signature", F.col("sub").alias("impl"), "real_key"))
+    if few:
+        calls = among(calls, below, "to_type", "signature")
     declared = members.select(F.col("owner_fqn").alias("to_type"), "signature", F.col("modifiers").alias("owner_bits"))
-    direct = _calls(facts).join(types.select(F.col("fqn").alias("to_type")).distinct(), "to_type", "left_semi").where(~F.contains("signature", F.lit(" <init>("))).join(declared, ["to_type", "signature"], "left").where(_without(F.col("owner_bits"), "static"))
-    below = pairs.select(F.col("super").alias("to_type"), F.col("sub").alias("impl"))
-    found = _methods(members).where(overridable()).select(F.col("owner_fqn").alias("impl"), "signature", "real_key")
-    out = direct.join(below, "to_type").join(found, ["impl", "signature"]).where("real_key <> from_key")
-    return out.select("from_key", "from_type", F.col("real_key").alias("to_key"), F.col("impl").alias("to_type"), F.lit("calls").alias("relationship"), "line").distinct()
-
-
-def inherited_calls(facts: DataFrame, members: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``calls`` facts to the declaration that a call of an undeclared method means: superclasses first, then nearest."""
-    direct = _calls(facts).join(types.select(F.col("fqn").alias("to_type")).distinct(), "to_type", "left_semi")
-    undeclared = direct.join(members.select(F.col("owner_fqn").alias("to_type"), "signature"), ["to_type", "signature"], "left_anti")
-    above = pairs.select(F.col("sub").alias("to_type"), "super", "depth", "by_class")
+    direct = calls.join(types.select(F.col("fqn").alias("to_type")).distinct(), "to_type", "left_semi").where(~F.contains("signature", F.lit(" <init>("))).join(declared, ["to_type", "signature"], "left").where(_without(F.col("owner_bits"), "static"))
+    out = direct.join(below, ["to_type", "signature"]).where("real_key <> from_key")
+    return out.select("from_key", "from_type", F.col("real_key").alias("to_key"), F.col("impl").alias("to_type"), F.lit("calls").alias("relationship"), "line")
+
+
+def inherited_calls(calls: DataFrame, members: DataFrame, types: DataFrame, direct: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """``calls`` facts to the declaration that a call of an undeclared method means: superclasses first, then nearest.
+
+    What a call means follows from its target's name, so each name is looked up once, and only calls of names that mean a
+    method of ``targets(fqn)`` are met again.
+    """
+    from canopy.plans.materialize import stage_table
+
+    named = calls.select("to_type", "signature").distinct().join(types.select(F.col("fqn").alias("to_type")).distinct(), "to_type", "left_semi")
+    undeclared = named.join(members.select(F.col("owner_fqn").alias("to_type"), "signature"), ["to_type", "signature"], "left_anti")
     found = _methods(members).where(_without(F.col("modifiers"), "private")).select(F.col("owner_fqn").alias("super"), "signature", "real_key")
+    met = declared_above(direct, undeclared.select(F.col("to_type").alias("sub"), "signature"), found)
     best = F.min(F.struct((~F.col("by_class")).alias("x"), "depth", "super", "real_key"))
-    chosen = undeclared.join(above, "to_type").join(found, ["super", "signature"]).groupBy("from_key", "from_type", "to_type", "signature", "line").agg(best.alias("p"))
-    out = chosen.where("p.real_key <> from_key")
-    return out.select("from_key", "from_type", F.col("p.real_key").alias("to_key"), F.col("p.super").alias("to_type"), F.lit("calls").alias("relationship"), "line").distinct()
+    meant = met.join(found, ["super", "signature"]).groupBy(F.col("sub").alias("to_type"), "signature").agg(best.alias("p")).select("to_type", "signature", F.col("p.real_key").alias("real_key"), F.col("p.super").alias("super"))
+    meant = stage_table(among_types(meant, "super", targets))
+    chosen = (calls if targets is None else among(calls, meant, "to_type", "signature")).join(meant, ["to_type", "signature"]).where("real_key <> from_key")
+    return chosen.select("from_key", "from_type", F.col("real_key").alias("to_key"), F.col("super").alias("to_type"), F.lit("calls").alias("relationship"), "line")
+
+
+#: Relationships of facts that :func:`derived` finds.
+DERIVABLE = ("overrides", "calls")
+
 
+def derived(facts: DataFrame, members: DataFrame, types: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None, kinds: Sequence[str] = DERIVABLE) -> DataFrame:
+    """All derived facts that are not stored already, from ``sources(fqn)`` and to ``targets(fqn)`` only where given.
+
+    With a scope only the pairs, calls and stored facts that may meet it are worked on.
+    """
+    from canopy.plans.materialize import stage_table
 
-def derived(facts: DataFrame, members: DataFrame, types: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """All derived facts that are not stored already."""
-    pairs = supertype_pairs(facts) if pairs is None else pairs
-    rows = overrides(members, pairs).unionByName(virtual_calls(facts, members, types, pairs)).unionByName(inherited_calls(facts, members, types, pairs)).distinct()
-    return rows.join(facts.select("from_key", "to_key", "relationship"), ["from_key", "to_key", "relationship"], "left_anti")
+    direct = stage_table(steps_of(facts))
+    calls = among_types(_calls(facts), "from_type", sources)
+    if sources is not None:
+        calls = stage_table(calls)
+    found = []
+    upward = None if targets is None or "calls" not in kinds else pairs_above(direct, targets.select(F.col("fqn").alias("sub")))
+    whole = None
+    if sources is None and targets is None:
+        whole = pairs_above(direct)
+    if "overrides" in kinds:
+        if sources is not None:
+            pairs = among_types(pairs_above(direct, sources.select(F.col("fqn").alias("sub"))), "super", targets)
+        else:
+            pairs = whole if targets is None else pairs_below(direct, targets.select(F.col("fqn").alias("super")))
+        found.append(overrides(members, pairs))
+    if "calls" in kinds:
+        if upward is not None:
+            pairs = upward
+        else:
+            pairs = whole if sources is None else pairs_below(direct, calls.select(F.col("to_type").alias("super")))
+        found.append(virtual_calls(calls, members, types, pairs, few=targets is not None))
+        found.append(inherited_calls(calls, members, types, direct, targets))
+    rows = reduce(DataFrame.unionByName, found).distinct()
+    stored = among_types(facts.where(F.col("relationship").isin(*kinds)).select("from_key", "from_type", "to_key", "relationship"), "from_type", sources)
+    if targets is not None:
+        stored = among(stored, among_types(_methods(members), "owner_fqn", targets).select(F.col("real_key").alias("to_key")), "to_key")
+    return rows.join(stored.select("from_key", "to_key", "relationship"), ["from_key", "to_key", "relationship"], "left_anti")
 
 
 def relationship_counts(rows: DataFrame) -> DataFrame:

@@ -66,11 +66,12 @@ class DependencyGraph:
         extensions = {k: v for k, v in self.extensions.items() if k != "paths"}
         return replace(self, tree=self.tree if tree is None else tree, nodes=self.nodes if nodes is None else nodes, max_depth=max_depth if max_depth is not None else self.max_depth, extensions=extensions, _cache={})
 
-    def staged(self) -> DependencyGraph:
-        """The graph with nodes, tree, edges and closure written once: one generation."""
+    def staged(self, edges: bool = True) -> DependencyGraph:
+        """The graph with nodes, tree, edges and closure written once: one generation.  Without ``edges`` these are left to be
+        computed where they are asked for."""
         from canopy.operators import ingest
 
-        edges = stage_table(self.edges)
+        edges = stage_table(self.edges) if edges else self.edges
         if (paths := self.extensions.get("paths")) is not None:
             # Nodes with their paths are computed once; tree and closure are projections of what was written.
             paths = stage_table(paths)

@@ -148,14 +148,16 @@ def library_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = part.select(F.col("p_partkey").alias("up"), F.col("fqn").alias("to_type"))
     key = F.col("p_partkey")
     hierarchy = part.join(above, F.floor(key / 2) == F.col("up")).select("artifact", F.col("fqn").alias("from_key"), F.col("fqn").alias("from_type"), F.col("to_type").alias("to_key"), "to_type", F.when(key % 3 == 0, "implements").otherwise("extends").alias("relationship"), _none("int").alias("line"))
-    a, b = part.select(F.col("p_partkey").alias("a"), "artifact", F.col("fqn").alias("from_type")), part.select(F.col("p_partkey").alias("b"), F.col("fqn").alias("to_type"))
-    pairs = sequence_pairs(spark, sf_dir).join(a, "a").join(b, "b").select("artifact", "from_type", "to_type", F.col("l_linenumber").cast("int").alias("line")).distinct()
+    # A pair of parts and a line are one of their names, so they are made distinct before they get the names.
+    a, b = part.distinct().select(F.col("p_partkey").alias("a"), "artifact", F.col("fqn").alias("from_type")), part.select(F.col("p_partkey").alias("b"), F.col("fqn").alias("to_type")).distinct()
+    pairs = sequence_pairs(spark, sf_dir).select("a", "b", F.col("l_linenumber").cast("int").alias("line")).distinct().join(a, "a").join(b, "b")
     method = lambda t, j: F.concat(t, F.lit("#void m"), (j % 4).cast("string"), F.lit("()"))
     line = F.col("line")
-    calls = pairs.select("artifact", method(F.col("from_type"), line).alias("from_key"), "from_type", method(F.col("to_type"), line + 1).alias("to_key"), "to_type", F.lit("calls").alias("relationship"), "line")
-    kind = F.when(line % 2 == 0, "reads_field").otherwise("writes_field")
-    uses = pairs.where("line <= 2").select("artifact", method(F.col("from_type"), line).alias("from_key"), "from_type", F.concat("to_type", F.lit("#int size")).alias("to_key"), "to_type", kind.alias("relationship"), "line")
-    return hierarchy.unionByName(calls).unionByName(uses).withColumns({"parameter_index": _none("int"), "parameter_name": _none("string")})
+    call = F.struct(method(F.col("to_type"), line + 1).alias("to_key"), F.lit("calls").alias("relationship"))
+    use = F.struct(F.concat("to_type", F.lit("#int size")).alias("to_key"), F.when(line % 2 == 0, "reads_field").otherwise("writes_field").alias("relationship"))
+    said = pairs.withColumn("said", F.explode(F.when(line <= 2, F.array(call, use)).otherwise(F.array(call))))
+    uses = said.select("artifact", method(F.col("from_type"), line).alias("from_key"), "from_type", "said.to_key", "to_type", "said.relationship", "line")
+    return hierarchy.unionByName(uses).withColumns({"parameter_index": _none("int"), "parameter_name": _none("string")})
 
 
 def library_store(spark: SparkSession, sf_dir: str):
@@ -166,7 +168,8 @@ def library_store(spark: SparkSession, sf_dir: str):
     key = (spark.sparkContext.applicationId, "library store", sf_dir)
     if key not in _STORES:
         types, members, facts = (stage_table(f(spark, sf_dir)) for f in (library_types, library_members, library_facts))
-        graph = _generation(spark, ("library", sf_dir), lambda: build_graph(types, facts, members, placeholders=None))
+        # Answers need nodes and supertypes; edges of all kinds are computed by who asks for them.
+        graph = build_graph(types, facts, members, placeholders=None).staged(edges=False)
         _STORES[key] = DetailStore(graph, types, members, facts)
     return _STORES[key]
 
