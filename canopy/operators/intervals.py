@@ -8,7 +8,7 @@ global order of opening and closing marks, two rows a node.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +40,20 @@ def node_paths(graph: DependencyGraph) -> DataFrame:
 
 @dataclass(frozen=True)
 class IntervalTree:
-    """``nodes(id, opens, closes, depth)`` sorted by ``opens``; ``edges`` with ``from_opens`` and ``to_opens``, sorted by the
-    former."""
+    """``nodes(id, opens, closes, depth)`` sorted by ``opens``, and the graph's edges as ``between``; ``edges`` are these with
+    ``from_opens`` and ``to_opens``, sorted by the former, written when they are first asked for."""
 
     nodes: DataFrame
-    edges: DataFrame
+    between: DataFrame
+    _cache: dict = field(default_factory=dict, repr=False, compare=False)
+
+    @property
+    def edges(self) -> DataFrame:
+        if "edges" not in self._cache:
+            ends = lambda side: self.nodes.select(F.col("id").alias(f"{side}_id"), F.col("opens").alias(f"{side}_opens"))
+            placed = self.between.join(ends("from"), "from_id").join(ends("to"), "to_id")
+            self._cache["edges"] = stage_table(placed.repartitionByRange("from_opens", "to_opens").sortWithinPartitions("from_opens", "to_opens"))
+        return self._cache["edges"]
 
     def bounds(self, ids: Sequence[int]) -> dict[int, tuple[int, int]]:
         """Intervals of nodes that were asked for by id."""
@@ -74,27 +83,31 @@ class IntervalTree:
         return self.nodes.select("id", F.expr("(closes - opens - 1) div 2").alias("descendants"))
 
     def aggregated_pairs(self, sources: Sequence[int], targets: Sequence[int]) -> DataFrame:
-        """``(source, target, weight, type_pairs, attrs)`` of all given pairs that depend; subtrees may nest."""
+        """``(source, target, weight, type_pairs, attrs)`` of all given pairs that depend; subtrees may nest.
+
+        Nodes are placed by ranges, each in the given subtrees that it lies in, and edges meet them by id with only the columns
+        that are summed: no table of edges is written.
+        """
         sources, targets = list(dict.fromkeys(sources)), list(dict.fromkeys(targets))
         if len(sources) * len(targets) > MOST_PAIRS:
             raise QueryError("INPUT_TOO_LARGE", f"at most {MOST_PAIRS} pairs", "ask for fewer nodes")
         at = self.bounds([*sources, *targets])
         spark = self.nodes.sparkSession
-        boxes = lambda ids, name: F.broadcast(spark.createDataFrame([(i, *at[i]) for i in ids], f"{name} long, {name}_low long, {name}_high long"))  # noqa: E731  bounded by MOST_PAIRS
-        span = lambda ids, column: (F.col(column) >= min(at[i][0] for i in ids)) & (F.col(column) < max(at[i][1] for i in ids))
-        inside = lambda name, column: (F.col(column) >= F.col(f"{name}_low")) & (F.col(column) < F.col(f"{name}_high"))
-        rows = self.edges.where(span(sources, "from_opens") & span(targets, "to_opens"))
-        rows = rows.join(boxes(sources, "source"), inside("source", "from_opens")).join(boxes(targets, "target"), inside("target", "to_opens"))
+
+        def inside(ids: list[int], side: str, name: str) -> DataFrame:
+            boxes = F.broadcast(spark.createDataFrame([(i, *at[i]) for i in ids], f"{name} long, low long, high long"))  # bounded by MOST_PAIRS
+            spanned = self.nodes.where((F.col("opens") >= min(at[i][0] for i in ids)) & (F.col("opens") < max(at[i][1] for i in ids)))
+            return spanned.join(boxes, (F.col("opens") >= F.col("low")) & (F.col("opens") < F.col("high"))).select(F.col("id").alias(f"{side}_id"), name)
+
+        rows = self.between.select("from_id", "to_id", "weight", "attrs").join(inside(targets, "to", "target"), "to_id").drop("to_id").join(inside(sources, "from", "source"), "from_id")
         return rows.groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("type_pairs"), F.bit_or("attrs").alias("attrs"))
 
 
 def interval_tree(graph: DependencyGraph) -> IntervalTree:
-    """The tree of a graph as intervals, and its edges by them; both are written sorted."""
+    """The tree of a graph as intervals, written sorted."""
     paths = node_paths(graph)
     marks = paths.select("id", F.size("path").alias("depth"), F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("path")), F.struct(F.lit(1).alias("end"), F.concat("path", F.array(F.lit(_CLOSE))).alias("path")))).alias("mark"))
     placed = numbered(marks.select("id", "depth", "mark.end", "mark.path"), ["path", "id"]).select("id", "depth", "end", "pos")
     of = lambda end: F.max(F.when(F.col("end") == end, F.col("pos")))
     nodes = stage_table(placed.groupBy("id").agg(of(0).alias("opens"), of(1).alias("closes"), F.max("depth").alias("depth")).repartitionByRange("opens").sortWithinPartitions("opens"))
-    ends = lambda side: nodes.select(F.col("id").alias(f"{side}_id"), F.col("opens").alias(f"{side}_opens"))
-    edges = graph.edges.join(ends("from"), "from_id").join(ends("to"), "to_id")
-    return IntervalTree(nodes, stage_table(edges.repartitionByRange("from_opens", "to_opens").sortWithinPartitions("from_opens", "to_opens")))
+    return IntervalTree(nodes, graph.edges)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators.hierarchy import DependencyGraph
 from canopy.operators.ingest import build_graph
+from canopy.plans.materialize import forget_shuffles
 
 #: Relationship of a line by its return flag and status.
 LINE_KINDS = {"AF": "extends", "AO": "implements", "NF": "annotated_by", "NO": "calls", "RF": "instantiates", "RO": "casts"}
@@ -63,6 +64,7 @@ def _generation(spark: SparkSession, key: tuple, build) -> DependencyGraph:
     key = (spark.sparkContext.applicationId, *key)
     if key not in _GENERATIONS:
         _GENERATIONS[key] = build().staged()
+        forget_shuffles(spark)
     return _GENERATIONS[key]
 
 
@@ -168,6 +170,7 @@ def library_store(spark: SparkSession, sf_dir: str):
     key = (spark.sparkContext.applicationId, "library store", sf_dir)
     if key not in _STORES:
         types, members, facts = (stage_table(f(spark, sf_dir)) for f in (library_types, library_members, library_facts))
+        forget_shuffles(spark)
         # Answers need nodes and supertypes; edges of all kinds are computed by who asks for them.
         graph = build_graph(types, facts, members, placeholders=None).staged(edges=False)
         _STORES[key] = DetailStore(graph, types, members, facts)
