@@ -7,7 +7,7 @@ its definers in a join whose large side Spark may split.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,8 +114,9 @@ def type_references(dependencies: DataFrame) -> DataFrame:
     return by_kind.groupBy("artifact", "from_type", "to_type").agg(F.sum("n").alias("weight"), F.bit_or("attrs").alias("attrs"), kinds.alias("kinds"))
 
 
-def resolved_edges(references: DataFrame, types: DataFrame, classpath: DataFrame | None = None) -> DataFrame:
-    """Edges ``(from_id, to_id, weight, attrs, kinds)`` of :func:`type_references`, whose owners are ``types(artifact, fqn)``.
+def resolved_edges(references: DataFrame, types: DataFrame, classpath: DataFrame | None = None, columns: Sequence[str] = ("weight", "attrs", "kinds")) -> DataFrame:
+    """Edges ``(from_id, to_id, weight, attrs, kinds)`` of :func:`type_references`, whose owners are ``types(artifact, fqn)``;
+    or of other references with other ``columns``.
 
     What a name means follows from owner and name, so references stay one row a pair and need no further grouping.  Handles are
     computed once for each type; only names of several definers are looked up by their owner too.
@@ -134,7 +135,7 @@ def resolved_edges(references: DataFrame, types: DataFrame, classpath: DataFrame
         definer = located.select(F.col("fqn").alias("to_type"), F.col("artifact").alias("definer"), F.col("id").alias("path_id"))
         first = wanted.join(entries, "artifact").join(definer, ["to_type", "definer"]).groupBy("artifact", "to_type").agg(F.min_by("path_id", "index").alias("path_id"))
         out = out.join(first, ["artifact", "to_type"], "left").withColumn("to_id", F.coalesce("path_id", "to_id"))
-    return out.where("from_id <> to_id").select("from_id", "to_id", "weight", "attrs", "kinds")
+    return out.where("from_id <> to_id").select("from_id", "to_id", *columns)
 
 
 def graph_nodes(types: DataFrame, members: DataFrame | None = None) -> DataFrame:

@@ -15,19 +15,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.functions import names
 from canopy.operators import ingest
 from canopy.operators.hierarchy import DependencyGraph
 from canopy.plans.materialize import release, stage_table
 
 Placeholders = Callable[[Column], Column]
-_PAIR = ["from_key", "to_key", "kind", "type_level"]
+_PAIR = ["from_id", "to_id", "kind", "type_level"]
 
 
 @dataclass(frozen=True)
 class LiveGraph:
     """One generation: ``types(artifact, fqn, kind, modifiers)`` as scanned, ``references`` as rolled up, ``resolved`` between
-    keys, and ``edges``."""
+    ids, and ``edges``."""
 
     types: DataFrame
     references: DataFrame
@@ -48,13 +47,12 @@ def _known(types: DataFrame, references: DataFrame, placeholders: Placeholders |
 
 
 def _resolved(references: DataFrame, definers: DataFrame) -> DataFrame:
-    """References between keys, of owners that are types, with what ``definers(artifact, fqn)`` say."""
-    owners = definers.select("artifact", F.col("fqn").alias("from_type")).distinct()
-    return ingest.reference_edges(ingest.resolve_owner_first(references, definers).join(owners, ["artifact", "from_type"], "left_semi"))
+    """References between ids, of owners that are types, with what ``definers(artifact, fqn)`` say.
 
-
-def _edges(rows: DataFrame) -> DataFrame:
-    return ingest.type_dependencies(rows.select(names.node_handle(F.col("from_key")).alias("from_id"), names.node_handle(F.col("to_key")).alias("to_id"), "kind", "type_level", "n"))
+    Ids are computed once for each type.  A reference has one row, and what a name means follows from owner and name, so two
+    rows of an artifact never become one.
+    """
+    return ingest.resolved_edges(references, definers, columns=("kind", "type_level", "n"))
 
 
 def start(types: DataFrame, facts: DataFrame, placeholders: Placeholders | None = None) -> LiveGraph:
@@ -62,7 +60,7 @@ def start(types: DataFrame, facts: DataFrame, placeholders: Placeholders | None
     types = stage_table(types.select("artifact", "fqn", "kind", "modifiers"))
     references = stage_table(ingest.rollup(facts))
     resolved = stage_table(_resolved(references, _known(types, references, placeholders)))
-    return LiveGraph(types, references, resolved, stage_table(_edges(resolved)), placeholders=placeholders)
+    return LiveGraph(types, references, resolved, stage_table(ingest.type_dependencies(resolved)), placeholders=placeholders)
 
 
 def changed_modules(live: LiveGraph, changed: DataFrame, types: DataFrame, facts: DataFrame) -> LiveGraph:
@@ -95,10 +93,9 @@ def changed_modules(live: LiveGraph, changed: DataFrame, types: DataFrame, facts
     delta = said(before, live.references, live.types, -1).unionByName(said(after, all_refs, all_types, 1))
     delta = stage_table(delta.groupBy(*_PAIR).agg(F.sum("n").alias("n")).where("n <> 0"))
     resolved = stage_table(live.resolved.unionByName(delta).groupBy(*_PAIR).agg(F.sum("n").alias("n")).where("n > 0"))
-    pairs = delta.select("from_key", "to_key").distinct()
-    ids = pairs.select(names.node_handle(F.col("from_key")).alias("from_id"), names.node_handle(F.col("to_key")).alias("to_id"))
-    renewed = _edges(resolved.join(pairs, ["from_key", "to_key"], "left_semi"))
-    edges = stage_table(live.edges.join(ids, ["from_id", "to_id"], "left_anti").unionByName(renewed))
+    pairs = delta.select("from_id", "to_id").distinct()
+    renewed = ingest.type_dependencies(resolved.join(pairs, ["from_id", "to_id"], "left_semi"))
+    edges = stage_table(live.edges.join(pairs, ["from_id", "to_id"], "left_anti").unionByName(renewed))
     release(moved, delta)
     return LiveGraph(all_types, all_refs, resolved, edges, live.generation + 1, live.placeholders)
 
